@@ -12,9 +12,10 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from ..session import ship_package
 
 
-def map_columns(df: DataFrame, cols: list, fn: Callable[..., dict], schema: str | StructType) -> DataFrame:
+def map_columns(df: DataFrame, cols: list, fn: Callable[..., dict], schema: str | StructType, per_task: bool = False) -> DataFrame:
     """Apply ``fn(*lists)``, one list for each column of ``cols``, to every batch; it returns a column for each field.
 
+    ``per_task``: ``fn()`` makes the function, once for each partition, so that it can hold state from batch to batch.
     Columns not named in ``cols`` never leave the JVM, so extra columns and clashing names don't matter.
     """
     ship_package(df.sparkSession)
@@ -23,10 +24,10 @@ def map_columns(df: DataFrame, cols: list, fn: Callable[..., dict], schema: str
         schema = _parse_datatype_string(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(schema)
+        out, f = to_arrow_schema(schema), fn() if per_task else fn
         for b in batches:
             if b.num_rows:
-                got = fn(*[c.to_pylist() for c in b.columns])
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+                got = f(*[c.to_pylist() for c in b.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
 
     return inner.mapInArrow(run, schema)

@@ -17,6 +17,20 @@ def _op1(spark, d):
     return op1(_t(spark, d, "documents"), _t(spark, d, "labels"))
 
 
+def _op2(spark, d):
+    import public_tokenizers
+
+    from .packing import op2
+
+    return op2(_t(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _op3(spark, d):
+    from .secret_scan import op3
+
+    return op3(_t(spark, d, "documents"))
+
+
 def _op10(spark, d):
     from .langid import op10
 
@@ -24,7 +38,7 @@ def _op10(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": _op1, "op10_langid": _op10}
+    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op10_langid": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
