@@ -39,6 +39,12 @@ def _op7(spark, d):
     return op7(_t(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _op8(spark, d):
+    from .minhash import op8
+
+    return op8(_t(spark, d, "documents"))
+
+
 def _op10(spark, d):
     from .langid import op10
 
@@ -46,7 +52,7 @@ def _op10(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op7_bpe": _op7, "op10_langid": _op10}
+    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op7_bpe": _op7, "op8_minhash": _op8, "op10_langid": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
