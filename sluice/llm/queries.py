@@ -31,6 +31,12 @@ def _op3(spark, d):
     return op3(_t(spark, d, "documents"))
 
 
+def _op5(spark, d):
+    from .rules import op5
+
+    return op5(_t(spark, d, "documents"))
+
+
 def _op7(spark, d):
     import public_tokenizers
 
@@ -52,7 +58,7 @@ def _op10(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op7_bpe": _op7, "op8_minhash": _op8, "op10_langid": _op10}
+    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op5_rules": _op5, "op7_bpe": _op7, "op8_minhash": _op8, "op10_langid": _op10}
 
 
 def oracle_sql() -> dict[str, str]:
