@@ -31,12 +31,24 @@ def _op3(spark, d):
     return op3(_t(spark, d, "documents"))
 
 
+def _op4(spark, d):
+    from .pii import op4
+
+    return op4(_t(spark, d, "documents"))
+
+
 def _op5(spark, d):
     from .rules import op5
 
     return op5(_t(spark, d, "documents"))
 
 
+def _op6(spark, d):
+    from .chat import op6
+
+    return op6(_t(spark, d, "conversations"))
+
+
 def _op7(spark, d):
     import public_tokenizers
 
@@ -51,6 +63,12 @@ def _op8(spark, d):
     return op8(_t(spark, d, "documents"))
 
 
+def _op9(spark, d):
+    from .embed import op9
+
+    return op9(_t(spark, d, "embeddings"))
+
+
 def _op10(spark, d):
     from .langid import op10
 
@@ -58,8 +76,21 @@ def _op10(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": _op1, "op2_packing": _op2, "op3_secrets": _op3, "op5_rules": _op5, "op7_bpe": _op7, "op8_minhash": _op8, "op10_langid": _op10}
+    return {
+        "op1_quality": _op1,
+        "op2_packing": _op2,
+        "op3_secrets": _op3,
+        "op4_pii": _op4,
+        "op5_rules": _op5,
+        "op6_chat": _op6,
+        "op7_bpe": _op7,
+        "op8_minhash": _op8,
+        "op9_embeddings": _op9,
+        "op10_langid": _op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .chat import OP6_SQL
+
+    return {"op6_chat": OP6_SQL}
