@@ -12,9 +12,11 @@ import functools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .arrow import map_columns
 from .common import chunks_of, crc_fold, hash_share
 
@@ -159,24 +161,44 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     return tuple((name, "\n".join(t for _, t in sorted(got[name]))[:sample_chars]) for name in sorted(got))
 
 
-def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", key: str = "doc_id", sharpness: float = 12.0) -> DataFrame:
+def predictions(texts: list, samples: tuple[tuple[str, str], ...], sharpness: float = 12.0) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text; ``und`` and 0 without a letter or without samples.
+
+    The score is the softmax of the costs' differences; ties go to the language that sorts first.
+    """
+    pred, score = ["und"] * len(texts), np.zeros(len(texts))
+    if samples:
+        p = parser(samples)
+        for a, b in chunks_of(texts):
+            cost, has = p.costs(texts[a:b])
+            best = cost.argmin(axis=1)
+            s = 1 / np.exp(-sharpness * (cost - cost.min(axis=1, keepdims=True))).sum(axis=1)
+            score[a:b] = np.where(has, s, 0.0)
+            pred[a:b] = [p.langs[j] if h else "und" for j, h in zip(best, has)]
+    return pred, score
+
+
+def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a learned language with a score of at least ``least``, all columns as they are; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def known(t: pd.Series) -> pd.Series:
+        pred, score = predictions([x if isinstance(x, str) else None for x in t], samples)
+        return pd.Series((np.array(pred, object) != "und") & (score >= least))
+
+    return docs.where(known(F.col(text)))
+
+
+def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, lang_pred, score) of every document, over its whole text.
 
-    Null texts and texts without a letter: ``und`` with score 0. Without samples all are ``und``. The score is
-    the softmax of the costs' differences. Ties go to the language that sorts first. Repeated rows each give one.
+    Null texts and texts without a letter: ``und`` with score 0. Without samples all are ``und``. Repeated rows each give one.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(keys: list, texts: list) -> dict:
-        pred, score = ["und"] * len(texts), np.zeros(len(texts))
-        if samples:
-            p = parser(samples)
-            for a, b in chunks_of(texts):
-                cost, has = p.costs(texts[a:b])
-                best = cost.argmin(axis=1)
-                s = 1 / np.exp(-sharpness * (cost - cost.min(axis=1, keepdims=True))).sum(axis=1)
-                score[a:b] = np.where(has, s, 0.0)
-                pred[a:b] = [p.langs[j] if h else "und" for j, h in zip(best, has)]
+        pred, score = predictions(texts, samples)
         return {key: keys, "lang_pred": pred, "score": score}
 
     return map_columns(docs, [key, text], run, f"`{key}` {kind}, lang_pred string, score double")

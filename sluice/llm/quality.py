@@ -10,10 +10,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .arrow import map_columns
 from .common import crc_fold, hash_share
 
@@ -93,20 +95,33 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     return (*dicts, a, float(b + prior))
 
 
+def probability(texts: list, model: tuple[bytes, bytes, float, float]) -> np.ndarray:
+    """The probability that the label is 1: 0 for null and empty texts, 0.5 without a model."""
+    good, bad, a, b = model
+    s = 1 / (1 + np.exp(-np.clip(a * evidence(texts, good, bad) + b, -30, 30))) if good else np.full(len(texts), 0.5)
+    return np.where([not t for t in texts], 0.0, s)
+
+
+def accepted(docs: DataFrame, model: tuple[bytes, bytes, float, float], *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they are; nothing is shuffled."""
+    ship_package(docs.sparkSession)
+
+    @F.pandas_udf("boolean")
+    def good_enough(t: pd.Series) -> pd.Series:
+        return pd.Series(probability([x if isinstance(x, str) else None for x in t], model) >= threshold)
+
+    return docs.where(good_enough(F.col(text)))
+
+
 def score(docs: DataFrame, model: tuple[bytes, bytes, float, float], *, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """(key, score, predicted) of every document's whole text.
 
     Null and empty texts have no evidence and score 0: there is nothing to learn from. Repeated rows each give one.
     """
-    good, bad, a, b = model
     kind = docs.schema[key].dataType.simpleString()
 
     def run(keys: list, texts: list) -> dict:
-        if good:
-            s = 1 / (1 + np.exp(-np.clip(a * evidence(texts, good, bad) + b, -30, 30)))
-        else:
-            s = np.full(len(texts), 0.5)
-        s = np.where([not t for t in texts], 0.0, s)
+        s = probability(texts, model)
         return {key: keys, "score": s, "predicted": (s >= threshold).astype(np.int32)}
 
     return map_columns(docs, [key, text], run, f"`{key}` {kind}, score double, predicted int")
