@@ -1,13 +1,15 @@
 """Quality scores from compressed sizes.
 
 Two zstandard dictionaries are built, from text labelled good and from text labelled bad. A text is compressed
-in whole blocks with each; the difference of the sizes, over their sum, is the evidence, and a logistic
-curve fitted on other labelled rows turns it into a probability that the label is 1.
+in whole blocks with each. The difference of the sizes, over their sum, is the evidence, beside the smaller size
+over the text's own (a text that repeats itself is small with either); a logistic curve fitted on other
+labelled rows turns both into a probability that the label is 1.
 """
 
 from __future__ import annotations
 
 import functools
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -31,10 +33,21 @@ def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
     return zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
 
+class Model(NamedTuple):
+    """Two dictionaries and the curve; without dictionaries every text scores 0.5."""
+
+    good: bytes = b""
+    bad: bytes = b""
+    centre: tuple[float, ...] = ()
+    scale: tuple[float, ...] = ()
+    weights: tuple[float, ...] = ()
+
+
 def evidence(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
-    """(bad - good) / (bad + good) of the compressed sizes; 0 for empty texts."""
+    """By text: (bad - good) / (bad + good) of the compressed sizes, the log of the smaller over the text's size, its square
+    below the usual and the product of the first two; zeros for empty texts."""
     g, b = _compressor(good).compress, _compressor(bad).compress
-    out = np.zeros(len(texts))
+    out = np.zeros((len(texts), 4))
     for i, t in enumerate(texts):
         if t:
             raw = t.encode("utf-8", "surrogatepass")
@@ -43,22 +56,23 @@ def evidence(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
                 part = raw[j : j + BLOCK]
                 x += len(g(part))
                 y += len(b(part))
-            out[i] = (y - x) / (x + y)
+            d, r = (y - x) / (x + y), np.log(min(x, y) / len(raw))
+            out[i] = d, r, min(0.0, r + 1.0) ** 2, d * r
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, slightly regularised (so that separable samples stay finite)."""
-    a = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Weights, the intercept last, by Newton's method; slightly regularised, so that separable samples stay finite."""
+    a = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w, ridge = np.zeros(a.shape[1]), np.full(a.shape[1], 0.1)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag([1e-4, 1e-3])
-        w = w + np.linalg.solve(h, a.T @ (y - p) - np.array([1e-4, 1e-3]) * w)
-    return float(w[0]), float(w[1])
+        h = (a * (p * (1 - p))[:, None]).T @ a + np.diag(ridge)
+        w = w + np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+    return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", where: Column | None = None, sample_rows: int = 3_000, row_chars: int = 16_000, dict_bytes: int = 64_000) -> tuple[bytes, bytes, float, float]:
+def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", where: Column | None = None, sample_rows: int = 3_000, row_chars: int = 16_000, dict_bytes: int = 64_000) -> Model:
     """Two dictionaries and a calibration from a bounded sample of labelled rows.
 
     About ``sample_rows`` rows a class, chosen by a hash of the id on both tables before they meet, and at most
@@ -69,7 +83,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     lab = lab if where is None else lab.where(where)
     counts = {r[0]: r[1] for r in lab.groupBy(label).count().collect()}
     if len(counts) < 2:
-        return b"", b"", 0.0, 0.0
+        return Model()
     share = {c: sample_rows / n for c, n in counts.items()}
     picked = lab.where(((F.col(label) == 0) & hash_share(key, share[0])) | ((F.col(label) == 1) & hash_share(key, share[1])))
     picked = picked.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select(key, F.col("lo").alias("y"))
@@ -82,27 +96,31 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
             raw = t.encode("utf-8", "surrogatepass")
             parts[y] += [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
     if min(map(len, parts.values())) < 8:
-        return b"", b"", 0.0, 0.0
+        return Model()
     room = min(dict_bytes, *(sum(map(len, p)) // 2 for p in parts.values()))
     dicts = [zstd.train_dictionary(room, parts[c], k=256, d=8, level=LEVEL).as_bytes() for c in (1, 0)]
     rest = [(y, t) for h, y, t in rows if h % 4 == 0]
     y = np.array([r[0] for r in rest], float)
     if not 0 < y.sum() < len(y):
-        return (*dicts, 40.0, 0.0)
+        return Model(*dicts, (0.0,) * 4, (1.0,) * 4, (40.0, 0.0, 0.0, 0.0, 0.0))
+    x = evidence([r[1] for r in rest], *dicts)
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    w = _logistic((x - centre) / scale, y)
     # classes are sampled unevenly; the prior goes back into the intercept
-    a, b = _logistic(evidence([r[1] for r in rest], *dicts), y)
-    prior = np.log(counts[1] / counts[0]) - np.log(max(1, y.sum()) / max(1, (1 - y).sum()))
-    return (*dicts, a, float(b + prior))
+    w[-1] += np.log(counts[1] / counts[0]) - np.log(y.sum() / (1 - y).sum())
+    return Model(*dicts, *(tuple(v.tolist()) for v in (centre, scale, w)))
 
 
-def probability(texts: list, model: tuple[bytes, bytes, float, float]) -> np.ndarray:
+def probability(texts: list, model: Model) -> np.ndarray:
     """The probability that the label is 1: 0 for null and empty texts, 0.5 without a model."""
-    good, bad, a, b = model
-    s = 1 / (1 + np.exp(-np.clip(a * evidence(texts, good, bad) + b, -30, 30))) if good else np.full(len(texts), 0.5)
+    s = np.full(len(texts), 0.5)
+    if model.good:
+        x = (evidence(texts, model.good, model.bad) - model.centre) / model.scale
+        s = 1 / (1 + np.exp(-np.clip(x @ model.weights[:-1] + model.weights[-1], -30, 30)))
     return np.where([not t for t in texts], 0.0, s)
 
 
-def accepted(docs: DataFrame, model: tuple[bytes, bytes, float, float], *, text: str = "text", threshold: float = 0.3) -> DataFrame:
+def accepted(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they are; nothing is shuffled."""
     ship_package(docs.sparkSession)
 
@@ -113,7 +131,7 @@ def accepted(docs: DataFrame, model: tuple[bytes, bytes, float, float], *, text:
     return docs.where(good_enough(F.col(text)))
 
 
-def score(docs: DataFrame, model: tuple[bytes, bytes, float, float], *, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     """(key, score, predicted) of every document's whole text.
 
     Null and empty texts have no evidence and score 0: there is nothing to learn from. Repeated rows each give one.
