@@ -7,6 +7,18 @@ from collections.abc import Callable
 from typing import Any
 
 
+def _accepted(cls: Callable) -> set[str] | None:
+    """Argument names of a builder; None if it takes any. A constructor that passes **kw on takes its base's arguments too."""
+    inits = [c.__dict__["__init__"] for c in cls.__mro__[:-1] if "__init__" in c.__dict__] if inspect.isclass(cls) else [cls]
+    names: set[str] = set()
+    for f in inits:
+        params = inspect.signature(f).parameters.values()
+        names |= {p.name for p in params}
+        if not any(p.kind is p.VAR_KEYWORD for p in params):
+            return names
+    return None if inits else set()
+
+
 class Registry:
     def __init__(self) -> None:
         self._items: dict[tuple[str, str], Callable[..., Any]] = {}
@@ -33,10 +45,8 @@ class Registry:
         """An instance from ``cfg`` overlaid by ``runtime``; arguments that it doesn't take are left out."""
         cls = self.get(kind, name)
         args = {**(cfg or {}), **(runtime or {})}
-        takes = inspect.signature(cls.__init__ if inspect.isclass(cls) else cls).parameters
-        if not any(p.kind is p.VAR_KEYWORD for p in takes.values()):
-            args = {k: v for k, v in args.items() if k in takes}
-        return cls(**args)
+        takes = _accepted(cls)
+        return cls(**{k: v for k, v in args.items() if takes is None or k in takes})
 
 
 REGISTRY = Registry()
