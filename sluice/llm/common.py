@@ -82,7 +82,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def chunks_of(texts: list, weight: int = 4_000_000):
+def chunks_of(texts: list, weight: int = 1_000_000):
     """Runs of whole texts of about ``weight`` characters, so that a task's memory doesn't follow the batch size."""
     start, held = 0, 0
     for i, t in enumerate(texts):

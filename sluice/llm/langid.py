@@ -12,18 +12,16 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .arrow import map_columns
+from .arrow import map_columns, row_filter
 from .common import chunks_of, crc_fold, hash_share
 
 #: Symbols of the parse: 0 is any run of characters that aren't letters, 1 is a letter that no sample holds.
 OTHER, UNSEEN = 0, 1
 #: Texts are parsed in segments of so many symbols; each segment starts a phrase of its own.
-SEGMENT = 2048
+SEGMENT = 1024
 
 
 @functools.lru_cache(1)
@@ -106,7 +104,7 @@ class CrossParser:
         raw = [(t or "").lower() for t in texts]
         lens = np.fromiter(map(len, raw), np.int64, m)
         codes = self.lut[_codes("".join(raw))]
-        owner = np.repeat(np.arange(m), lens)
+        owner = np.repeat(np.arange(m, dtype=np.int32), lens)
         first = np.ones(len(owner), bool)
         first[1:] = owner[1:] != owner[:-1]
         keep = np.ones(len(codes), bool)
@@ -121,17 +119,16 @@ class CrossParser:
         size = np.minimum(SEGMENT, lens[seg_doc] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
         at, size, seg_doc = at[order], size[order], seg_doc[order]
-        phrases = np.zeros((k, m))
+        # all languages step together
         step = self.step
-        for j in range(k):
-            state = np.full(len(at), self.roots[j], step.dtype)
-            ended = np.zeros(len(at), np.int32)
-            for t in range(int(size[0]) if len(size) else 0):
-                live = int(np.searchsorted(-size, -t, side="left"))
-                x = step.take(state[:live] + codes.take(at[:live] + t))
-                ended[:live] += x & 1
-                state[:live] = x >> 1
-            phrases[j] = np.bincount(seg_doc, ended + 1, minlength=m)
+        state = np.repeat(np.array(self.roots, step.dtype)[:, None], len(at), axis=1)
+        ended = np.ones((k, len(at)), np.int32)
+        for t in range(int(size[0]) if len(size) else 0):
+            live = int(np.searchsorted(-size, -t, side="left"))
+            x = step.take(state[:, :live] + codes.take(at[:live] + t))
+            ended[:, :live] += x & 1
+            state[:, :live] = x >> 1
+        phrases = np.array([np.bincount(seg_doc, e, minlength=m) for e in ended])
         return (phrases * np.array(self.bits)[:, None] / np.maximum(1, lens)).T, has
 
 
@@ -180,14 +177,11 @@ def predictions(texts: list, samples: tuple[tuple[str, str], ...], sharpness: fl
 
 def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` in a learned language with a score of at least ``least``, all columns as they are; nothing is shuffled."""
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def known(t: pd.Series) -> pd.Series:
-        pred, score = predictions([x if isinstance(x, str) else None for x in t], samples)
-        return pd.Series((np.array(pred, object) != "und") & (score >= least))
+    def known(texts: list) -> list:
+        pred, score = predictions(texts, samples)
+        return [p != "und" and s >= least for p, s in zip(pred, score)]
 
-    return docs.where(known(F.col(text)))
+    return row_filter(docs, text, known)
 
 
 def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -12,13 +12,11 @@ import functools
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship_package
-from .arrow import map_columns
+from .arrow import map_columns, row_filter
 from .common import crc_fold, hash_share
 
 #: Bytes compressed at once: small enough that the dictionary, not the text's own start, is what matches.
@@ -122,13 +120,7 @@ def probability(texts: list, model: Model) -> np.ndarray:
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they are; nothing is shuffled."""
-    ship_package(docs.sparkSession)
-
-    @F.pandas_udf("boolean")
-    def good_enough(t: pd.Series) -> pd.Series:
-        return pd.Series(probability([x if isinstance(x, str) else None for x in t], model) >= threshold)
-
-    return docs.where(good_enough(F.col(text)))
+    return row_filter(docs, text, lambda texts: probability(texts, model) >= threshold)
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", key: str = "doc_id", threshold: float = 0.3) -> DataFrame:

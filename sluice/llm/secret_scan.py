@@ -7,14 +7,15 @@ the window belongs to a span. An allow-list keeps known harmless forms out.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_columns
+from ..session import ship_package
+from .arrow import map_columns, slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -137,13 +138,11 @@ def redact_text(text: str | None, mark: str = "<{}>") -> str | None:
 
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with secrets in ``text`` replaced; other columns stay, but for a length column that follows the text."""
-    from ..session import ship_package
-
     ship_package(docs.sparkSession)
 
-    @F.pandas_udf("string")
-    def clean(t):
-        return t.map(redact_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def clean(values: pa.Array) -> pa.Array:
+        return pa.array([redact_text(t) for part in slices(values) for t in part.to_pylist()], pa.string())
 
     out = docs.withColumn(text, clean(F.col(text)))
     if n_chars and n_chars in docs.columns:

@@ -13,7 +13,7 @@ from .common import U64, mix64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Positions of the circulant permutation; shingles hash onto them before the exact check.
 BITS = 21
-MEMO = 400_000
+MEMO = 150_000
 
 
 class WordHash(dict):
