@@ -84,9 +84,12 @@ class CrossParser:
         for c in coded:
             sym = self.symbols(c)
             t = automaton(sym[sym != UNSEEN], self.width)
-            # one step of a parse: (next state's row) * 2 + (1 if a phrase ended before this symbol)
+            # one step of a parse: (next state's row) * 2 + (1 if a phrase starts with this symbol); a symbol that the
+            # sample lacks is a phrase of its own
             root = np.where(t[0] >= 0, t[0], 0)
-            tables.append(np.where(t >= 0, (t + base) * self.width * 2, (root + base)[None, :] * self.width * 2 + 1).astype(np.int64))
+            moves = np.where(t >= 0, (t + base) * self.width * 2, (root + base)[None, :] * self.width * 2 + 1).astype(np.int64)
+            moves[0] |= 1
+            tables.append(moves)
             self.roots.append(base * self.width)
             self.bits.append(math.log2(max(2, len(sym))))
             base += len(t)
@@ -122,13 +125,13 @@ class CrossParser:
         # all languages step together
         step = self.step
         state = np.repeat(np.array(self.roots, step.dtype)[:, None], len(at), axis=1)
-        ended = np.ones((k, len(at)), np.int32)
+        begun = np.zeros((k, len(at)), np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, side="left"))
             x = step.take(state[:, :live] + codes.take(at[:live] + t))
-            ended[:, :live] += x & 1
+            begun[:, :live] += x & 1
             state[:, :live] = x >> 1
-        phrases = np.array([np.bincount(seg_doc, e, minlength=m) for e in ended])
+        phrases = np.array([np.bincount(seg_doc, e, minlength=m) for e in begun])
         return (phrases * np.array(self.bits)[:, None] / np.maximum(1, lens)).T, has
 
 
