@@ -116,6 +116,45 @@ class Tscl(_Mixer):
         return self.softmax(self.all_domains(stats, slope=0.0), s)
 
 
+@register_mixer("exp3")
+class Exp3(_Mixer):
+    """(1 - gamma) * w / sum(w) + gamma / K from the domains' ``log_weight``; ``updated`` gives the next weights from rewards."""
+
+    def __init__(self, domains: list[str], gamma: float = 0.1, **kw):
+        super().__init__(domains=domains, **kw)
+        if not 0 < gamma <= 1:
+            raise ValueError("gamma must be above 0 and at most 1")
+        self.gamma = gamma
+
+    def mix(self, stats: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
+        df = self.all_domains(stats, log_weight=0.0).withColumn("_e", F.exp(F.col("log_weight") - F.max("log_weight").over(by)))
+        p = (1 - self.gamma) * F.col("_e") / F.sum("_e").over(by) + self.gamma / len(self.domains)
+        return df.select(*self.by, "domain_ord", "domain", p.alias("p"))
+
+    def updated(self, stats: DataFrame, rewards: DataFrame) -> DataFrame:
+        """(domain, log_weight) after one step's (domain, reward), rewards scaled to 0..1; domains without a reward keep theirs."""
+        now = self.all_domains(stats, log_weight=0.0).join(self.mix(stats).select("domain", "p"), "domain").join(rewards.select("domain", "reward"), "domain", "left")
+        return now.select("domain", (F.col("log_weight") + F.coalesce(self.gamma * F.col("reward") / (len(self.domains) * F.col("p")), F.lit(0.0))).alias("log_weight"))
+
+
+@register_mixer("replay_priority")
+class ReplayPriority(_Mixer):
+    """(1 - rho) * rank ** (-1 / beta) + rho * staleness, each as a share; ranks by ``mean``, staleness since ``last_step``."""
+
+    def __init__(self, domains: list[str], rho: float = 0.1, beta: float = 1.0, **kw):
+        super().__init__(domains=domains, **kw)
+        self.rho, self.beta = rho, beta
+
+    def mix(self, stats: DataFrame) -> DataFrame:
+        by = Window.partitionBy(*self.by) if self.by else Window.partitionBy(F.lit(0))
+        df = self.all_domains(stats, mean=0.0, last_step=0)
+        df = df.withColumn("_r", F.pow(F.row_number().over(by.orderBy(F.col("mean").desc(), "domain_ord")).cast("double"), F.lit(-1.0 / self.beta)))
+        df = df.withColumn("_s", (F.max("last_step").over(by) - F.col("last_step")).cast("double"))
+        stale = F.coalesce(F.try_divide(F.col("_s"), F.sum("_s").over(by)), F.lit(1.0 / len(self.domains)))
+        return df.select(*self.by, "domain_ord", "domain", ((1 - self.rho) * F.col("_r") / F.sum("_r").over(by) + self.rho * stale).alias("p"))
+
+
 def ewma(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step",), beta: float = 0.9) -> DataFrame:
     """(domain, ewma) with s = beta * s + (1 - beta) * value from 0, one value a domain and step.
 

@@ -77,3 +77,13 @@ def display_order(df: DataFrame, column: str, order: list[str], *then: str) -> D
 def ranked(df: DataFrame, by: str, *then: str) -> DataFrame:
     """Rows from the best on; a missing value counts as 0."""
     return df.orderBy(F.coalesce(F.col(by), F.lit(0.0)).desc(), *then)
+
+
+def merge_metrics(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """All runs of ``left`` with the metrics of ``right`` where there are any."""
+    return left.join(right, on, "left")
+
+
+def with_outputs(rows: DataFrame, outputs: DataFrame, on: str = "row_id") -> DataFrame:
+    """Rows beside their generated outputs, by an explicit row id."""
+    return rows.join(outputs, on)

@@ -137,3 +137,17 @@ class TruncatedImportance(_ByStep):
 
     def reweight(self, df: DataFrame) -> DataFrame:
         return df.withColumn("weight_tok", F.zip_with("log_probs", "old_log_probs", lambda a, b: F.least(F.exp(a - b), F.lit(float(self.clip)))))
+
+
+@register_reweighter("medium_bump")
+class MediumBump(_ByStep):
+    """A Gaussian bump of a solve rate around ``centre``, with mean 1."""
+
+    def __init__(self, centre: float = 0.5, width: float = 0.25, **kw):
+        super().__init__(**kw)
+        if width <= 0:
+            raise ValueError("width must be positive")
+        self.centre, self.width = centre, width
+
+    def reweight(self, df: DataFrame) -> DataFrame:
+        return self.mean_one(df, F.exp(-F.pow((F.col("score") - self.centre) / self.width, 2) / 2))

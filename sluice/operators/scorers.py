@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,3 +100,41 @@ class DistillGap(Scorer):
         self.check(df)
         gap = F.zip_with("old_log_probs", "teacher_log_probs", lambda a, b: a.cast("double") - b.cast("double"))
         return df.withColumn("score", masked_sum(gap, F.col("response_mask")) / F.greatest(array_total(F.col("response_mask")), F.lit(1.0)))
+
+
+@register_scorer("distill_kl")
+class DistillKl(Scorer):
+    """Token divergence from a teacher at the sampled tokens: k1 is old - teacher, abs its size, k3 exp(-k1) + k1 - 1."""
+
+    requires = ("old_log_probs", "teacher_log_probs", "response_mask")
+    timing, granularity = "post_advantage", "token"
+
+    def __init__(self, estimator: str = "k1"):
+        if estimator not in ("k1", "k3", "abs"):
+            raise ValueError(f"estimator {estimator!r} is none of k1, k3, abs")
+        self.estimator = estimator
+
+    def score(self, df: DataFrame) -> DataFrame:
+        self.check(df)
+        of = {"k1": lambda k: k, "abs": F.abs, "k3": lambda k: F.exp(-k) + k - 1}[self.estimator]
+        return df.withColumn("score", F.zip_with("old_log_probs", "teacher_log_probs", lambda a, b: of(a.cast("double") - b.cast("double"))))
+
+
+class FunctionScorer(Scorer):
+    """A scorer from a vectorised function of pandas columns; Arrow batches carry only the columns that it names.
+
+    The way out for scores that no column expression gives. ``fn(*series) -> series`` must not look across rows.
+    """
+
+    def __init__(self, fn: Callable[..., pd.Series], requires: tuple[str, ...]):
+        self.fn, self.requires = fn, tuple(requires)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        self.check(df)
+        fn = self.fn
+
+        @F.pandas_udf("double")
+        def run(*cols: pd.Series) -> pd.Series:
+            return fn(*cols).astype("float64")
+
+        return df.withColumn("score", run(*self.requires))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.arrays import array_total
@@ -127,3 +130,47 @@ class HighEntropyTokens(Selector):
         ordered = F.array_sort("score")
         cut = F.get(ordered, F.size("score") - _half_even(F.size("score") * self.fraction))
         return df.withColumn("token_kept", F.transform("score", lambda x: x >= cut)).withColumn("kept", F.lit(True))
+
+
+def zero_variance_streak(batch: DataFrame, step: str = "step", group: str = "uid", score: str = "score") -> DataFrame:
+    """(uid, zero_streak): the number of a prompt's latest steps, without a break, in which all its scores were equal."""
+    each = batch.groupBy(group, step).agg(F.var_pop(score).alias("_v"))
+    last = F.max(F.when(F.col("_v") > 0, F.col(step))).over(Window.partitionBy(group))
+    return each.withColumn("_last", last).groupBy(group).agg(F.count_if(F.col("_last").isNull() | (F.col(step) > F.col("_last"))).alias("zero_streak"))
+
+
+@register_selector("history_skip")
+class HistorySkip(Selector):
+    """Before the rollout: prompts with a ``zero_streak`` of at least one stay with probability ``explore``, drawn from a hash of
+    prompt and step, so that a rerun decides alike."""
+
+    def __init__(self, explore: float = 0.1, **kw):
+        super().__init__(**kw)
+        if not 0 <= explore <= 1:
+            raise ValueError("explore must be between 0 and 1")
+        self.explore = explore
+
+    def select(self, df: DataFrame) -> DataFrame:
+        draw = F.pmod((F.col("uid").cast("long") * 31 + F.col(self.step)) * F.lit(2654435761), F.lit(4294967296)) / F.lit(4294967296.0)
+        return df.withColumn("kept", (F.coalesce("zero_streak", F.lit(0)) < 1) | (draw < self.explore))
+
+
+class FunctionSelector(_Grouped):
+    """A selector from a function of one prompt's rows: ``fn(pandas rows) -> boolean array``.
+
+    The way out for rules that no window gives. The rows of one prompt meet in a task; they are the rollouts of a batch.
+    """
+
+    def __init__(self, fn: Callable, **kw):
+        super().__init__(**kw)
+        self.fn = fn
+
+    def select(self, df: DataFrame) -> DataFrame:
+        fn, tie = self.fn, list(self.tie)
+        schema = T.StructType([*df.schema.fields, T.StructField("kept", T.BooleanType())])
+
+        def run(rows):
+            rows = rows.sort_values(tie)
+            return rows.assign(kept=fn(rows))
+
+        return df.groupBy(*self.keys(df)).applyInPandas(run, schema)

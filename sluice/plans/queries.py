@@ -101,6 +101,12 @@ def _(s, d):
     return scorers.DistillGap().score(b).select("vec_id", r6(F.col("score"), "score"))
 
 
+@query("score_distill_kl", f"WITH {E} SELECT vec_id, round(list_sum(list_transform(v, lambda x: exp(x + abs(x)) - abs(x) - x - 1)), 6) AS total FROM e")
+def _(s, d):
+    b = bindings.tokens(s, d).withColumn("teacher_log_probs", F.col("advantages"))
+    return scorers.DistillKl("k3").score(b).select("vec_id", r6(array_total(F.col("score")), "total"))
+
+
 # ---- reweighters
 
 
@@ -128,6 +134,8 @@ def _(s, d):
     return reweighters.LogisticDifficulty().reweight(scorers.GroupSolveRate().score(bindings.rollouts(s, d))).select(*ROW, r6(F.col("weight"), "weight"))
 
 
+_rw("medium_bump", lambda: reweighters.MediumBump(20.0, 10.0), "w AS (SELECT *, exp(-pow((adv - 20) / 10, 2) / 2) AS w FROM r)")
+
 TOK = f"""WITH {E}, t AS (SELECT vec_id, step, list_transform(v, lambda x: 0.5 * exp(-abs(x)) + 0.5) AS w, 1 + vec_id % 64 AS n FROM e),
   s AS (SELECT step AS st, sum(list_sum(w[1:n])) AS sw, sum(n) AS sn FROM t GROUP BY step)"""
 
@@ -208,6 +216,16 @@ def _(s, d):
     return selectors.HighEntropyTokens().select(b).select("vec_id", big(F.size(F.filter("token_kept", lambda x: x)), "n_kept"))
 
 
+STREAK = f"{R}, v AS (SELECT uid, l_linenumber AS step, var_pop(reward) AS v FROM r GROUP BY ALL), z AS (SELECT *, max(CASE WHEN v > 0 THEN step END) OVER (PARTITION BY uid) AS last FROM v), k AS (SELECT uid, count(*) FILTER (WHERE last IS NULL OR step > last) AS zero_streak FROM z GROUP BY uid)"
+
+
+@query("sel_history_skip", f"WITH {STREAK} SELECT uid, zero_streak FROM k WHERE zero_streak < 1 OR ((uid * 31 + 7) * 2654435761 % 4294967296) / 4294967296.0 < 0.1")
+def _(s, d):
+    b = bindings.rollouts(s, d).select("uid", F.col("l_linenumber").alias("step"), F.col("reward").alias("score"))
+    z = selectors.zero_variance_streak(b).withColumn("step", F.lit(7))
+    return selectors.HistorySkip(0.1).select(z).where("kept").select("uid", "zero_streak")
+
+
 @query("mask_from_selection", f"WITH {R} SELECT step, uid, CAST(max(CASE WHEN domain = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY step, uid) AS DOUBLE) AS weight FROM r")
 def _(s, d):
     b = bindings.rollouts(s, d)
@@ -283,6 +301,19 @@ def _(s, d):
     return m.select(big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
 
 
+@query("mix_exp3", f"WITH {OBS}, {DOM}, m AS (SELECT domain, avg(value) / 100 AS lw FROM o GROUP BY domain), j AS (SELECT d.*, coalesce(lw, 0) AS lw FROM d LEFT JOIN m USING (domain)), e AS (SELECT *, exp(lw - max(lw) OVER ()) AS e FROM j) SELECT domain_ord, domain, round(0.9 * e / sum(e) OVER () + 0.1 / 6, 6) AS p FROM e")
+def _(s, d):
+    w = bindings.observations(s, d).groupBy("domain").agg((F.avg("value") / 100).alias("log_weight"))
+    return mixers.Exp3(DOMAINS, 0.1).mix(w).select(big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
+
+
+@query("mix_replay_priority", f"WITH {OBS}, {DOM}, m AS (SELECT domain, avg(value) AS mean, max(step) - length(domain) AS last_step FROM o GROUP BY domain), j AS (SELECT d.*, coalesce(mean, 0) AS mean, coalesce(last_step, 19000) AS ls FROM d LEFT JOIN m USING (domain)), k AS (SELECT *, 1.0 / row_number() OVER (ORDER BY mean DESC, domain_ord) AS r, max(ls) OVER () - ls AS s FROM j) SELECT domain_ord, domain, round(CAST(0.8 * r / sum(r) OVER () + 0.2 * s / sum(s) OVER () AS DOUBLE), 6) AS p FROM k")
+def _(s, d):
+    w = bindings.observations(s, d).groupBy("domain").agg(F.avg("value").alias("mean"), (F.max("step") - F.length("domain")).alias("last_step"))
+    w = w.union(s.createDataFrame([("refund", 0.0, 19000)], "domain string, mean double, last_step int"))
+    return mixers.ReplayPriority(DOMAINS, 0.2).mix(w).select(big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
+
+
 REPLAY = f"""WITH {STAT}, {DOM}, a AS (SELECT step, domain, arg_max(mean, row(ts, event_id)) AS mean FROM w GROUP BY step, domain),
   g AS (SELECT s.step, x.domain FROM (SELECT DISTINCT step FROM o) s CROSS JOIN (SELECT DISTINCT domain FROM a) x),
   f AS (SELECT g.step, g.domain, last_value(mean IGNORE NULLS) OVER (PARTITION BY g.domain ORDER BY g.step) AS mean FROM g LEFT JOIN a ON g.step = a.step AND g.domain = a.domain),
@@ -508,11 +539,8 @@ def _(s, d):
 def _(s, d):
     e = bindings.table(s, d, "events")
     line = F.concat(F.lit("step 1 m_"), "event_type", F.lit(":"), F.col("value").cast("string"), F.lit(" other:1"))
-    found = F.regexp_extract_all(line, F.lit(r"m_[a-z0-9_]*:[0-9.]+"), F.lit(0))
-    one = log_metrics(e.select(F.concat(line, F.lit(" x")).alias("value"), "event_id"), "m_")
-    assert one.columns == ["metric", "number"]
-    x = e.select("event_id", F.explode(found).alias("m"))
-    return x.select("event_id", F.substring_index("m", ":", 1).alias("metric"), F.round(F.substring_index("m", ":", -1).try_cast("double"), 2).alias("number"))
+    out = log_metrics(e.select("event_id", line.alias("value")), "m_", keep=("event_id",))
+    return out.withColumn("number", F.round("number", 2))
 
 
 # ---- evaluation reports
@@ -589,6 +617,13 @@ def _(s, d):
     return reports.completeness(_wide(s, d), COLS)
 
 
+@query("eval_merge", f"WITH {WIDE} SELECT a.scale, a.method, CAST(a.seed AS BIGINT) AS seed, round(a.b1, 6) AS b1, round(b.b2, 6) AS b2 FROM x a LEFT JOIN (SELECT * FROM x WHERE seed % 2 = 0) b ON a.scale = b.scale AND a.method = b.method AND a.seed = b.seed")
+def _(s, d):
+    w, on = _wide(s, d), ["scale", "method", "seed"]
+    m = reports.merge_metrics(w.select(*on, "b1"), w.where("seed % 2 = 0").select(*on, "b2"), on)
+    return m.select("scale", "method", big(F.col("seed"), "seed"), r6(F.col("b1"), "b1"), r6(F.col("b2"), "b2"))
+
+
 @query("eval_distinct_runs", f"WITH {RUNS} SELECT scale, count(DISTINCT method || '_s' || seed) AS n FROM runs GROUP BY scale")
 def _(s, d):
     return bindings.runs(s, d).groupBy("scale").agg(F.countDistinct(F.concat_ws("_s", "method", F.col("seed").cast("string"))).alias("n"))

@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.arrays import masked_sum, reward_column
 from ..operators.mixers import carry_forward, domain_windows
@@ -37,6 +38,11 @@ class Schedule:
         cfg = METHODS[method]
         return None if cfg is None else cls(cfg, **kw)
 
+    def needed(self, batch: DataFrame) -> DataFrame:
+        """Only the columns that scoring and acting read, so that a scan of the batch reads no others."""
+        want = [*self.scorer.requires, "response_mask", "step", *self.actuator.tie, *(["uid"] if "uid" in batch.columns else []), *[c for c in ("rm_scores", "token_level_scores") if c in batch.columns]]
+        return batch.select(*dict.fromkeys(c for c in want if c in batch.columns))
+
     def weights(self, batch: DataFrame) -> DataFrame:
         """``batch`` with score, kept or weight, and ``rollout_is_weights``: the weight of each token, 0 where masked."""
         out = self.scorer.score(batch)
@@ -95,8 +101,6 @@ class MixReplay:
         steps = obs.select("step").distinct().where((F.col("step") >= self.meta["warmup_step"]) & (F.col("step") % max(1, self.meta["update_step"]) == 0))
         # a domain without rows in a step keeps its latest statistics
         grid = obs.select("step").distinct().crossJoin(at.select("domain").distinct())
-        from pyspark.sql.window import Window
-
         upto = Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
         full = grid.join(at, ["step", "domain"], "left")
         full = full.select("step", "domain", *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in ("mean", "slope", "count")]).where("mean is not null")

@@ -69,7 +69,7 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(p, F.lit(0)).alias("scale"), F.get(p, F.lit(1)).alias("name"), F.get(p, F.lit(2)).try_cast("int").alias("seed"), F.get(p, F.lit(3)).alias("args"))
 
 
-def log_metrics(lines: DataFrame, prefix: str, column: str = "value") -> DataFrame:
-    """(metric, number) of each prefix<name>:<number> in log lines."""
-    found = lines.select(F.explode(F.regexp_extract_all(column, F.lit(rf"{prefix}[a-z0-9_]*:[0-9.]+"), F.lit(0))).alias("m"))
-    return found.select(F.substring_index("m", ":", 1).alias("metric"), F.substring_index("m", ":", -1).try_cast("double").alias("number"))
+def log_metrics(lines: DataFrame, prefix: str, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(kept columns, metric, number) of each prefix<name>:<number> in log lines."""
+    found = lines.select(*keep, F.explode(F.regexp_extract_all(column, F.lit(rf"{prefix}[a-z0-9_]*:[0-9.]+"), F.lit(0))).alias("m"))
+    return found.select(*keep, F.substring_index("m", ":", 1).alias("metric"), F.substring_index("m", ":", -1).try_cast("double").alias("number"))

@@ -107,6 +107,37 @@ def test_max_variance_brute_force(spark, seed):
             assert row.v == pytest.approx(max(var(c) for c in itertools.combinations(g, n)), abs=1e-8)
 
 
+def test_functions_as_components(spark):
+    b = batch(spark, [1, 2, 3, 4], list("AABB"))
+    doubled = scorers.FunctionScorer(lambda s: s * 2, ("score",)).score(b)
+    assert col(doubled) == [2, 4, 6, 8]
+    best = selectors.FunctionSelector(lambda rows: rows["score"] == rows["score"].max()).select(b)
+    assert kept(best) == [1, 3]
+    with pytest.raises(KeyError):
+        scorers.FunctionScorer(lambda s: s, ("nothing",)).score(b)
+
+
+def test_optional_components(spark):
+    w = col(reweighters.MediumBump().reweight(batch(spark, [0, 0.5, 1])), "weight")
+    assert w[1] > w[0] == pytest.approx(w[2]) and sum(w) == pytest.approx(3)
+    m = mixers.Exp3(["a", "b"], 0.2)
+    s = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "domain string, log_weight double")
+    assert props(m.mix(s)) == {"a": 0.5, "b": 0.5}
+    s = m.updated(s, spark.createDataFrame([("a", 1.0)], "domain string, reward double"))
+    assert {r.domain: r.log_weight for r in s.collect()} == {"a": pytest.approx(0.2), "b": 0.0} and props(m.mix(s))["a"] > 0.5
+    s = spark.createDataFrame([("a", 0.9, 5), ("b", 0.1, 1)], "domain string, mean double, last_step int")
+    p = props(mixers.ReplayPriority(["a", "b"], 0.5).mix(s))
+    assert p["a"] == pytest.approx(0.5 * 2 / 3) and p["b"] == pytest.approx(0.5 / 3 + 0.5)
+    b = batch(spark, [1, 1, 0, 1], list("AABB")).union(batch(spark, [1, 1, 1, 1], list("AABB"), step=1))
+    z = {r.uid: r.zero_streak for r in selectors.zero_variance_streak(b).collect()}
+    assert z == {"A": 2, "B": 1}
+
+
+def test_needed_columns(spark):
+    s = Schedule.named("gfpo", runtime={"tie": ("row_id",)})
+    assert set(s.needed(batch(spark, [1.0])).columns) == {"response_mask", "step", "row_id", "uid", "rm_scores"}
+
+
 def test_empty_batch(spark):
     b = batch(spark, [1.0]).limit(0)
     for s in (selectors.TopkFraction(), selectors.Gfpo(), selectors.MaxVariance(), selectors.ThresholdBand()):
