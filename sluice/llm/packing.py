@@ -1,7 +1,7 @@
 """Packing of token pieces into sequences: bounded-space online best fit.
 
-A partition is packed on its own and in one pass: pieces go, as they come, to the fullest open sequence that
-has room. Open sequences lie on stacks keyed by free space, and a bitset marks the stacks in use, so that a
+A partition is packed on its own and in one pass: pieces go, the longest of each thousand documents first, to the
+fullest open sequence that has room. Open sequences lie on stacks keyed by free space, and a bitset marks the stacks in use, so that a
 piece costs a few integer operations. When all places for open sequences are taken, the fullest closes.
 """
 
@@ -118,9 +118,10 @@ def pack(docs: DataFrame, tokenizer: str, *, text: str | Column = "text", key: s
             rows = []
             for k, t in zip(keys, texts):
                 ids = enc.ids(t) + end
-                for i, (a, n) in enumerate(pieces(len(ids) // 4, room)):
-                    at, off = packer.put(n)
-                    rows.append((k, i, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)]), base + at, off))
+                rows += [[k, i, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])] for i, (a, n) in enumerate(pieces(len(ids) // 4, room))]
+            for r in sorted(rows, key=lambda r: -r[3]):
+                at, off = packer.put(r[3])
+                r += [base + at, off]
             return dict(zip((key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"), map(list, zip(*rows))))
 
         return run
