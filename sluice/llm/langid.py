@@ -22,6 +22,8 @@ from .common import chunks_of, crc_fold, hash_share
 OTHER, UNSEEN = 0, 1
 #: Texts are parsed in segments of so many symbols; each segment starts a phrase of its own.
 SEGMENT = 1024
+#: Cells of all automata together (128 MB): with more than ten languages the samples get shorter to stay below.
+TABLE_CELLS = 1 << 25
 
 
 @functools.lru_cache(1)
@@ -145,13 +147,14 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
 
     The only bounded read of the engine's language ID: about ``sample_docs`` documents a language, chosen by a
     hash of the id, at most ``doc_chars`` characters of each and ``sample_chars`` in all, so that what the
-    driver holds depends on the number of languages alone.
+    driver and a worker hold is bounded (see TABLE_CELLS).
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = rows if where is None else rows.where(where)
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return ()
+    sample_chars = min(sample_chars, TABLE_CELLS // (128 * len(counts)))
     share = F.lit(False)
     for name, n in counts.items():
         share = share | ((F.col(lang) == name) & hash_share(key, 2 * sample_docs / n))
