@@ -138,16 +138,44 @@ def test_chat(spark):
 
 
 def test_pipeline(spark):
+    """Each stage against plain Python on the rows that it gets."""
     cp = pytest.importorskip("corpus_pipeline")
+    from sluice.llm import langid, quality, secret_scan
+
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     before = docs
     for name, stage in cp.STAGES[:-1]:
-        after = stage(spark, before, d).cache()
-        assert after.columns == docs.columns and after.count() <= before.count(), name
-        before = after
-    got = cp.run(spark, d)
-    assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r.doc_id for r in before.select("doc_id").collect()}
-    empty = before.limit(0)
+        after = stage(spark, before, d)
+        rows = [r.asDict() for r in after.collect()]
+        assert after.columns == docs.columns
+        texts = {r.doc_id: r.text for r in before.collect()}
+        if name == "quality":
+            model = quality.learn(before, spark.read.parquet(f"{d}/labels.parquet"))
+            want = {i: t for i, t in texts.items() if quality.probability([t], model)[0] >= 0.3}
+        elif name == "language":
+            samples = langid.learn(before)
+            found = {i: langid.predictions([t], samples) for i, t in texts.items()}
+            want = {i: t for i, t in texts.items() if found[i][0] != ["und"] and found[i][1][0] >= cp.LANG_SCORE}
+        elif name == "near_duplicates":
+            ids = sorted(texts)
+            sets = [set(shingle_set(texts[i], 5).tolist()) for i in ids]
+            links = [(a, b) for a in range(len(ids)) for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            at = find_all(len(ids), links)
+            want = {i: texts[i] for n, i in enumerate(ids) if at[n] == n}
+            assert len(want) < len(texts)
+        else:
+            want = {i: secret_scan.redact_text(t) for i, t in texts.items()}
+            assert all(r["n_chars"] == len(r["text"]) for r in rows)
+        assert {r["doc_id"]: r["text"] for r in rows} == want and len(rows) == len(want), name
+        before = spark.createDataFrame(rows, docs.schema)
+    packed = cp.run(spark, d).collect()
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert {r.doc_id for r in packed} == set(want)
+    for places in by.values():
+        places.sort()
+        assert [a for a, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 1024
     for _, stage in cp.STAGES:
-        assert stage(spark, empty, d).count() == 0
+        assert stage(spark, before.limit(0), d).count() == 0
