@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .arrow import map_columns
 from .packing import byte_alphabet
 
-MEMO = 200_000
+MEMO = 150_000
 #: How files of this kind split text into words (fixed values of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SUFFIX = "</w>"
@@ -74,7 +74,7 @@ class SuffixAutomaton:
 
 
 class WordBpe(dict):
-    """Chunk without blanks to (ids in decimal, token strings), each joined by spaces. The memo is cleared when full."""
+    """Chunk without blanks to (ids in decimal, token strings), each joined by spaces, with a memo of two bounded generations."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -110,8 +110,17 @@ class WordBpe(dict):
                     s[-1] += 256
                 self.ids_of.append(i)
                 strings.append(tuple(s))
-        self.sam = SuffixAutomaton(strings)
+        if n >= 1 << 24 or len({c for x in strings for c in x if len(x) == 1}) < 512:
+            raise ValueError("the vocabulary is too large or lacks a byte")
+        sam = self.sam = SuffixAutomaton(strings)
+        #: by state the (id, length) of the tokens that end where its longest string does, longest first; part: without that string
+        self.full: list[tuple] = [()] * len(sam.next)
+        self.part: list[tuple] = [()] * len(sam.next)
+        for u in sorted(range(1, len(sam.next)), key=sam.length.__getitem__):
+            self.part[u] = self.full[sam.up[u]]
+            self.full[u] = ((self.ids_of[sam.token[u]], sam.length[u]), *self.part[u]) if sam.token[u] >= 0 else self.part[u]
         self.known: dict[int, bool] = {}
+        self.old: dict[str, tuple[str, str]] = {}
         self.get = self.__getitem__
 
     def _compatible(self, a: int, b: int, before: int = _NEVER) -> bool:
@@ -137,22 +146,21 @@ class WordBpe(dict):
         """The ids of one word."""
         s = list(text.encode("utf-8", "surrogatepass"))
         s[-1] += 256
-        sam, known, ids_of = self.sam, self.known, self.ids_of
-        nxt, link, length, token, up = sam.next, sam.link, sam.length, sam.token, sam.up
+        known, full, part = self.known, self.full, self.part
+        nxt, link, length = self.sam.next, self.sam.link, self.sam.length
         last, size = [-1], [0]
         state = held = 0
         for i, c in enumerate(s, 1):
-            while state and c not in nxt[state]:
+            row = nxt[state]
+            while c not in row:  # ends at the root, which has every symbol
                 state = link[state]
-                held = length[state]
-            state = nxt[state].get(c, 0)
-            held = held + 1 if state else 0
-            u = state if token[state] >= 0 and length[state] <= held else up[state]
-            while u:
-                t, p = ids_of[token[u]], i - length[u]
-                if p == 0:
+                held, row = length[state], nxt[state]
+            state, held = row[c], held + 1
+            for t, n in full[state] if held == length[state] else part[state]:
+                p = i - n
+                if not p:
                     break
-                q = last[p] << 32 | t
+                q = last[p] << 24 | t
                 ok = known.get(q)
                 if ok is None:
                     if len(known) >= MEMO:
@@ -160,11 +168,10 @@ class WordBpe(dict):
                     ok = known[q] = self._compatible(last[p], t)
                 if ok:
                     break
-                u = up[u]
             else:
                 raise ValueError(f"no token ends at {i} of {text!r}")
             last.append(t)
-            size.append(length[u])
+            size.append(n)
         out, i = [], len(s)
         while i:
             out.append(last[i])
@@ -172,14 +179,19 @@ class WordBpe(dict):
         return out[::-1]
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
-        words = self.words(chunk)
-        if words == [chunk]:
-            ids = self.word(chunk)
-            out = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
-        else:
-            parts = [self[w] for w in words]
-            out = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-        if len(self) >= MEMO:
+        out = self.old.get(chunk)
+        if out is None:
+            words = self.words(chunk)
+            if words == [chunk]:
+                ids = self.word(chunk)
+                out = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+            else:
+                parts = [self[w] for w in words]
+                out = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
+                if len(chunk) > 6:  # mostly a word with a mark or a capital; its words are kept
+                    return out
+        if len(self) >= MEMO:  # what was used since the last time stays at hand
+            self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
