@@ -181,14 +181,21 @@ class WordBpe(dict):
     def __missing__(self, chunk: str) -> tuple[str, str]:
         out = self.old.get(chunk)
         if out is None:
-            words = self.words(chunk)
+            mark = chunk[-1] if chunk[-1] in ",." else ""
+            body = chunk[: len(chunk) - len(mark)]
+            if body.isalpha() and max(body) < "\u0250" and "\u0130" not in body:  # Latin letters, then a mark at most: no pattern is needed
+                words = [body.lower(), mark] if mark else [body.lower()]
+            else:
+                words = self.words(chunk)
             if words == [chunk]:
                 ids = self.word(chunk)
                 out = " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])
+            elif len(words) == 1:
+                return self[words[0]]
             else:
                 parts = [self[w] for w in words]
                 out = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
-                if len(chunk) > 6:  # mostly a word with a mark or a capital; its words are kept
+                if len(chunk) > 6:  # mostly a word with a mark; its words are kept
                     return out
         if len(self) >= MEMO:  # what was used since the last time stays at hand
             self.old = dict(self)

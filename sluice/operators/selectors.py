@@ -76,8 +76,9 @@ class MaxVariance(_Grouped):
     """The n = max(1, round-half-even(fraction * size)) rows of each prompt whose scores have the largest variance.
 
     The best subset takes some lowest and some highest rows, so n + 1 splits suffice. Prefix sums give each split's
-    variance from two rows of the ranked group, which an equi-join brings together: work and rows are linear in the
-    group. Of equal variances the split with fewest low rows wins.
+    variance from two rows of the ranked group; each row is sent to the splits that it bounds, two at most, so work is
+    linear in the group, and all windows share one shuffle by prompt. Of equal variances the split with fewest low rows
+    wins.
     """
 
     def __init__(self, keep_fraction: float = 0.5, **kw):
@@ -91,19 +92,20 @@ class MaxVariance(_Grouped):
         by = Window.partitionBy(*keys)
         order = by.orderBy(F.col("score").asc_nulls_first(), *self.tie)
         upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        r = df.withColumns({"_rk": F.row_number().over(order), "_g": F.count("*").over(by), "_s1": F.sum("score").over(upto), "_s2": F.sum(F.col("score") * F.col("score")).over(upto), "_t1": F.sum("score").over(by), "_t2": F.sum(F.col("score") * F.col("score")).over(by)})
+        r = df.withColumns({"_rk": F.row_number().over(order), "_s1": F.sum("score").over(upto), "_s2": F.sum(F.col("score") * F.col("score")).over(upto)})
+        r = r.withColumns({"_g": F.count("*").over(by), "_t1": F.sum("score").over(by), "_t2": F.sum(F.col("score") * F.col("score")).over(by)})
         r = r.withColumn("_n", _half_even(F.col("_g") * self.keep_fraction))
-        names = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-        kn = [f"_k{i}" for i in range(len(keys))]
-        high = r.where("_n < _g and _rk >= _g - _n").select(*names, "_n", (F.col("_rk") - F.col("_g") + F.col("_n")).alias("_a"), (F.col("_t1") - F.col("_s1")).alias("_h1"), (F.col("_t2") - F.col("_s2")).alias("_h2"))
-        low = r.where("_n < _g and _rk <= _n").select(*names, F.col("_rk").alias("_a"), F.col("_s1").alias("_l1"), F.col("_s2").alias("_l2"))
-        both = high.join(low, [*kn, "_a"], "left").fillna(0.0, ["_l1", "_l2"])
-        var = F.round((F.col("_h2") + F.col("_l2")) / F.col("_n") - F.pow((F.col("_h1") + F.col("_l1")) / F.col("_n"), 2), 9)
-        best = both.groupBy(*kn).agg(F.min_by("_a", F.struct((-var).alias("v"), "_a")).alias("_best"))
-        on = [r[k].eqNullSafe(best[n]) for k, n in zip(keys, kn)]
-        out = r.join(best, on, "left")
+        # a split takes the _a lowest rows (the prefix up to rank _a) and the highest (what follows rank _g - _n + _a)
+        ends = F.array(F.struct(F.lit(False).alias("high"), F.col("_rk").cast("long").alias("a")), F.struct(F.lit(True).alias("high"), (F.col("_rk") - F.col("_g") + F.col("_n")).alias("a")))
+        r = r.withColumn("_e", F.explode(ends)).withColumns({"_a": F.col("_e.a"), "_high": F.col("_e.high")}).where("not _high or (_n < _g and _a >= 0)")
+        split = Window.partitionBy(*keys, "_a")
+        s1 = F.sum(F.when(F.col("_high"), F.col("_t1") - F.col("_s1")).otherwise(F.col("_s1"))).over(split)
+        s2 = F.sum(F.when(F.col("_high"), F.col("_t2") - F.col("_s2")).otherwise(F.col("_s2"))).over(split)
+        r = r.withColumn("_v", F.round(s2 / F.col("_n") - F.pow(s1 / F.col("_n"), 2), 9)).withColumn("_real", F.max("_high").over(split))
+        best = F.min(F.when(F.col("_real"), F.struct((-F.col("_v")).alias("v"), F.col("_a").alias("a")))).over(by)["a"]
+        r = r.withColumn("_best", best).where("not _high")
         kept = (F.col("_n") >= F.col("_g")) | (F.col("_rk") <= F.col("_best")) | (F.col("_rk") > F.col("_g") - F.col("_n") + F.col("_best"))
-        return out.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*df.columns, "kept")
+        return r.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*df.columns, "kept")
 
 
 @register_selector("max_min")
