@@ -16,11 +16,14 @@ import unicodedata
 
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .arrow import map_columns
 from .packing import byte_alphabet
 
 MEMO = 150_000
+#: Chunks with more characters are not kept, so that a memo's size is bounded in bytes too.
+LONG = 64
 #: How files of this kind split text into words (fixed values of the format).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SUFFIX = "</w>"
@@ -77,6 +80,7 @@ class WordBpe(dict):
     """Chunk without blanks to (ids in decimal, token strings), each joined by spaces, with a memo of two bounded generations."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -197,15 +201,27 @@ class WordBpe(dict):
                 out = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
                 if len(chunk) > 6:  # mostly a word with a mark; its words are kept
                     return out
+        if len(chunk) > LONG:
+            return out
         if len(self) >= MEMO:  # what was used since the last time stays at hand
             self.old = dict(self)
             self.clear()
         self[chunk] = out
         return out
 
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        """The file's own normaliser and splitter, for characters that are newer than this Python's tables."""
+        return Tokenizer.from_file(self.path)
+
     def words(self, chunk: str) -> list[str]:
-        if not chunk.isascii() and not unicodedata.is_normalized("NFC", chunk):
-            chunk = unicodedata.normalize("NFC", chunk)
+        """The words of a chunk, lower-cased and in composed form."""
+        if not chunk.isascii():
+            if any(unicodedata.category(c) == "Cn" for c in chunk):
+                chunk = self.library.normalizer.normalize_str(chunk)
+                return [chunk[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+            if not unicodedata.is_normalized("NFC", chunk):
+                chunk = unicodedata.normalize("NFC", chunk)
         return self.find(chunk.lower() if "Σ" not in chunk else "".join([c.lower() for c in chunk]))
 
     def encode(self, text: str | None) -> tuple[str, str]:
