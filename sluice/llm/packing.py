@@ -12,9 +12,11 @@ import json
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from tokenizers import Tokenizer
 
 from .arrow import map_columns
 
@@ -35,6 +37,7 @@ class ByteBpe:
     """A byte-level BPE file of the tokenizers library, run by tiktoken, which gives the same ids several times as fast."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         back = byte_alphabet()
@@ -44,7 +47,20 @@ class ByteBpe:
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.enc.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() if text else b""
+        if not text:
+            return b""
+        try:
+            got = self.enc.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # tiktoken's pattern gives up on hundreds of thousands of blanks in a row
+            got = np.array(self.library.encode(text, add_special_tokens=False).ids)
+        return got.astype("<u4").tobytes()
+
+    @functools.cached_property
+    def library(self) -> Tokenizer:
+        t = Tokenizer.from_file(self.path)
+        t.no_truncation()
+        t.no_padding()
+        return t
 
 
 @functools.lru_cache(2)
