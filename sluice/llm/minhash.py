@@ -135,9 +135,12 @@ def groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: in
 
 
 def drop_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one row of each group; rows with a null key stay, as no group can be named by them."""
+    """``docs`` with one row of each group; rows with a null key stay, as no group can be named by them.
+
+    Repeated rows are one. Rows of one key with different texts are different documents and stay if their key names a group.
+    """
     kept = groups(docs, text=text, key=key, **options).where("kept").select(key).where(F.col(key).isNotNull()).distinct()
-    named = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    named = docs.join(kept, key, "left_semi").dropDuplicates([key, text])
     return named.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
 
 

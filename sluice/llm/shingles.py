@@ -13,16 +13,18 @@ from .common import U64, mix64
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Positions of the circulant permutation; shingles hash onto them before the exact check.
 BITS = 21
-MEMO = 150_000
+MEMO, LONG = 150_000, 64
 
 
 class WordHash(dict):
-    """Word to 64-bit hash; cleared when full, so that a worker's memory stays bounded."""
+    """Word to 64-bit hash; cleared when full and without long words, so that a worker's memory stays bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
 

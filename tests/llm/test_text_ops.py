@@ -131,6 +131,20 @@ def test_packing(spark, docs):
     assert packing.op2(docs.limit(0), BYTE).count() == 0
 
 
+def test_packing_of_endless_blanks():
+    from tokenizers import Tokenizer
+
+    tok, enc = Tokenizer.from_file(BYTE), packing.byte_bpe(BYTE)
+    for t in (" " * 1_000_000 + "x", "a" + "\n" * 500_000):
+        assert enc.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_bpe_keeps_no_long_chunks():
+    enc = bpe.WordBpe(WORD)
+    enc.encode("x" * 500 + " short")
+    assert "short" in enc and max(map(len, enc)) <= bpe.LONG
+
+
 def test_packer_is_tight_and_bounded():
     r = random.Random(1)
     sizes = [r.randint(1, 1024) for _ in range(20_000)]
@@ -261,7 +275,7 @@ def test_bpe(spark, docs):
 
     tok = Tokenizer.from_file(WORD)
     r = random.Random(4)
-    extra = ["".join(r.choice("abcdetinorsé 1'.,!") for _ in range(r.randint(1, 80))) for _ in range(300)] + ["ΑΣ İ ﬁ", "a\x1cb\x85c", "<|startoftext|>x<|endoftext|>", "aaaaaaaaaaaa"]
+    extra = ["".join(r.choice("abcdetinorsé 1'.,!") for _ in range(r.randint(1, 80))) for _ in range(300)] + ["ΑΣ İ ﬁ", "a\x1cb\x85c", "漢\U00032824\U00093d73x \ua7cb", "ab1" * 90, "<|startoftext|>x<|endoftext|>", "aaaaaaaaaaaa"]
     d = docs.select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
     rows = {x.doc_id: x for x in bpe.op7(d, WORD).collect()}
     for x in d.collect():
