@@ -73,6 +73,13 @@ def test_near_duplicates(spark, size, percent):
     assert sorted(i for i in ids if i is not None) == sorted({x.doc_id for x in got if x.kept and x.doc_id is not None}) and ids.count(None) == 2
 
 
+def test_rows_of_one_key(spark):
+    """Repeated rows are one document; different texts under one key are two."""
+    one, two = "a b c d e f g", "h i j k l m n"
+    d = spark.createDataFrame([(1, one), (1, one), (1, two), (2, one)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in minhash.drop_duplicates(d).collect()) == [(1, one), (1, two)]
+
+
 def test_far_members_of_a_family(spark):
     """Copies that link to their source but not to each other, and one that links to a copy alone."""
     base = [f"w{i}" for i in range(400)]
