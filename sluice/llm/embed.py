@@ -4,11 +4,16 @@ Filter directions form a structured code: each is a concatenation of one short r
 four blocks of (rotated) dimensions, so that millions of them need only a small table, and the filters that a
 vector exceeds are list-decoded from four short lists of inner products. Vectors that share a filter are
 compared in double precision. A pair counts at its smallest common filter only, so nothing is counted twice.
+
+Several such codes, each turned by a rotation of its own, serve together. A rotation drawn uniformly makes the
+chance that a pair shares no filter depend on its cosine alone, whatever the data, and the chances of the codes
+multiply. That chance is measured on drawn pairs of cosine ``least`` and gives the number of codes (``plan``).
 """
 
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -22,6 +27,8 @@ from .components import components
 BLOCKS = 4
 #: Vectors of a filter that a task compares at once, and the size up to which pairs of a filter are joined as rows.
 CELL, SMALL = 256, 48
+#: The chance with which a pair whose cosine is the bound itself may share no filter.
+MISS = 1e-5
 
 
 class ProductCode:
@@ -34,7 +41,8 @@ class ProductCode:
     def __init__(self, dim: int, width: int, list_size: int, seed: int = 5):
         r = np.random.default_rng(seed)
         self.size = -(-dim // BLOCKS) * BLOCKS
-        self.turn = np.linalg.qr(r.standard_normal((self.size, self.size)))[0][:dim]
+        q, u = np.linalg.qr(r.standard_normal((self.size, self.size)))
+        self.turn = (q * np.where(np.diag(u) < 0, -1.0, 1.0))[:dim]  # signs that make the rotation uniform
         c = r.standard_normal((BLOCKS, width, self.size // BLOCKS))
         self.words = c / np.linalg.norm(c, axis=2, keepdims=True)
         self.width, self.list_size = width, list_size
@@ -54,9 +62,9 @@ class ProductCode:
         return np.sort(np.take_along_axis(x, i, 1).astype(np.int64) * self.width**2 + np.take_along_axis(y, j, 1), axis=1)
 
 
-@functools.lru_cache(4)
-def _code(dim: int, width: int, list_size: int) -> ProductCode:
-    return ProductCode(dim, width, list_size)
+@functools.lru_cache(128)
+def _code(dim: int, width: int, list_size: int, seed: int) -> ProductCode:
+    return ProductCode(dim, width, list_size, seed)
 
 
 def _width(n: int, list_size: int) -> int:
@@ -67,6 +75,42 @@ def _width(n: int, list_size: int) -> int:
     return w
 
 
+def decode(v: np.ndarray, width: int, list_size: int, codes: int) -> np.ndarray:
+    """By unit vector the sorted numbers of its filters in all codes."""
+    step = max(8, (1 << 21) // width**2)
+    of = lambda k: np.concatenate([_code(v.shape[1], width, list_size, 5 + k).decode(v[at : at + step]) for at in range(0, len(v), step)])
+    return np.concatenate([of(k) + k * width**BLOCKS for k in range(codes)], axis=1)
+
+
+@functools.lru_cache(64)
+def _missed(dim: int, width: int, list_size: int, least: float) -> float:
+    """An upper bound, by about two standard errors, of the chance that a pair of cosine ``least`` shares no filter of one code."""
+    n = min(2000, max(256, (1 << 23) // width**2))
+    r = np.random.default_rng(dim)
+    a, b = r.standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = least * a + math.sqrt(max(0.0, 1 - least**2)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (decode(v, width, list_size, 1) for v in (a, b))
+    m = sum(not np.intersect1d(i, j, assume_unique=True).size for i, j in zip(x, y))
+    return min(0.99, (m + 2 * math.sqrt(m) + 2) / n)
+
+
+@functools.lru_cache(64)
+def plan(dim: int, n: int, list_size: int, least: float) -> tuple[int, int]:
+    """Words a block and number of codes: of all widths the one with the least work for ``n`` vectors, each with as many codes as keep a pair's chance of sharing no filter below ``MISS``."""
+    if dim < 2:
+        return 8, 1
+    widths, best = [8], None
+    while widths[-1] < _width(n, list_size):
+        widths.append(2 * widths[-1])
+    for w in widths:
+        codes = max(1, math.ceil(math.log(MISS) / math.log(_missed(dim, w, list_size, least))))
+        work = codes * (1 + n * list_size / w**BLOCKS)  # a list entry, and those that it meets by chance
+        best = min(best or (work, w, codes), (work, w, codes))
+    return best[1:]
+
+
 def _labels(near: np.ndarray) -> np.ndarray:
     """For each row of a symmetric boolean matrix the first row that a path leads to."""
     at = np.arange(len(near))
@@ -93,9 +137,10 @@ def _cell(f: int, crossing: bool, pdf: pd.DataFrame, least: float) -> pd.DataFra
         row = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
         row, flat = row[flat < f], flat[flat < f]
         if len(flat):
-            u, col = np.unique(flat, return_inverse=True)
-            met = np.zeros((len(ids), len(u)), np.float32)
-            met[row, col] = 1
+            _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+            twice = times > 1
+            met = np.zeros((len(ids), twice.sum()), np.float32)
+            met[row[twice[col]], (np.cumsum(twice) - 1)[col[twice[col]]]] = 1
             near &= met @ met.T == 0
     rid = pdf["rid"].to_numpy()
     return pd.DataFrame({"rid": rid, "n": near @ w, "label": rid[_labels(near)]})
@@ -104,8 +149,8 @@ def _cell(f: int, crossing: bool, pdf: pd.DataFrame, least: float) -> pd.DataFra
 def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id", least: float = 0.95, list_size: int = 32) -> DataFrame:
     """(key, n_links, component_id, kept), one row a row of ``vectors``.
 
-    Two vectors link if they share a filter and their cosine in double precision is at least ``least``; equal
-    vectors always do. Vectors that are null or zero, of another length than the first by key, or with null or
+    Two vectors link if they share a filter and their cosine in double precision is at least ``least``; a pair
+    shares none with a chance below ``MISS`` at that cosine and less above, and equal vectors always share one. Vectors that are null or zero, of another length than the first by key, or with null or
     non-finite components link with nothing. Repeated rows are vectors of their own that link. The smallest key
     of a component names it; a null key is never smallest.
     """
@@ -116,20 +161,19 @@ def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
         rows = vectors.select(F.col(key).alias("id"), col.alias("v"))
         rows = scratch.keep(rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v"))).withColumn("row", F.monotonically_increasing_id()))
         good = rows.where("v is not null")
-        head = good.agg(F.min_by(F.size("v"), F.struct("id", "row")).alias("d"), F.count("*").alias("n")).first()
-        dim, width = head.d or 1, _width(head.n, list_size)
+        head = good.agg(F.min_by(F.size("v"), F.struct("id", "row")).alias("d"), F.approx_count_distinct(F.xxhash64("v")).alias("n")).first()
+        dim = head.d or 1
+        width, codes = plan(dim, head.n, list_size, least)
         good = good.where(F.size("v") == dim)
         same = good.groupBy("v").agg(F.min("row").alias("rid"), F.count("*").alias("w"), F.min("id").alias("low"))
 
-        def decode(rids: list, vs: list, ws: list, lows: list) -> dict:
-            code, step = _code(dim, width, list_size), max(8, (1 << 21) // width**2)
+        def filters(rids: list, vs: list, ws: list, lows: list) -> dict:
             v = np.array(vs, float).reshape(-1, dim)
             v /= np.abs(v).max(axis=1, keepdims=True)
             v /= np.linalg.norm(v, axis=1, keepdims=True)
-            fl = [x for at in range(0, len(v), step) for x in code.decode(v[at : at + step])]
-            return {"rid": rids, "u": list(v), "w": ws, "low": lows, "fl": fl}
+            return {"rid": rids, "u": list(v), "w": ws, "low": lows, "fl": list(decode(v, width, list_size, codes)) if len(v) else []}
 
-        same = scratch.keep(map_columns(same, ["rid", "v", "w", "low"], decode, f"rid long, u array<double>, w long, low {kind}, fl array<long>"))
+        same = scratch.keep(map_columns(same, ["rid", "v", "w", "low"], filters, f"rid long, u array<double>, w long, low {kind}, fl array<long>"))
 
         # filters with two vectors or more
         f = same.select("rid", F.explode("fl").alias("f"))

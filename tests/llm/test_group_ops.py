@@ -126,6 +126,29 @@ def test_embeddings(spark):
     assert sorted((y.vec_id, y.n_links) for y in embed.op9(twice).collect()) == [(0, 0), (1, 1), (1, 1)]
 
 
+def borderline(dim, n, least=0.95, seed=8):
+    a, b = np.random.default_rng(seed).standard_normal((2, n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    return a, least * a + (1 - least**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("dim,n", [(2, 1000), (8, 1000), (16, 50_000), (64, 500), (64, 8000), (64, 130_000), (64, 2_000_000)])
+def test_filters_meet_at_the_bound_at_every_size(dim, n):
+    width, codes = embed.plan(dim, n, 32, 0.95)
+    x, y = (embed.decode(v, width, 32, codes) for v in borderline(dim, 400))
+    assert all(np.intersect1d(i, j).size for i, j in zip(x, y))
+
+
+def test_embeddings_finds_borderline_pairs(spark):
+    a, b = borderline(8, 150, 0.9501)
+    x = np.concatenate([a, b])
+    d = spark.createDataFrame([(i, [float(c) for c in u]) for i, u in enumerate(x)], "vec_id long, embedding array<double>")
+    near = x @ x.T / np.outer(*[np.linalg.norm(x, axis=1)] * 2) >= 0.95
+    got = {r.vec_id: r.n_links for r in embed.op9(d).collect()}
+    assert [got[i] for i in range(len(x))] == [k - 1 for k in near.sum(axis=1)]
+
+
 def test_chat(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "yo"), (1, 3, "cy", None), (1, 3, "cy", None), (2, 0, "system", "alone"), (3, 0, None, "who"), (None, None, "ann", "lost"), (None, 1, "bob", "found")]
     d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"c": F.lit(1), "p": F.lit(2), "tie": F.lit(3)})
