@@ -43,15 +43,19 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _LOW = "a-zß-öø-ÿа-яёα-ωά-ώ"
 NAME = re.compile(rf"(?<![\w-])({'|'.join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))})\.?\x20((?:[{_UP}][{_LOW}]+)(?:[\x20-][{_UP}][{_LOW}]+){{0,2}})")
+#: A listed given name and the capitalised words after it, without a title.
+BARE = re.compile(rf"(?<![\w-])(?:{'|'.join(sorted({n for ns in GIVEN.values() for n in ns}, key=len, reverse=True))})(?:[\x20-][{_UP}][{_LOW}]+){{1,2}}(?!\w)")
+_GIVEN = re.compile("|".join(sorted({n for ns in GIVEN.values() for n in ns})))
+_PART = re.compile(rf"[{_UP}][{_LOW}]+")
 EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
 NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9]|\w)"
     r"|(?<!\w)(?P<card>[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{13,19})(?!\w)"
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
-    r"|(?<![\w+])(?P<phone>\+[0-9]{8,15}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4})(?!\w)"
+    r"|(?<![\w+])(?P<phone>\+[0-9]{8,15}|\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9]{1,4}(?:[ .-][0-9]{2}){3,5}|0[0-9](?:[ .-][0-9]{2}){4}|(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,5}|\(?0[0-9]{1,4})\)?\x20?/\x20?[0-9]{5,8}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4})(?!\w)"
 )
-_NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}")
+_NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().+/-]{5,}")
 
 
 def _luhn(digits: str) -> int:
@@ -175,6 +179,26 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     for e in found:
         if not out or e[0] >= out[-1][1]:
             out.append(e)
+    return _mentions(text, out)
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The entities with all later whole-word mentions of the name parts among them, each with the gender of the first."""
+    parts: dict[str, tuple[int, str]] = {}
+    for a, b, kind, gender in found:
+        if kind == "name":
+            for m in _PART.finditer(text, a, b):
+                parts.setdefault(m.group(), (m.end(), gender))
+    if not parts:
+        return found
+    later = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})(?!\w)")
+    out, rest = [], iter([*found, (len(text), len(text), "", "")])
+    at = 0
+    for e in rest:  # between the entities that are there already
+        out += [(m.start(), m.end(), "name", parts[m.group()][1]) for m in later.finditer(text, at, e[0]) if m.start() >= parts[m.group()][0]]
+        at = e[1]
+        if e[2]:
+            out.append(e)
     return out
 
 
@@ -190,6 +214,8 @@ def _found(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield m.start(), m.end(), next(k for k in ("ip", "card", "ssn", "phone") if m[k]), ""
     if any(t in text for t in _GENDER):
         yield from ((m.start(2), m.end(2), "name", _GENDER[m[1]]) for m in NAME.finditer(text))
+    if _GIVEN.search(text):
+        yield from ((m.start(), m.end(), "name", "") for m in BARE.finditer(text))
     yield from ((m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if _iban_ok(m.group()))
 
 

@@ -233,6 +233,25 @@ def test_pii(spark, docs):
     assert pii.op4(docs.limit(0)).count() == 0
 
 
+def test_pii_names_without_titles_and_later_mentions():
+    t = "John Smith called. Mr Schmidt came. Then Schmidt said that Smith, not Schmidtke, saw Schmidt-Smith. Елена Иванова пришла; Иванова ушла."
+    out, ents = pii.replace(t, b"k")
+    assert [t[a:b] for a, b, k, _ in pii.entities(t) if k == "name"] == ["John Smith", "Schmidt", "Schmidt", "Smith", "Schmidt", "Smith", "Елена Иванова", "Иванова"]
+    assert not re.search(r"\b(John|Smith|Schmidt|Елена|Иванова)\b", out) and "Schmidtke" in out
+    said = [e["surrogate"] for e in ents]
+    assert said[1] == said[2] == said[4] and said[0].split()[1] == said[3] == said[5] and said[6].split()[1] == said[7]
+    assert all(out[e["start"] : e["end"]] == e["surrogate"] for e in ents)
+    assert pii.entities("Smith came. The house of Anna is old.") == []
+
+
+@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "01 23 45 67 89", "030/1234567", "+49 30/1234567", "0171 / 1234567"])
+def test_pii_phones_in_twos_and_with_a_slash(phone):
+    t = f"Call {phone} now"
+    assert [(t[a:b], k) for a, b, k, _ in pii.entities(t)] == [(phone, "phone")]
+    out = pii.replace(t, b"k")[0]
+    assert out != t and re.sub(r"\d", "9", out) == re.sub(r"\d", "9", t)
+
+
 def test_pii_is_a_bijection_without_fixed_points(spark):
     s = pii.Surrogates(b"k")
     for n in (2, 3, 10, 97, 1000):
