@@ -1,8 +1,9 @@
 """Secret scans: three fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is a run of key-like characters with a digit and a letter. A window moves over it, its character
+A candidate is what the fixed patterns leave of a run of key-like characters with a letter. A window moves over it, its character
 counts kept by one addition and one removal a step; where the entropy of a window reaches its class's bound,
-the window belongs to a span. An allow-list keeps known harmless forms out.
+the window belongs to a span. Without a digit, or below the bound down to what one random key in a thousand
+has, its letter pairs must also be unlike those of words. An allow-list keeps known harmless forms out.
 """
 
 from __future__ import annotations
@@ -24,12 +25,22 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "entropy")
 
-RUN = re.compile(r"[A-Za-z0-9+/_=-]+")
-#: Class: characters, window, bits of entropy from which a window counts.
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Class: characters, window, bits of entropy from which a window counts, and those from which it counts if its letter
+#: pairs are unlike words (the 0.1 % quantile of random windows over 16, 32 and 62 characters). The first that fits counts.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 24, 3.0),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.6),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8),
+    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 24, 3.0, 2.86),
+    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 20, 2.72, 2.72),
+    ("one case", re.compile(r"(?:[a-z0-9]+|[A-Z0-9]+)"), 20, 3.6, 3.14),
+    ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.6, 3.48),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8, 3.48),
+)
+#: Frequent letter pairs of words.
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur "
+    "ei ie un ge ic sc da di us ns em au eu el la ai qu ue ui ux ta tr pr pe po pa no na ni ss tt et ir il ol ul ut am im id ad os so su sh wh ho "
+    "we wa wi ke ki ct ec ac ca ci cr do du ee ef fi fo fr ff ga gr gl gu ht ig gh iv ja ka kl ko lo lu ly mi mo mu nc nu oo op ot ow pl pp rt rs rd sp ts tu "
+    "ty ul um up va vi vo za zu ze ry ld lt be bl bo br bi ba bu ev ex ey ep em ab ag ap av ay ob od og ov ub ud ug ip".split()
 )
 #: Forms that look random and are public by nature.
 ALLOW = (
@@ -79,21 +90,58 @@ _DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
 
+def unlike_words(s: str, width: int) -> list[tuple[int, int]]:
+    """Merged windows of ``s`` in which fewer than 45 % of the letter pairs, three or more, are frequent in words."""
+    pairs = [x.isalpha() and y.isalpha() for x, y in zip(s, s[1:])]
+    # a capital after a small letter is as in words if two small letters follow
+    known = [p and (s[i + 2 : i + 4].islower() if s[i].islower() and s[i + 1].isupper() else s[i : i + 2].lower() in PAIRS) for i, p in enumerate(pairs)]
+    out: list[tuple[int, int]] = []
+    n, k = sum(pairs[: width - 1]), sum(known[: width - 1])
+    for a in range(len(s) - width + 1):
+        if n >= 3 and k < 0.45 * n:
+            out[-1:] = [(out[-1][0], a + width)] if out and a <= out[-1][1] else [*out[-1:], (a, a + width)]
+        if a + width < len(s):
+            n += pairs[a + width - 1] - pairs[a]
+            k += known[a + width - 1] - known[a]
+    return out
+
+
+def _random(s: str) -> list[tuple[int, int]]:
+    """High-entropy spans of what the fixed patterns leave of a run."""
+    if len(s) < 20 or not _LETTER.search(s) or any(r.fullmatch(s) or (r.pattern.startswith("(?i)") and r.match(s)) for r in ALLOW):
+        return []
+    _, _, width, bound, least = next(c for c in CLASSES if len(s) >= c[2] and c[1].fullmatch(s))
+    found = entropy_spans(s, width, bound) if _DIGIT.search(s) else []
+    for a, b in entropy_spans(s, width, least):
+        found += [(a + x, a + y) for x, y in unlike_words(s[a:b], width)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of high-entropy spans that no base span touches."""
-    out, past, m = [], 0, _DIGIT.search(text)
-    while m:
-        a = m.start()
-        while a > past and RUN.match(text[a - 1]):
-            a -= 1
-        run = RUN.match(text, a)
-        past, s = run.end(), run.group()
-        if len(s) >= 20 and _LETTER.search(s) and not any(r.fullmatch(s) or (r.pattern.startswith("(?i)") and r.match(s)) for r in ALLOW) and not any(x < past and y > a for x, _, y in base):
-            for _, chars, width, bound in CLASSES:
-                if chars.fullmatch(s):
-                    out += [(a + x, 3, a + y) for x, y in entropy_spans(s, width, bound)]
-                    break
-        m = _DIGIT.search(text, past)
+    """(start, kind, end) of the high-entropy spans beside the base spans."""
+    out, k = [], 0
+    ends: list[tuple[int, int]] = []  # base spans, overlapping ones joined
+    for a, _, b in base:
+        if ends and a <= ends[-1][1]:
+            ends[-1] = (ends[-1][0], max(b, ends[-1][1]))
+        else:
+            ends.append((a, b))
+    for m in RUN.finditer(text):
+        at, end = m.span()
+        while k < len(ends) and ends[k][1] <= at:
+            k += 1
+        i = k
+        while at < end:
+            stop = ends[i][0] if i < len(ends) and ends[i][0] < end else end
+            out += [(at + x, 3, at + y) for x, y in _random(text[at:stop])]
+            at = ends[i][1] if stop < end else end
+            i += 1
     return out
 
 
