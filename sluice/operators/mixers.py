@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.contracts import Mixer
-from ..plans.registry import register_mixer
 
 
 def domain_windows(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step", "row_id"), window: int = 50) -> DataFrame:
@@ -61,8 +60,7 @@ class _Mixer(Mixer):
         return df.select(*self.by, "domain_ord", "domain", (F.col("_p") / F.sum("_p").over(by)).alias("p"))
 
 
-@register_mixer("reward_gap")
-class RewardGap(_Mixer):
+class RewardGap(_Mixer, name="reward_gap"):
     """softmax of how far a domain's mean is below the best."""
 
     def mix(self, stats: DataFrame) -> DataFrame:
@@ -71,8 +69,7 @@ class RewardGap(_Mixer):
         return self.softmax(df, F.max("mean").over(by) - F.col("mean"))
 
 
-@register_mixer("static")
-class Static(_Mixer):
+class Static(_Mixer, name="static"):
     """Given proportions, or equal ones; statistics don't matter."""
 
     def __init__(self, domains: list[str], proportions: list[float] | None = None, **kw):
@@ -88,8 +85,7 @@ class Static(_Mixer):
         return (stats.select(*self.by).distinct().crossJoin(d) if self.by else d).select(*self.by, "domain_ord", "domain", "p")
 
 
-@register_mixer("dump_ucb")
-class DumpUcb(_Mixer):
+class DumpUcb(_Mixer, name="dump_ucb"):
     """softmax of value + c * sqrt(2 ln(N + 1) / (n + 1)); value is the ``mean`` column, n the domain's ``count``."""
 
     def __init__(self, domains: list[str], c: float = 1.0, **kw):
@@ -103,8 +99,7 @@ class DumpUcb(_Mixer):
         return self.softmax(df.withColumn("_b", bonus), F.col("mean") + self.c * F.col("_b"))
 
 
-@register_mixer("tscl")
-class Tscl(_Mixer):
+class Tscl(_Mixer, name="tscl"):
     """softmax of learning progress: |slope|, or the positive part of the slope if ``signed``."""
 
     def __init__(self, domains: list[str], signed: bool = False, **kw):
@@ -116,8 +111,7 @@ class Tscl(_Mixer):
         return self.softmax(self.all_domains(stats, slope=0.0), s)
 
 
-@register_mixer("exp3")
-class Exp3(_Mixer):
+class Exp3(_Mixer, name="exp3"):
     """(1 - gamma) * w / sum(w) + gamma / K from the domains' ``log_weight``; ``updated`` gives the next weights from rewards."""
 
     def __init__(self, domains: list[str], gamma: float = 0.1, **kw):
@@ -138,8 +132,7 @@ class Exp3(_Mixer):
         return now.select("domain", (F.col("log_weight") + F.coalesce(self.gamma * F.col("reward") / (len(self.domains) * F.col("p")), F.lit(0.0))).alias("log_weight"))
 
 
-@register_mixer("replay_priority")
-class ReplayPriority(_Mixer):
+class ReplayPriority(_Mixer, name="replay_priority"):
     """(1 - rho) * rank ** (-1 / beta) + rho * staleness, each as a share; ranks by ``mean``, staleness since ``last_step``."""
 
     def __init__(self, domains: list[str], rho: float = 0.1, beta: float = 1.0, **kw):

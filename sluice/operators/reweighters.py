@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import array_total, masked_sum
 from ..plans.contracts import Reweighter
-from ..plans.registry import register_reweighter
 
 TINY = 1e-8
 
@@ -27,8 +26,7 @@ class _ByStep(Reweighter):
         return df.withColumn("weight", F.col("_w") / F.greatest(F.col("_m"), F.lit(TINY))).drop("_w", "_m")
 
 
-@register_reweighter("softmax")
-class Softmax(_ByStep):
+class Softmax(_ByStep, name="softmax"):
     """n * softmax(score / temperature), normalised to mean 1."""
 
     def __init__(self, temperature: float = 1.0, **kw):
@@ -42,8 +40,7 @@ class Softmax(_ByStep):
         return self.mean_one(df, F.exp((F.col("score") - F.col("_top")) / self.temperature)).drop("_top")
 
 
-@register_reweighter("difficulty_band")
-class DifficultyBand(_ByStep):
+class DifficultyBand(_ByStep, name="difficulty_band"):
     """``focus_weight`` for scores between two quantiles of the batch, both included, and 1 elsewhere; mean 1."""
 
     def __init__(self, low_q: float = 0.25, high_q: float = 0.75, focus_weight: float = 2.0, **kw):
@@ -57,8 +54,7 @@ class DifficultyBand(_ByStep):
         return self.mean_one(df, raw).drop("_q", "_n")
 
 
-@register_reweighter("advantage_reweight")
-class AdvantageReweight(_ByStep):
+class AdvantageReweight(_ByStep, name="advantage_reweight"):
     """alpha * probability + 1 - alpha for each token, scaled so that masked tokens of the batch have mean 1."""
 
     takes = ("token",)
@@ -77,8 +73,7 @@ class AdvantageReweight(_ByStep):
         return df.withColumn("weight_tok", F.transform("_w", lambda w: w * scale)).drop("_w", "_s", "_n")
 
 
-@register_reweighter("per_advantage")
-class PerAdvantage(_ByStep):
+class PerAdvantage(_ByStep, name="per_advantage"):
     """(|score| + 1e-8) ** alpha with mean 1."""
 
     def __init__(self, alpha: float = 0.5, **kw):
@@ -89,8 +84,7 @@ class PerAdvantage(_ByStep):
         return self.mean_one(df, F.pow(F.abs("score") + TINY, F.lit(float(self.alpha))))
 
 
-@register_reweighter("reward_power")
-class RewardPower(_ByStep):
+class RewardPower(_ByStep, name="reward_power"):
     """score ** p with mean 1; negative scores count as 0."""
 
     def __init__(self, p: float = 1.0, **kw):
@@ -101,8 +95,7 @@ class RewardPower(_ByStep):
         return self.mean_one(df, F.pow(F.greatest("score", F.lit(0.0)), F.lit(float(self.p))))
 
 
-@register_reweighter("exp_tilt")
-class ExpTilt(_ByStep):
+class ExpTilt(_ByStep, name="exp_tilt"):
     """min(exp(score / beta), clip), not normalised."""
 
     def __init__(self, beta: float = 1.0, clip: float = 20.0, **kw):
@@ -113,8 +106,7 @@ class ExpTilt(_ByStep):
         return df.withColumn("weight", F.least(F.exp(F.col("score") / self.beta), F.lit(float(self.clip))))
 
 
-@register_reweighter("logistic_difficulty")
-class LogisticDifficulty(_ByStep):
+class LogisticDifficulty(_ByStep, name="logistic_difficulty"):
     """low + (high - low) / (1 + exp(k * (score - centre))) for a solve rate as score, not normalised."""
 
     def __init__(self, low: float = 0.4, high: float = 1.5, k: float = 10.0, centre: float = 0.75, **kw):
@@ -125,8 +117,7 @@ class LogisticDifficulty(_ByStep):
         return df.withColumn("weight", self.low + (self.high - self.low) / (1 + F.exp(self.k * (F.col("score") - self.centre))))
 
 
-@register_reweighter("truncated_importance")
-class TruncatedImportance(_ByStep):
+class TruncatedImportance(_ByStep, name="truncated_importance"):
     """min(exp(log p - log b), clip) for each token, from ``log_probs`` and ``old_log_probs``."""
 
     takes = ("token",)
@@ -139,8 +130,7 @@ class TruncatedImportance(_ByStep):
         return df.withColumn("weight_tok", F.zip_with("log_probs", "old_log_probs", lambda a, b: F.least(F.exp(a - b), F.lit(float(self.clip)))))
 
 
-@register_reweighter("medium_bump")
-class MediumBump(_ByStep):
+class MediumBump(_ByStep, name="medium_bump"):
     """A Gaussian bump of a solve rate around ``centre``, with mean 1."""
 
     def __init__(self, centre: float = 0.5, width: float = 0.25, **kw):

@@ -11,11 +11,9 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import array_total, masked, masked_sum, reward_column
 from ..plans.contracts import Scorer
-from ..plans.registry import register_scorer
 
 
-@register_scorer("advantage_magnitude")
-class AdvantageMagnitude(Scorer):
+class AdvantageMagnitude(Scorer, name="advantage_magnitude"):
     """|advantage| over the masked tokens: their mean, sum or maximum (masked tokens count as 0)."""
 
     requires = ("advantages", "response_mask")
@@ -34,8 +32,7 @@ class AdvantageMagnitude(Scorer):
         return df.withColumn("score", out[self.agg])
 
 
-@register_scorer("reward_difficulty")
-class RewardDifficulty(Scorer):
+class RewardDifficulty(Scorer, name="reward_difficulty"):
     """The masked sum of token rewards: the outcome reward of a response."""
 
     requires = ("response_mask",)
@@ -46,8 +43,7 @@ class RewardDifficulty(Scorer):
         return df.withColumn("score", masked_sum(F.col(reward_column(df)), F.col("response_mask")))
 
 
-@register_scorer("group_solve_rate")
-class GroupSolveRate(Scorer):
+class GroupSolveRate(Scorer, name="group_solve_rate"):
     """The share of a prompt's responses whose reward is above the threshold, on each of its rows."""
 
     requires = ("response_mask",)
@@ -63,8 +59,7 @@ class GroupSolveRate(Scorer):
         return df.withColumn("score", F.avg(won.cast("double")).over(Window.partitionBy(*keys)))
 
 
-@register_scorer("token_prob")
-class TokenProb(Scorer):
+class TokenProb(Scorer, name="token_prob"):
     """exp of the old log-probabilities, token by token and unmasked."""
 
     requires = ("old_log_probs", "response_mask")
@@ -75,8 +70,7 @@ class TokenProb(Scorer):
         return df.withColumn("score", F.transform("old_log_probs", lambda x: F.exp(x.cast("double"))))
 
 
-@register_scorer("static_meta")
-class StaticMeta(Scorer):
+class StaticMeta(Scorer, name="static_meta"):
     """A column of the data set as it is."""
 
     timing, granularity = "pre_rollout", "prompt"
@@ -89,8 +83,7 @@ class StaticMeta(Scorer):
         return df.withColumn("score", F.col(self.requires[0]).cast("double"))
 
 
-@register_scorer("distill_gap")
-class DistillGap(Scorer):
+class DistillGap(Scorer, name="distill_gap"):
     """Mean over masked tokens of old log-probability minus teacher log-probability."""
 
     requires = ("old_log_probs", "teacher_log_probs", "response_mask")
@@ -102,8 +95,7 @@ class DistillGap(Scorer):
         return df.withColumn("score", masked_sum(gap, F.col("response_mask")) / F.greatest(array_total(F.col("response_mask")), F.lit(1.0)))
 
 
-@register_scorer("distill_kl")
-class DistillKl(Scorer):
+class DistillKl(Scorer, name="distill_kl"):
     """Token divergence from a teacher at the sampled tokens: k1 is old - teacher, abs its size, k3 exp(-k1) + k1 - 1."""
 
     requires = ("old_log_probs", "teacher_log_probs", "response_mask")

@@ -11,7 +11,6 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import array_total
 from ..plans.contracts import Selector
-from ..plans.registry import register_selector
 
 
 def _half_even(x: Column) -> Column:
@@ -24,8 +23,7 @@ class _Grouped(Selector):
         return [c for c in (self.step, "uid") if c in df.columns]
 
 
-@register_selector("threshold_band")
-class ThresholdBand(Selector):
+class ThresholdBand(Selector, name="threshold_band"):
     """low < score < high, both strict unless ``inclusive``."""
 
     def __init__(self, low: float = 0.0, high: float = 1.0, inclusive: bool = False, **kw):
@@ -38,8 +36,7 @@ class ThresholdBand(Selector):
         return df.withColumn("kept", F.coalesce(inside, F.lit(False)))
 
 
-@register_selector("topk_fraction")
-class TopkFraction(Selector):
+class TopkFraction(Selector, name="topk_fraction"):
     """The max(1, round-half-even(fraction * n)) best rows of each step."""
 
     def __init__(self, fraction: float = 0.5, largest: bool = True, **kw):
@@ -55,8 +52,7 @@ class TopkFraction(Selector):
         return df.withColumn("kept", rank <= _half_even(F.count("*").over(by) * self.fraction))
 
 
-@register_selector("gfpo")
-class Gfpo(_Grouped):
+class Gfpo(_Grouped, name="gfpo"):
     """The k shortest, or most efficient (score / length), responses of each prompt."""
 
     def __init__(self, k: int = 8, metric: str = "efficiency", **kw):
@@ -71,8 +67,7 @@ class Gfpo(_Grouped):
         return df.withColumn("kept", F.row_number().over(Window.partitionBy(*self.keys(df)).orderBy(key.desc_nulls_last(), *self.tie)) <= self.k)
 
 
-@register_selector("max_variance")
-class MaxVariance(_Grouped):
+class MaxVariance(_Grouped, name="max_variance"):
     """The n = max(1, round-half-even(fraction * size)) rows of each prompt whose scores have the largest variance.
 
     The best subset takes some lowest and some highest rows, so n + 1 splits suffice. Prefix sums give each split's
@@ -108,8 +103,7 @@ class MaxVariance(_Grouped):
         return r.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*df.columns, "kept")
 
 
-@register_selector("max_min")
-class MaxMin(_Grouped):
+class MaxMin(_Grouped, name="max_min"):
     """The best and the worst row of each prompt."""
 
     def select(self, df: DataFrame) -> DataFrame:
@@ -118,8 +112,7 @@ class MaxMin(_Grouped):
         return df.withColumn("kept", top | low)
 
 
-@register_selector("high_entropy_tokens")
-class HighEntropyTokens(Selector):
+class HighEntropyTokens(Selector, name="high_entropy_tokens"):
     """Rows stay; ``token_kept`` marks tokens whose entropy is in the top ``fraction`` of their response."""
 
     takes = ("token",)
@@ -141,8 +134,7 @@ def zero_variance_streak(batch: DataFrame, step: str = "step", group: str = "uid
     return each.withColumn("_last", last).groupBy(group).agg(F.count_if(F.col("_last").isNull() | (F.col(step) > F.col("_last"))).alias("zero_streak"))
 
 
-@register_selector("history_skip")
-class HistorySkip(Selector):
+class HistorySkip(Selector, name="history_skip"):
     """Before the rollout: prompts with a ``zero_streak`` of at least one stay with probability ``explore``, drawn from a hash of
     prompt and step, so that a rerun decides alike."""
 

@@ -6,26 +6,51 @@ ends in the ``tie`` columns, so that results don't depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import DataFrame
 
+from .registry import CATALOGUE
+
 TIMINGS = ("pre_rollout", "post_reward", "post_advantage", "in_loss")
 GRANULARITIES = ("domain", "prompt", "response", "token")
 
 
-class Scorer:
+class Component:
+    """What a schedule is made of. A subclass with a ``name`` enters the catalogue under the kind of its contract."""
+
+    kind = ""
+
+    def __init_subclass__(cls, name: str | None = None, **kw: object) -> None:
+        super().__init_subclass__(**kw)
+        if name is not None:
+            CATALOGUE.add(cls.kind, name, cls)
+
+    @classmethod
+    def named(cls, name: str, *layers: Mapping[str, Any] | None) -> Any:
+        """The component of this kind with that name; ``layers`` of options, the first wins."""
+        return CATALOGUE.find(cls.kind, name).make(*layers)
+
+    @classmethod
+    def names(cls) -> list[str]:
+        return CATALOGUE.names(cls.kind)
+
+
+class Scorer(Component):
     """Adds a ``score`` column: DOUBLE, or ARRAY<DOUBLE> at token granularity."""
 
+    kind = "scorer"
     requires: tuple[str, ...] = ()
     timing = "post_reward"
     granularity = "response"
     needs_groups = False
 
-    def __init_subclass__(cls, **kw: object) -> None:
+    def __init_subclass__(cls, **kw: Any) -> None:
+        for field, allowed in (("timing", TIMINGS), ("granularity", GRANULARITIES)):
+            if getattr(cls, field) not in allowed:
+                raise ValueError(f"{cls.__name__}: {field} is {getattr(cls, field)!r}, which is none of {', '.join(allowed)}")
         super().__init_subclass__(**kw)
-        if cls.timing not in TIMINGS:
-            raise ValueError(f"timing {cls.timing!r} is none of {TIMINGS}")
-        if cls.granularity not in GRANULARITIES:
-            raise ValueError(f"granularity {cls.granularity!r} is none of {GRANULARITIES}")
 
     def check(self, df: DataFrame) -> None:
         """Fails before any job where a required column is missing."""
@@ -37,7 +62,7 @@ class Scorer:
         raise NotImplementedError
 
 
-class Actuator:
+class Actuator(Component):
     #: score granularities that the actuator can take
     takes: tuple[str, ...] = ("prompt", "response")
 
@@ -46,18 +71,23 @@ class Actuator:
 
 
 class Selector(Actuator):
+    kind = "selector"
+
     def select(self, df: DataFrame) -> DataFrame:
         """Adds a boolean ``kept``."""
         raise NotImplementedError
 
 
 class Reweighter(Actuator):
+    kind = "reweighter"
+
     def reweight(self, df: DataFrame) -> DataFrame:
         """Adds ``weight``, or ``weight_tok`` at token granularity."""
         raise NotImplementedError
 
 
 class Mixer(Actuator):
+    kind = "mixer"
     takes = ("domain", "prompt", "response")
 
     def mix(self, stats: DataFrame) -> DataFrame:

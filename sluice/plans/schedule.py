@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import masked_sum, reward_column
 from ..operators.mixers import carry_forward, domain_windows
-from .config import METHODS, build_from_config
+from .config import METHODS, Plan
 
 
 def domain_tag(df: DataFrame, domain_key: str = "domain") -> Column:
@@ -30,7 +30,8 @@ class Schedule:
     """Score and act on batches; rows of steps before ``warmup_step`` pass with weight 1."""
 
     def __init__(self, cfg: Any, *, adv_estimator: str | None = None, runtime: dict | None = None):
-        self.scorer, self.actuator, self.meta = build_from_config(cfg, adv_estimator=adv_estimator, runtime=runtime)
+        self.plan = Plan.resolve(cfg, estimator=adv_estimator, given=runtime)
+        self.scorer, self.actuator = self.plan.scorer, self.plan.actuator
 
     @classmethod
     def named(cls, method: str, **kw) -> Schedule | None:
@@ -47,12 +48,12 @@ class Schedule:
         """``batch`` with score, kept or weight, and ``rollout_is_weights``: the weight of each token, 0 where masked."""
         out = self.scorer.score(batch)
         mask = F.col("response_mask")
-        if self.meta["mechanism"] == "select":
+        if self.plan.mechanism == "select":
             out = self.actuator.select(out)
             out = out.withColumn("weight", F.col("kept").cast("double"))
         else:
             out = self.actuator.reweight(out)
-        warm = F.col("step") >= self.meta["warmup_step"]
+        warm = F.col("step") >= self.plan.warmup_step
         if "weight_tok" in out.columns:
             tok = F.zip_with("weight_tok", mask, lambda w, m: F.when(warm, w).otherwise(1.0) * m)
         else:
@@ -84,7 +85,8 @@ class MixReplay:
         if not domains:
             raise ValueError("mixing needs at least one domain")
         self.domains, self.window = list(domains), window
-        self.scorer, self.mixer, self.meta = build_from_config(cfg, runtime={"domains": domains, "by": ("step",)})
+        self.plan = Plan.resolve(cfg, given={"domains": domains, "by": ("step",)})
+        self.scorer, self.mixer = self.plan.scorer, self.plan.actuator
 
     def observations(self, batch: DataFrame, compat: str | None = None) -> DataFrame:
         """(step, row_id, domain, value); ``compat="reward_only"`` ignores the configured scorer."""
@@ -98,7 +100,7 @@ class MixReplay:
         """(step, domain_ord, domain, p) at the steps on which the mixer refreshes."""
         stats = domain_windows(obs, window=self.window).withColumnRenamed("n_obs", "count")
         at = stats.groupBy("step", "domain").agg(F.max_by(F.struct("mean", "slope", "count"), "row_id").alias("s")).select("step", "domain", "s.*")
-        steps = obs.select("step").distinct().where((F.col("step") >= self.meta["warmup_step"]) & (F.col("step") % max(1, self.meta["update_step"]) == 0))
+        steps = obs.select("step").distinct().where((F.col("step") >= self.plan.warmup_step) & (F.col("step") % max(1, self.plan.update_step) == 0))
         # a domain without rows in a step keeps its latest statistics
         grid = obs.select("step").distinct().crossJoin(at.select("domain").distinct())
         upto = Window.partitionBy("domain").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)

@@ -1,6 +1,8 @@
 import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,13 +31,44 @@ def kept(df):
     return [r[0] for r in df.where("kept").orderBy("row_id").select("row_id").collect()]
 
 
-def test_scorers(spark):
-    assert col(scorers.RewardDifficulty().score(batch(spark, [1, 0, 0.5]))) == [1, 0, 0.5]
-    assert col(scorers.AdvantageMagnitude("sum").score(batch(spark, [-2, 1, 0]))) == [2, 1, 0]
-    assert col(scorers.AdvantageMagnitude().score(batch(spark, [-2, 1, 0]))) == [0.5, 0.25, 0]
-    assert col(scorers.AdvantageMagnitude("max").score(batch(spark, [-2, 1, 0]))) == [2, 1, 0]
-    assert col(scorers.GroupSolveRate().score(batch(spark, [1, 0, 1, 1, 0, 0], list("AABBCC")))) == [0.5, 0.5, 1, 1, 0, 0]
-    assert all(abs(x - 0.5) < 1e-6 for r in col(scorers.TokenProb().score(batch(spark, [1, 2, 3]))) for x in r)
+def drawn(spark, seed, size=40):
+    """Random responses of several steps and prompts, and the same as plain rows."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(size):
+        n = r.randint(1, 6)
+        mask = [int(j < r.randint(1, n)) for j in range(n)]
+        tok = [round(r.uniform(-2, 2), 3) for _ in range(n)]
+        rows.append((r.randint(0, 2), i, r.choice("PQRST"), round(r.uniform(-3, 3), 3), mask, tok, [round(r.uniform(-2, 2), 3) for _ in range(n)], [-r.random() for _ in range(n)]))
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+    return spark.createDataFrame(rows, SCHEMA), [dict(zip(names, x)) for x in rows]
+
+
+def by(rows, *keys):
+    out = {}
+    for x in rows:
+        out.setdefault(tuple(x[k] for k in keys), []).append(x)
+    return out
+
+
+def total(x, column):
+    return sum(v * m for v, m in zip(x[column], x["response_mask"]))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scorers_against_loops(spark, seed):
+    df, rows = drawn(spark, seed)
+    near = lambda got, want: all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want, strict=True))
+    assert near(col(scorers.RewardDifficulty().score(df)), [total(x, "rm_scores") for x in rows])
+    size = lambda x: [abs(v) * m for v, m in zip(x["advantages"], x["response_mask"])]
+    assert near(col(scorers.AdvantageMagnitude("sum").score(df)), [sum(size(x)) for x in rows])
+    assert near(col(scorers.AdvantageMagnitude("max").score(df)), [max(size(x)) for x in rows])
+    assert near(col(scorers.AdvantageMagnitude().score(df)), [sum(size(x)) / max(1, sum(x["response_mask"])) for x in rows])
+    for cut in (-0.5, 0.0, 0.5):
+        rate = {k: sum(total(x, "rm_scores") > cut for x in g) / len(g) for k, g in by(rows, "step", "uid").items()}
+        assert near(col(scorers.GroupSolveRate(cut).score(df)), [rate[x["step"], x["uid"]] for x in rows])
+    for got, x in zip(col(scorers.TokenProb().score(df)), rows):
+        assert near(got, [math.exp(v) for v in x["old_log_probs"]])
 
 
 def test_missing_columns(spark):
@@ -51,48 +84,76 @@ def test_rm_scores_win(spark):
     assert col(scorers.RewardDifficulty().score(b.drop("rm_scores"))) == [9.0]
 
 
-def test_reweighters(spark):
-    w = col(reweighters.Softmax().reweight(batch(spark, [1, 2, 3])), "weight")
-    assert abs(sum(w) / 3 - 1) < 1e-9 and w == sorted(w)
-    w = col(reweighters.DifficultyBand(focus_weight=3.0).reweight(batch(spark, [0, 0.5, 0.5, 1])), "weight")
-    assert abs(sum(w) / 4 - 1) < 1e-9 and w[1] > w[0] and w[2] > w[3]
-    assert col(reweighters.DifficultyBand().reweight(batch(spark, [3])), "weight") == [1.0]
-    w = col(reweighters.PerAdvantage(1.0).reweight(batch(spark, [0, 1, 2, 3])), "weight")
-    assert abs(sum(w) / 4 - 1) < 1e-9 and w == sorted(w) and len(set(w)) == 4
-    assert all(abs(x - 1) < 1e-4 for x in col(reweighters.PerAdvantage(0.0).reweight(batch(spark, [0.1, 5, 100])), "weight"))
-    b = batch(spark, [0.0], lengths=[2]).withColumn("score", F.array(F.lit(0.1), F.lit(0.9)))
-    (w,) = col(reweighters.AdvantageReweight().reweight(b), "weight_tok")
-    assert w[0] < w[1] and abs(sum(w) / 2 - 1) < 1e-9
-    with pytest.raises(ValueError):
-        reweighters.AdvantageReweight(alpha=2)
+@pytest.mark.parametrize("seed", range(3))
+def test_reweighters_against_loops(spark, seed):
+    df, rows = drawn(spark, seed)
+
+    def scaled(raw):
+        mean = {k: sum(raw[x["row_id"]] for x in g) / len(g) for k, g in by(rows, "step").items()}
+        return [raw[x["row_id"]] / mean[x["step"],] for x in rows]
+
+    def check(w, raw):
+        assert col(w.reweight(df), "weight") == pytest.approx(scaled({x["row_id"]: raw(x) for x in rows}), rel=1e-6)
+
+    for t in (0.5, 3.0):
+        check(reweighters.Softmax(t), lambda x: math.exp(x["score"] / t))
+    for alpha in (0.0, 0.7, 1.0):
+        check(reweighters.PerAdvantage(alpha), lambda x: (abs(x["score"]) + 1e-8) ** alpha)
+    for low, high, focus in ((0.1, 0.6, 5.0), (0.25, 0.75, 2.0), (0.0, 1.0, 3.0), (0.5, 0.5, 4.0)):
+        ends = {k: np.quantile([x["score"] for x in g], (low, high)) for k, g in by(rows, "step").items()}
+        inside = lambda x: ends[x["step"],][0] - 1e-12 <= x["score"] <= ends[x["step"],][1] + 1e-12  # noqa: E731, B023
+        check(reweighters.DifficultyBand(low, high, focus), lambda x: focus if inside(x) else 1.0)
+    alpha = 0.3
+    tok = {x["row_id"]: [alpha * math.exp(v) + 1 - alpha for v in x["old_log_probs"]] for x in rows}
+    scale = {k: sum(sum(x["response_mask"]) for x in g) / sum(sum(a * b for a, b in zip(tok[x["row_id"]], x["response_mask"])) for x in g) for k, g in by(rows, "step").items()}
+    for got, x in zip(col(reweighters.AdvantageReweight(alpha).reweight(scorers.TokenProb().score(df)), "weight_tok"), rows):
+        assert got == pytest.approx([v * scale[x["step"],] for v in tok[x["row_id"]]])
+    assert col(reweighters.DifficultyBand().reweight(df.where("row_id = 7")), "weight") == [1.0]
+
+
+def test_reweighters_without_a_score(spark):
+    """A null score is in no band and has no part in its quantiles."""
+    df = batch(spark, [1, 2, 3, 4]).withColumn("score", F.when(F.col("row_id") < 3, F.col("score")))
+    assert col(reweighters.DifficultyBand(0.5, 1.0, 3.0).reweight(df), "weight") == pytest.approx([0.5, 1.5, 1.5, 0.5])
+    none = df.withColumn("score", F.lit(None).cast("double"))
+    assert col(reweighters.DifficultyBand().reweight(none), "weight") == [1.0] * 4
+    assert sorted(col(selectors.TopkFraction().select(none), "kept")) == [False, False, True, True]
+
+
+@pytest.mark.parametrize("make,value", [(reweighters.AdvantageReweight, -0.1), (reweighters.Softmax, -1), (selectors.TopkFraction, 1.01), (selectors.TopkFraction, -1), (selectors.MaxVariance, 0), (selectors.Gfpo, 0), (reweighters.MediumBump, 1)])
+def test_options_out_of_range(make, value):
     with pytest.raises(ValueError):
-        reweighters.Softmax(temperature=0)
-
+        make(value) if make is not reweighters.MediumBump else make(0.5, 0.0)
 
-def test_selectors(spark):
-    assert kept(selectors.ThresholdBand().select(batch(spark, [0, 0, 0.5, 0.5, 1, 1]))) == [2, 3]
-    assert kept(selectors.ThresholdBand(inclusive=True).select(batch(spark, [0, 2, 1]))) == [0, 2]
-    assert kept(selectors.TopkFraction().select(batch(spark, [0.1, 0.9, 0.3, 0.7]))) == [1, 3]
-    assert len(kept(selectors.TopkFraction().select(batch(spark, [1, 2, 3, 4, 5])))) == 2  # half to even
-    assert kept(selectors.Gfpo(1).select(batch(spark, [1, 1, 1], lengths=[10, 5, 20]))) == [1]
-    assert kept(selectors.Gfpo(2, "short").select(batch(spark, [1] * 4, lengths=[8, 2, 6, 4]))) == [1, 3]
-    for bad in (0, 1.5):
-        with pytest.raises(ValueError):
-            selectors.TopkFraction(bad)
 
-
-def test_max_variance(spark):
-    got = kept(selectors.MaxVariance().select(batch(spark, [1, 1, 0, 0])))
-    assert len(got) == 2 and (got[0] < 2) != (got[1] < 2)
-    assert len(kept(selectors.MaxVariance().select(batch(spark, [1, 1, 0, 0, 0.3])))) == 2
-    assert kept(selectors.MaxVariance().select(batch(spark, [1, 0.5]))) == [0]
-    assert kept(selectors.MaxVariance(1.0).select(batch(spark, [1, 0.5]))) == [0, 1]
+@pytest.mark.parametrize("seed", range(4))
+def test_selectors_against_loops(spark, seed):
+    df, rows = drawn(spark, seed, 70)
+    df, rows = df.withColumn("score", F.round("score", seed % 2)), [x | {"score": float(round(x["score"], seed % 2))} for x in rows]
+    rounded = {r.row_id: r.score for r in df.collect()}
+    rows = [x | {"score": rounded[x["row_id"]]} for x in rows]
+    chosen = lambda sel: set(kept(sel.select(df)))
+    for low, high in ((-1.0, 1.0), (0.0, 2.0)):
+        assert chosen(selectors.ThresholdBand(low, high)) == {x["row_id"] for x in rows if low < x["score"] < high}
+        assert chosen(selectors.ThresholdBand(low, high, inclusive=True)) == {x["row_id"] for x in rows if low <= x["score"] <= high}
+    for share in (0.07, 0.5, 1.0):
+        for sign in (1, -1):
+            want = set()
+            for g in by(rows, "step").values():
+                g = sorted(g, key=lambda x: (-sign * x["score"], x["row_id"]))
+                want |= {x["row_id"] for x in g[: max(1, round(share * len(g)))]}
+            assert chosen(selectors.TopkFraction(share, sign > 0)) == want
+    for k in (1, 3):
+        for metric in ("short", "efficiency"):
+            want = set()
+            for g in by(rows, "step", "uid").values():
+                key = lambda x: (sum(x["response_mask"]) or 1) if metric == "short" else -x["score"] / (sum(x["response_mask"]) or 1)  # noqa: E731, B023
+                want |= {x["row_id"] for x in sorted(g, key=lambda x: (key(x), x["row_id"]))[:k]}
+            assert chosen(selectors.Gfpo(k, metric)) == want
 
 
 @pytest.mark.parametrize("seed", range(4))
 def test_max_variance_brute_force(spark, seed):
-    import random
-
     r = random.Random(seed)
     groups = {f"g{i}": [round(r.random(), 2) for _ in range(r.randint(1, 7))] for i in range(12)}
     vals = [v for g in groups.values() for v in g]
@@ -152,50 +213,73 @@ def props(df):
     return {r.domain: r.p for r in rows}
 
 
-def stats(spark, **kw):
-    rows = [(d, *map(float, v)) for d, v in kw.items()]
-    return spark.createDataFrame(rows, "domain string, mean double, slope double, count double")
-
-
-def test_mixers(spark):
-    p = props(mixers.RewardGap(["math", "code"], 0.5, 0.0).mix(stats(spark, math=(0.9, 0, 1), code=(0.1, 0, 1))))
-    assert p["code"] > p["math"]
-    assert all(v == pytest.approx(1 / 3) for v in props(mixers.Static(["a", "b", "c"]).mix(stats(spark, a=(0, 0, 0)))).values())
-    p = props(mixers.DumpUcb(["a", "b"], floor=0.0).mix(stats(spark, a=(0.5, 0, 100), b=(0.5, 0, 1))))
-    assert p["b"] > p["a"]
-    p = props(mixers.DumpUcb(["a", "b"], c=0.1, temperature=0.5, floor=0.0).mix(stats(spark, a=(1, 0, 50), b=(0.1, 0, 50))))
-    assert p["a"] > p["b"]
-    s = stats(spark, a=(0, 0.5, 1), b=(0, 0.0, 1))
-    assert props(mixers.Tscl(["a", "b"], temperature=0.5, floor=0.0).mix(s))["a"] > 0.5
-    s = stats(spark, a=(0, 0.0, 1), b=(0, -0.5, 1))
-    assert props(mixers.Tscl(["a", "b"], temperature=0.5, floor=0.0).mix(s))["b"] > 0.5
-    assert props(mixers.Tscl(["a", "b"], signed=True).mix(s))["b"] == pytest.approx(0.5)
-    assert props(mixers.RewardGap(["new"]).mix(stats(spark, a=(1, 0, 1)))) == {"new": 1.0}
+@pytest.mark.parametrize("seed", range(4))
+def test_mixers_against_loops(spark, seed):
+    r = random.Random(seed)
+    names = [f"m{i}" for i in range(r.randint(1, 6))]
+    known = {d: (round(r.uniform(-1, 1), 3), round(r.uniform(-1, 1), 3), r.randint(0, 60)) for d in [*names, "other"] if d == "other" or r.random() < 0.8}
+    of = lambda d: known.get(d, (0.0, 0.0, 0))
+    heat, floor = r.choice([0.3, 1.0, 2.0]), r.choice([0.0, 0.05, 0.2])
+    rows = spark.createDataFrame([(d, *map(float, v)) for d, v in known.items()], "domain string, mean double, slope double, count double")
+
+    def check(mixer, signal):
+        x = [signal(d) for d in names]
+        e = [math.exp((v - max(x)) / heat) for v in x]
+        p = [max(v / sum(e), floor) for v in e]
+        assert list(props(mixer.mix(rows)).values()) == pytest.approx([v / sum(p) for v in p])
+
+    best, n = max(of(d)[0] for d in names), sum(of(d)[2] for d in names)
+    check(mixers.RewardGap(names, heat, floor), lambda d: best - of(d)[0])
+    check(mixers.DumpUcb(names, 0.7, temperature=heat, floor=floor), lambda d: of(d)[0] + 0.7 * math.sqrt(2 * math.log(n + 1) / (of(d)[2] + 1)))
+    check(mixers.Tscl(names, temperature=heat, floor=floor), lambda d: abs(of(d)[1]))
+    check(mixers.Tscl(names, signed=True, temperature=heat, floor=floor), lambda d: max(0.0, of(d)[1]))
+    assert props(mixers.Static(names).mix(rows)) == {d: pytest.approx(1 / len(names)) for d in names}
+    shares = [r.randint(1, 9) for _ in names]
+    assert list(props(mixers.Static(names, shares).mix(rows)).values()) == pytest.approx([v / sum(shares) for v in shares])
     with pytest.raises(ValueError):
-        mixers.Static([]).mix(s)
-
-
-def test_windows(spark):
-    obs = spark.createDataFrame([(i, 0, "d", v) for i, v in enumerate([0.1, 0.2, 0.3, 0.4, 0.5])], "step int, row_id int, domain string, value double")
-    last = mixers.latest(mixers.domain_windows(obs, window=10)).first()
-    assert last.slope == pytest.approx(0.1) and last.n_obs == 5
-    obs = obs.where("step < 3").withColumn("value", F.col("step") + 1.0)
-    last = mixers.latest(mixers.domain_windows(obs, window=2)).first()
-    assert last["mean"] == 2.5
-    assert mixers.domain_windows(obs.limit(1)).first().slope == 0
-
-
-def test_schedule(spark):
-    b = batch(spark, [1, 0, 1, 1, 0, 0], list("AABBCC"))
-    out = Schedule.named("difffilter", adv_estimator="grpo").weights(b)
-    assert kept(out) == [0, 1]
-    m = weight_metrics(out).first()
-    assert m.weight_mean == pytest.approx(1 / 3) and m.kept_frac == pytest.approx(1 / 3) and m.weight_std == pytest.approx(0.5163977)
-    assert col(out.withColumn("t", array_total(F.col("rollout_is_weights"))), "t") == [4, 4, 0, 0, 0, 0]
-    warm = Schedule({"mechanism": "reweight", "scorer": {"name": "advantage_magnitude"}, "actuator": {"name": "softmax"}, "warmup_step": 1}).weights(b)
-    assert all(x == [1.0] * 4 for x in col(warm, "rollout_is_weights"))
+        mixers.Static([]).mix(rows)
+
+
+@pytest.mark.parametrize("window", [1, 2, 7, 500])
+def test_windows_against_loops(spark, window):
+    r = random.Random(window)
+    rows = [(r.randint(0, 30), i, r.choice("xxxxyz"), round(r.uniform(0, 9), 2) if r.random() < 0.9 else None) for i in range(300)]
+    rows += [(40, 1000, None, 1.0), (41, 1001, "w", None)]
+    want = {}
+    for name in "xyzw":
+        held = sorted(x for x in rows if x[2] == name)
+        for i, x in enumerate(held):
+            part = [(j, y[3]) for j, y in enumerate(held) if i - window < j <= i and y[3] is not None]
+            n = len(part)
+            mx, my = (sum(c) / n for c in zip(*part)) if n else (0, 0.0)
+            sxx = sum((a - mx) ** 2 for a, _ in part)
+            want[x[1]] = n, my, sum((a - mx) * (b - my) for a, b in part) / sxx if sxx else 0.0
+    obs = spark.createDataFrame(rows, "step int, row_id int, domain string, value double").repartition(5)
+    got = {x.row_id: (x.n_obs, x["mean"], x.slope) for x in mixers.domain_windows(obs, window=window).collect()}
+    assert got.keys() == want.keys() | {1000}
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v, abs=1e-7)
+    last = {x.domain: x.row_id for x in mixers.latest(mixers.domain_windows(obs, window=window)).collect()}
+    assert last["x"] == max((x[:2] for x in rows if x[2] == "x"))[1]
+    assert mixers.domain_windows(obs.limit(0)).count() == 0
+
+
+def test_schedule_weights(spark):
+    df, rows = drawn(spark, 5, 90)
+    out = Schedule.named("difffilter", adv_estimator="grpo").weights(df)
+    rate = {k: sum(total(x, "rm_scores") > 0.5 for x in g) / len(g) for k, g in by(rows, "step", "uid").items()}
+    keep = {x["row_id"] for x in rows if 0.2 < rate[x["step"], x["uid"]] < 0.8}
+    assert set(kept(out)) == keep and 0 < len(keep) < 90
+    for got, x in zip(col(out, "rollout_is_weights"), rows):
+        assert got == [m * float(x["row_id"] in keep) for m in x["response_mask"]]
+    for m in weight_metrics(out).collect():
+        w = [float(x["row_id"] in keep) for x in rows if x["step"] == m.step]
+        assert (m.weight_mean, m.kept_frac) == pytest.approx((np.mean(w),) * 2) and m.weight_std == pytest.approx(np.std(w, ddof=1))
+    warm = Schedule({"mechanism": "reweight", "scorer": {"name": "advantage_magnitude"}, "actuator": {"name": "softmax"}, "warmup_step": 2}).weights(df)
+    for got, x in zip(col(warm, "rollout_is_weights"), rows):
+        assert x["step"] == 2 or got == x["response_mask"]
     assert Schedule.named("baseline") is None
-    assert col(selection_mask(b, b.limit(0), ["row_id"]), "weight") == [0.0] * 6
+    assert set(col(selection_mask(df, df.limit(0), ["row_id"]), "weight")) == {0.0}
 
 
 def test_mix_replay(spark):
@@ -214,8 +298,6 @@ def test_apportionment(spark):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_quota_sample_loop(spark, seed):
-    import random
-
     r = random.Random(seed)
     pool = [(i, r.choice("abcx"), r.randint(0, 5)) for i in range(r.randint(5, 40))]
     p = [("a", 0.5), ("b", 0.3), ("c", 0.2)]
