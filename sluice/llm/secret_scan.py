@@ -1,6 +1,7 @@
 """Secret scans: three fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
-A candidate is what the fixed patterns leave of a run of key-like characters with a letter. A window moves over it, its character
+A candidate is a run of key-like characters with a letter, cut where a span of the fixed patterns or an assigned value
+begins or ends, so that a key is judged by itself whether a pattern has it or not. A window moves over it, its character
 counts kept by one addition and one removal a step; where the entropy of a window reaches its class's bound,
 the window belongs to a span. Without a digit, or below the bound down to what one random key in a thousand
 has, its letter pairs must also be unlike those of words. An allow-list keeps known harmless forms out.
@@ -124,24 +125,19 @@ def _random(s: str) -> list[tuple[int, int]]:
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the high-entropy spans beside the base spans."""
-    out, k = [], 0
-    ends: list[tuple[int, int]] = []  # base spans, overlapping ones joined
-    for a, _, b in base:
-        if ends and a <= ends[-1][1]:
-            ends[-1] = (ends[-1][0], max(b, ends[-1][1]))
-        else:
-            ends.append((a, b))
+    """(start, kind, end) of the high-entropy spans, those inside base spans too; only the allow-list keeps a candidate out."""
+    cuts = {x for a, k, b in base for x in ((a, b) if k else (a, ASSIGN.match(text, a, b).start(2), b))}
+    order, k, out = sorted(cuts), 0, []
     for m in RUN.finditer(text):
         at, end = m.span()
-        while k < len(ends) and ends[k][1] <= at:
+        while k < len(order) and order[k] <= at:
             k += 1
-        i = k
         while at < end:
-            stop = ends[i][0] if i < len(ends) and ends[i][0] < end else end
+            stop = end
+            if k < len(order) and order[k] < end:
+                stop, k = order[k], k + 1
             out += [(at + x, 3, at + y) for x, y in _random(text[at:stop])]
-            at = ends[i][1] if stop < end else end
-            i += 1
+            at = stop
     return out
 
 
@@ -185,7 +181,10 @@ def redact_text(text: str | None, mark: str = "<{}>") -> str | None:
 
 
 def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced; other columns stay, but for a length column that follows the text."""
+    """``docs`` with secrets in ``text`` replaced; other columns stay, but for a length column that follows the text.
+
+    Null and empty texts stay as they are, and no row goes; repeated rows are each treated alike.
+    """
     ship_package(docs.sparkSession)
 
     @F.arrow_udf("string")
@@ -199,7 +198,7 @@ def redact(docs: DataFrame, *, text: str = "text", n_chars: str | None = "n_char
 
 
 def op3(docs: DataFrame) -> DataFrame:
-    """doc_id, counts by base kind, digest of the base spans and all spans."""
+    """doc_id, counts by base kind, digest of the base spans and all spans; null and empty texts have none."""
 
     def digest(spans):
         return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
