@@ -10,24 +10,36 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
-import unicodedata
+import secrets
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import map_columns
+from .common import model
 
 TYPES = ("email", "card", "ip", "ssn", "phone", "iban", "name")
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
-    ("latin", "f"): "Anna Clara Elena Emma Eva Ines Julia Laura Lea Lena Lucia Maria Marta Nora Paula Sara Sofia Vera".split(),
-    ("latin", "m"): "Adam Alex Bruno Carlos Daniel David Emil Felix Hugo Ivan Jan John Jonas Leo Lucas Martin Max Paul Peter Tom".split(),
-    ("cyrillic", "f"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Татьяна".split(),
-    ("cyrillic", "m"): "Алексей Борис Дмитрий Иван Михаил Николай Олег Павел Пётр Сергей".split(),
+    ("latin", "f"): (
+        "Alice Amelie Andrea Angela Anna Anne Barbara Beatrice Carla Carmen Charlotte Claire Clara Claudia Diana Elena Elisabeth Emily Emma Eva Fatima Greta Hanna Heike Helena Ines Ingrid Irene "
+        "Isabel Jane Jennifer Jessica Johanna Julia Karen Katharina Laura Lea Lena Linda Lisa Lucia Maria Marie Marta Mary Monika Nina Nora Olivia Patricia Paula Petra Sabine Sara Sarah Sofia Sophie Susan Ursula Vera"
+    ).split(),
+    ("latin", "m"): (
+        "Adam Alex Alexander Andreas Anton Antonio Bruno Carlos Charles Christian Daniel David Dieter Emil Felix Francesco Frank Fritz George Hans Henri Henry Hugo Ivan Jack Jakob James Jan Jean "
+        "Johannes John Jonas Jorge José Juan Karl Klaus Leo Lucas Luis Manuel Marco Mark Markus Martin Max Michael Miguel Mohammed Oliver Otto Paul Pedro Peter Pierre Robert Stefan Thomas Tom Walter William"
+    ).split(),
+    ("cyrillic", "f"): "Александра Анастасия Анна Валентина Вера Виктория Дарья Екатерина Елена Ирина Людмила Мария Наталья Нина Ольга Светлана Софья Татьяна Юлия".split(),
+    ("cyrillic", "m"): "Александр Алексей Андрей Борис Виктор Владимир Дмитрий Евгений Иван Игорь Константин Максим Михаил Николай Олег Павел Пётр Сергей Юрий".split(),
+    ("greek", "f"): "Αγγελική Βασιλική Δήμητρα Ειρήνη Ελένη Κατερίνα Μαρία Σοφία".split(),
+    ("greek", "m"): "Αλέξανδρος Αντώνης Γιάννης Γιώργος Δημήτρης Κώστας Νίκος Παναγιώτης".split(),
 }
+#: Gender of every listed given name, which a title doesn't change.
+LISTED = {n: k for k, ns in GIVEN.items() for n in ns}
 TITLES = {
     "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra госпожа г-жа κυρία".split(),
     "m": "Mr Mister Herr Monsieur Señor Sr господин г-н κύριος".split(),
@@ -43,11 +55,13 @@ _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _LOW = "a-zß-öø-ÿа-яёα-ωά-ώ"
 NAME = re.compile(rf"(?<![\w-])({'|'.join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))})\.?\x20((?:[{_UP}][{_LOW}]+)(?:[\x20-][{_UP}][{_LOW}]+){{0,2}})")
-#: A listed given name and the capitalised words after it, without a title.
-BARE = re.compile(rf"(?<![\w-])(?:{'|'.join(sorted({n for ns in GIVEN.values() for n in ns}, key=len, reverse=True))})(?:[\x20-][{_UP}][{_LOW}]+){{1,2}}(?!\w)")
-_GIVEN = re.compile("|".join(sorted({n for ns in GIVEN.values() for n in ns})))
+#: A capitalised word with one or two after it; a name without a title if the first is a listed given name.
+BARE = re.compile(rf"(?<![\w-])(?=([{_UP}][{_LOW}]++)((?:[\x20-][{_UP}][{_LOW}]+){{1,2}})(?!\w))")
 _PART = re.compile(rf"[{_UP}][{_LOW}]+")
-EMAIL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+_WORD = re.compile(rf"(?<!\w)[{_UP}][{_LOW}]++(?!\w)")
+#: An address is [A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}; see ``emails``.
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+HOST = re.compile(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
 NUMBER = re.compile(
     r"(?<![\w.])(?P<ip>(?:[0-9]{1,3}\.){3}[0-9]{1,3})(?!\.?[0-9]|\w)"
@@ -118,7 +132,7 @@ class Surrogates:
         y = iter(str(self.number(f"{tweak}:{len(d)}", 10 ** len(d), int(d))).zfill(len(d)))
         return re.sub(r"\d", lambda _: next(y), text)
 
-    def _of(self, kind: str, text: str, gender: str = "") -> str:
+    def _of(self, kind: str, text: str) -> str:
         if kind == "email":
             local, _, host = text.partition("@")
             *labels, tld = host.split(".")
@@ -143,25 +157,36 @@ class Surrogates:
             body = self.shaped(f"iban{plain[:2]}", plain[4:]).upper()
             it = iter(f"{plain[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + plain[:2] + '00')) % 97:02d}{body}")
             return re.sub(r"\S", lambda _: next(it), text)
-        return re.sub(rf"[{_UP}][{_LOW}]+", lambda m: self._name(m.group(), gender), text)
+        return re.sub(rf"[{_UP}][{_LOW}]+", lambda m: self._name(m.group()), text)
 
-    def _name(self, word: str, gender: str) -> str:
+    def _name(self, word: str) -> str:
         """A given name of the same list if it is one, else letters of the same kinds before a kept ending."""
-        for (script, g), names in GIVEN.items():
-            if word in names and gender in ("", g):
-                return names[self.number(f"given:{script}:{g}", len(names), names.index(word))]
+        if word in LISTED:
+            names = GIVEN[LISTED[word]]
+            return names[self.number(f"given:{':'.join(LISTED[word])}", len(names), names.index(word))]
         tail = next((e for e in ENDINGS if word.lower().endswith(e) and len(word) > len(e) + 1), "")
         stem = word[: len(word) - len(tail)]
         out = self.shaped(f"name:{tail}", stem) + tail
         # a word must not become a listed given name, or it could meet that name's own surrogate: walk on
-        while any(out in names for names in GIVEN.values()):
+        while out in LISTED:
             out = self.shaped(f"name:{tail}", out[: len(out) - len(tail)]) + tail
         return out
 
 
-@functools.lru_cache(4)
 def surrogates(key: bytes) -> Surrogates:
-    return Surrogates(key)
+    return model("surrogates", key, lambda: Surrogates(key))
+
+
+_session_keys: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of the surrogates: the session's ``sluice.surrogate.key``, else the variable SLUICE_SURROGATE_KEY, else one drawn
+    for this application, which nobody can use to take surrogates back, nor to give the same ones in another run."""
+    given = spark.conf.get("sluice.surrogate.key", None) or os.environ.get("SLUICE_SURROGATE_KEY")
+    if given:
+        return hashlib.blake2b(given.encode(), digest_size=32).digest()
+    return _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
 def _iban_ok(text: str) -> bool:
@@ -191,20 +216,32 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
                 parts.setdefault(m.group(), (m.end(), gender))
     if not parts:
         return found
-    later = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, parts), key=len, reverse=True))})(?!\w)")
     out, rest = [], iter([*found, (len(text), len(text), "", "")])
     at = 0
     for e in rest:  # between the entities that are there already
-        out += [(m.start(), m.end(), "name", parts[m.group()][1]) for m in later.finditer(text, at, e[0]) if m.start() >= parts[m.group()][0]]
+        out += [(m.start(), m.end(), "name", parts[m.group()][1]) for m in _WORD.finditer(text, at, e[0]) if m.group() in parts and m.start() >= parts[m.group()][0]]
         at = e[1]
         if e[2]:
             out.append(e)
     return out
 
 
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses without overlap. From each @ the local part grows to the left and the host to the right, so that a
+    character is looked at a fixed number of times, however long its run."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        run = len(text[free:at].rstrip(_LOCAL)) + free
+        start = at - len(text[run:at].lstrip("._%+-"))
+        nxt = at + 1
+        if start < at and (at - start == 1 or text[at - 1] != ".") and (m := HOST.match(text, at + 1)):
+            yield start, m.end()
+            nxt = m.end()
+        free, at = nxt, text.find("@", nxt)
+
+
 def _found(text: str) -> Iterator[tuple[int, int, str, str]]:
-    if "@" in text:
-        yield from ((m.start(), m.end(), "email", "") for m in EMAIL.finditer(text))
+    yield from ((a, b, "email", "") for a, b in emails(text))
     past = 0
     for block in _NUMERIC.finditer(text):
         at = max(past, block.start())
@@ -214,8 +251,11 @@ def _found(text: str) -> Iterator[tuple[int, int, str, str]]:
                 yield m.start(), m.end(), next(k for k in ("ip", "card", "ssn", "phone") if m[k]), ""
     if any(t in text for t in _GENDER):
         yield from ((m.start(2), m.end(2), "name", _GENDER[m[1]]) for m in NAME.finditer(text))
-    if _GIVEN.search(text):
-        yield from ((m.start(), m.end(), "name", "") for m in BARE.finditer(text))
+    past = 0
+    for m in BARE.finditer(text):
+        if m[1] in LISTED and m.start() >= past:
+            past = m.end(2)
+            yield m.start(), past, "name", LISTED[m[1]][1]
     yield from ((m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if _iban_ok(m.group()))
 
 
@@ -225,8 +265,8 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
     if not got:
         return text, []
     of, out, at, size, said = surrogates(key).of, [], 0, 0, []
-    for a, b, kind, gender in got:
-        s = of(kind, text[a:b], gender)
+    for a, b, kind, _ in got:
+        s = of(kind, text[a:b])
         size += a - at
         said.append({"type": kind, "start": size, "end": size + len(s), "surrogate": s})
         out += [text[at:a], s]
@@ -249,7 +289,7 @@ def collisions(docs: DataFrame, secret: bytes, *, text: str = "text") -> DataFra
     """(type, n_entities, n_surrogates, n_shared): distinct entities by type, distinct surrogates, and surrogates that two entities share (none)."""
 
     def run(texts: list) -> dict:
-        rows = {(k, re.sub(r"\D", "", t[a:b]) if k in ("card", "phone", "ssn") else t[a:b].lower(), s) for t in texts for a, b, k, g in entities(t) for s in [surrogates(secret).of(k, t[a:b], g)]}
+        rows = {(k, re.sub(r"\D", "", t[a:b]) if k in ("card", "phone", "ssn") else t[a:b].lower(), s) for t in texts for a, b, k, _ in entities(t) for s in [surrogates(secret).of(k, t[a:b])]}
         rows = {(k, x, re.sub(r"\D", "", s) if k in ("card", "phone", "ssn") else s.lower()) for k, x, s in rows}
         return {"type": [r[0] for r in rows], "entity": [r[1] for r in rows], "surrogate": [r[2] for r in rows]}
 
@@ -258,9 +298,9 @@ def collisions(docs: DataFrame, secret: bytes, *, text: str = "text") -> DataFra
     return by.groupBy("type").agg(F.sum("m").alias("n_entities"), F.count("*").alias("n_surrogates"), F.count_if(F.col("m") > 1).alias("n_shared"))
 
 
-def op4(docs: DataFrame, secret: bytes = b"surrogate key of this corpus") -> DataFrame:
-    """doc_id, the new text, the number of entities and the number of each type."""
-    out = pseudonymise(docs, secret)
+def op4(docs: DataFrame, secret: bytes | None = None) -> DataFrame:
+    """doc_id, the new text, the number of entities and the number of each type; without a secret the session's (``session_key``)."""
+    out = pseudonymise(docs, session_key(docs.sparkSession) if secret is None else secret)
     of_type = lambda t: F.size(F.filter("entities", lambda e: e["type"] == t)).cast("long").alias(f"n_{t}")
     n = [of_type(t) for t in TYPES]
     return out.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), *n)
