@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch where the session has no setting of its own: whole texts are large rows, and a batch
+#: lies in the JVM and in its Python worker at once.
+ARROW_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16777216"}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -27,7 +30,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give executors this package's source, once an application: Python tasks import it there."""
+    """Give executors this package's source, once an application, since Python tasks import it there; sets ``ARROW_BATCH``."""
+    for name, value in ARROW_BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
