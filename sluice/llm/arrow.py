@@ -28,7 +28,9 @@ def row_filter(df: DataFrame, column: str, keep: Callable[[list], list]) -> Data
 
     @F.arrow_udf("boolean")
     def test(values: pa.Array) -> pa.Array:
-        return pa.array([bool(x) for part in slices(values) for x in keep(part.to_pylist())], pa.bool_())
+        out = pa.array([bool(x) for part in slices(values) for x in keep(part.to_pylist())], pa.bool_())
+        pa.default_memory_pool().release_unused()
+        return out
 
     return df.where(test(F.col(column)))
 
@@ -50,5 +52,7 @@ def map_columns(df: DataFrame, cols: list, fn: Callable[..., dict], schema: str
             for b in slices(whole):
                 got = f(*[c.to_pylist() for c in b.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
+            whole = b = None
+            pa.default_memory_pool().release_unused()
 
     return inner.mapInArrow(run, schema)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .arrow import map_columns
+from .common import model
 from .packing import byte_alphabet
 
 MEMO = 150_000
@@ -238,9 +239,8 @@ class WordBpe(dict):
         return " ".join(ids), " ".join(names)
 
 
-@functools.lru_cache(2)
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return model("word_bpe", path, lambda: WordBpe(path))
 
 
 def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -248,7 +248,8 @@ def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "d
     kind = docs.schema[key].dataType.simpleString()
 
     def run(keys: list, texts: list) -> dict:
-        got = [word_bpe(tokenizer).encode(t) for t in texts]
+        enc = word_bpe(tokenizer).encode
+        got = [enc(t) for t in texts]
         return {key: keys, "ids": [[int(i) for i in g[0].split()] for g in got], "decoded": [g[1] for g in got]}
 
     return map_columns(docs, [key, text], run, f"`{key}` {kind}, ids array<int>, decoded string")
@@ -260,11 +261,13 @@ def digest(docs: DataFrame, tokenizer: str, *, text: str = "text", key: str = "d
     sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(keys: list, texts: list) -> dict:
-        got = [word_bpe(tokenizer).encode(t) for t in texts]
+        enc = word_bpe(tokenizer).encode
+        got = [enc(t) for t in texts]
         return {key: keys, "n_tokens": [g[0].count(" ") + 1 if g[0] else 0 for g in got], "ids_sha256": [sha(g[0]) for g in got], "decoded_sha256": [sha(g[1]) for g in got]}
 
     return map_columns(docs, [key, text], run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; null and empty texts have no tokens."""
     return digest(docs, tokenizer)

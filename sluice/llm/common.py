@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +77,61 @@ def final(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def block_of(text: str, key: str, chars: int, seed: int) -> Column:
+    """At most ``chars`` characters of a text from a place that a hash of the key chooses, so that a sample sees all parts of long texts."""
+    room = F.greatest(F.length(text) - F.lit(chars - 1), F.lit(1))
+    return F.substring(F.col(text), (F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), room) + 1).cast("int"), F.lit(chars))
+
+
+_models: dict[tuple[str, Hashable], list] = {}
+
+
+def model(owner: str, key: Hashable, build: Callable[[], Any]) -> Any:
+    """``build()``, kept in this process for later batches and tasks under (owner, key).
+
+    Workers are reused from stage to stage; a new model sends away those that the present stage hasn't used.
+    """
+    task = TaskContext.get()
+    stage = task.stageId() if task else -1
+    got = _models.get((owner, key))
+    if got is None:
+        for k in [k for k, v in _models.items() if v[1] != stage]:
+            del _models[k]
+        give_back()
+        got = _models[owner, key] = [build(), stage]
+    got[1] = stage
+    return got[0]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
+#: Bits for each wanted value of a filter before a join, and the most bits (a broadcast table of at most a million rows).
+FILTER_BITS, MOST_BITS = 16, 1 << 26
+
+
+def narrowed(rows: DataFrame, want: DataFrame, on: str, scratch: Scratch) -> DataFrame:
+    """``rows`` without most of those whose value of ``on`` isn't in ``want``: a filter before a join, so that fewer large rows are shuffled.
+
+    A bitmap of hashes, as a table of 64-bit words that is broadcast. Its size is bounded; of more values it lets more
+    rows through, which the join then drops.
+    """
+    n = want.count()
+    bits = 1 << 10
+    while bits < MOST_BITS and bits < FILTER_BITS * n:
+        bits *= 2
+    at = F.pmod(F.xxhash64(on), F.lit(bits))
+    words = want.select(F.shiftright(at, 6).alias("_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("_bit"))
+    words = scratch.keep(words.groupBy("_word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit"))).alias("_bits")))
+    hit = F.call_function("shiftright", F.col("_bits"), F.pmod(F.xxhash64(on), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.withColumn("_word", F.shiftright(at, 6)).join(F.broadcast(words), "_word").where(hit).select(*rows.columns)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers with good avalanche (splitmix finaliser)."""
     x = x ^ (x >> U64(30))

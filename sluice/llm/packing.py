@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from tokenizers import Tokenizer
 
 from .arrow import map_columns
+from .common import model
 
 #: The end-of-document id.
 END = 2
@@ -63,9 +64,8 @@ class ByteBpe:
         return t
 
 
-@functools.lru_cache(2)
 def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return model("byte_bpe", path, lambda: ByteBpe(path))
 
 
 class Packer:

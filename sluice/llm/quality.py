@@ -8,7 +8,6 @@ labelled rows turns both into a probability that the label is 1.
 
 from __future__ import annotations
 
-import functools
 from typing import NamedTuple
 
 import numpy as np
@@ -17,20 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns, row_filter
-from .common import crc_fold, hash_share
+from .common import block_of, crc_fold, hash_share, model as kept_model
 
 #: Bytes compressed at once: small enough that the dictionary, not the text's own start, is what matches.
 BLOCK = 1024
 LEVEL = 3
 
 
-@functools.lru_cache(4)
 def _compressor(dictionary: bytes) -> zstd.ZstdCompressor:
     d = zstd.ZstdCompressionDict(dictionary)
     d.precompute_compress(level=LEVEL)
     return zstd.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
 
 
+def _compressors(good: bytes, bad: bytes) -> tuple[zstd.ZstdCompressor, zstd.ZstdCompressor]:
+    return kept_model("quality", (good, bad), lambda: (_compressor(good), _compressor(bad)))
+
+
+def _dictionary(blocks: list[bytes], room: int) -> bytes:
+    """A dictionary trained on the blocks; of too little text for that, the text itself serves as one."""
+    try:
+        return zstd.train_dictionary(room, blocks, k=256, d=8, level=LEVEL).as_bytes()
+    except zstd.ZstdError:
+        return b"".join(blocks)[-2 * room :]
+
+
 class Model(NamedTuple):
     """Two dictionaries and the curve; without dictionaries every text scores 0.5."""
 
@@ -44,7 +54,7 @@ class Model(NamedTuple):
 def evidence(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
     """By text: (bad - good) / (bad + good) of the compressed sizes, the log of the smaller over the text's size, its square
     below the usual and the product of the first two; zeros for empty texts."""
-    g, b = _compressor(good).compress, _compressor(bad).compress
+    g, b = (c.compress for c in _compressors(good, bad))
     out = np.zeros((len(texts), 4))
     for i, t in enumerate(texts):
         if t:
@@ -73,9 +83,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", where: Column | None = None, sample_rows: int = 3_000, row_chars: int = 16_000, dict_bytes: int = 64_000) -> Model:
     """Two dictionaries and a calibration from a bounded sample of labelled rows.
 
-    About ``sample_rows`` rows a class, chosen by a hash of the id on both tables before they meet, and at most
-    ``row_chars`` characters of each. Of every four sampled rows three build the dictionaries and one calibrates.
-    Ids with both labels count as neither. Without rows of either class every text scores 0.5.
+    About ``sample_rows`` rows a class, chosen by a hash of the id on both tables before they meet, and of each a block
+    of at most ``row_chars`` characters at a place that the hash chooses too. Of every four sampled rows three build
+    the dictionaries and one calibrates. Ids with both labels count as neither; null and empty texts teach nothing.
+    Without text of either class every text scores 0.5.
     """
     lab = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     lab = lab if where is None else lab.where(where)
@@ -85,7 +96,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
     share = {c: sample_rows / n for c, n in counts.items()}
     picked = lab.where(((F.col(label) == 0) & hash_share(key, share[0])) | ((F.col(label) == 1) & hash_share(key, share[1])))
     picked = picked.groupBy(key).agg(F.min(label).alias("lo"), F.max(label).alias("hi")).where("lo = hi").select(key, F.col("lo").alias("y"))
-    near = docs.where(F.col(text).isNotNull() & hash_share(key, max(share.values()))).select(key, F.substring(text, 1, row_chars).alias("t"))
+    near = docs.where(F.col(text).isNotNull() & hash_share(key, max(share.values()))).select(key, block_of(text, key, row_chars, 17).alias("t"))
     rows = near.join(picked, key).select("y", F.xxhash64(F.lit(3), F.col(key)).alias("h"), "t").collect()
     rows = sorted((r.h, r.y, r.t) for r in rows)
     parts: dict[int, list[bytes]] = {0: [], 1: []}
@@ -93,10 +104,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str =
         if h % 4:
             raw = t.encode("utf-8", "surrogatepass")
             parts[y] += [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-    if min(map(len, parts.values())) < 8:
-        return Model()
     room = min(dict_bytes, *(sum(map(len, p)) // 2 for p in parts.values()))
-    dicts = [zstd.train_dictionary(room, parts[c], k=256, d=8, level=LEVEL).as_bytes() for c in (1, 0)]
+    if room < 1:
+        return Model()
+    dicts = [_dictionary(parts[c], room) for c in (1, 0)]
     rest = [(y, t) for h, y, t in rows if h % 4 == 0]
     y = np.array([r[0] for r in rest], float)
     if not 0 < y.sum() < len(y):
@@ -119,7 +130,10 @@ def probability(texts: list, model: Model) -> np.ndarray:
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``, all columns as they are; nothing is shuffled."""
+    """The rows of ``docs`` that score at least ``threshold``, all columns as they are; nothing is shuffled.
+
+    Null and empty texts score 0 and go; repeated rows are decided on alike.
+    """
     return row_filter(docs, text, lambda texts: probability(texts, model) >= threshold)
 
 

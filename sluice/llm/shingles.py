@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import xxhash
 
-from .common import U64, mix64
+from .common import U64, mix64, model
 
 #: A-Z to a-z and nothing else, on UTF-8 bytes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,9 +26,6 @@ class WordHash(dict):
         return h
 
 
-_hash = WordHash().__getitem__
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of ``size`` words.
 
@@ -43,7 +38,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, U64)
-    h = np.fromiter(map(_hash, words), U64, n)
+    h = np.fromiter(map(model("words", 0, WordHash).__getitem__, words), U64, n)
     k = min(size, n)
     s = mix64(h[: n - k + 1] + U64(k))
     for i in range(1, k):
@@ -51,7 +46,6 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(s)
 
 
-@functools.lru_cache(2)
 def _circulant(k: int, seed: int) -> np.ndarray:
     """Row i is the permutation's run of ``k`` values from position i on, with wrap-around: one table serves all shifts."""
     perm = np.random.default_rng(seed).permutation(1 << BITS).astype(np.uint32)
@@ -60,7 +54,7 @@ def _circulant(k: int, seed: int) -> np.ndarray:
 
 def signature(s: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
     """Circulant MinHash: a first permutation scatters the set, a second one, shifted by 1 to k, gives the k minima."""
-    rows = _circulant(k, seed)
+    rows = model("circulant", (k, seed), lambda: _circulant(k, seed))
     at = (mix64(s + U64(seed)) >> U64(64 - BITS)).astype(np.int64)
     out = np.full(k, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(at), 1024):
