@@ -2,28 +2,29 @@
 
 For each language a bounded sample of labelled text gives a suffix automaton. A text is parsed greedily into
 the longest phrases that occur in that sample; a phrase costs log2(sample length) bits, and the language with
-the fewest bits a symbol wins. All automata of a worker lie in one dense table, and numpy steps through many
-text segments at once.
+the fewest bits a symbol wins. Every letter of every sample is a symbol, whatever the script; the automata's sparse rows
+lie interleaved in one array, and numpy steps through many text segments at once.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import random
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_columns, row_filter
-from .common import chunks_of, crc_fold, hash_share
+from .common import block_of, chunks_of, crc_fold, model
 
 #: Symbols of the parse: 0 is any run of characters that aren't letters, 1 is a letter that no sample holds.
 OTHER, UNSEEN = 0, 1
 #: Texts are parsed in segments of so many symbols; each segment starts a phrase of its own.
 SEGMENT = 1024
-#: Cells of all automata together (128 MB): with more than ten languages the samples get shorter to stay below.
-TABLE_CELLS = 1 << 25
+#: Languages that step together, which bounds a task's state, not the number of languages.
+TOGETHER = 16
 
 
 @functools.lru_cache(1)
@@ -36,8 +37,8 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def automaton(s: np.ndarray, width: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of ``s``; -1 where there is none."""
+def automaton(s: np.ndarray) -> list[dict[int, int]]:
+    """By state the transitions of the suffix automaton of ``s``; state 0 is the start."""
     nxt, link, length = [{}], [-1], [0]
     last = 0
     for c in s.tolist():
@@ -63,41 +64,61 @@ def automaton(s: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nxt), width), -1, np.int32)
-    for i, row in enumerate(nxt):
-        for c, t in row.items():
-            table[i, c] = t
-    return table
+    return nxt
+
+
+def interleaved(nxt: list[dict[int, int]], symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, target, restart) of an automaton; a state is known by the place where its row starts, and all places differ.
+
+    A transition of state s by symbol c lies at s + c, where owner is s if there is one. Rows go to free places from a
+    drawn one on, long rows first. The start has no row: ``restart`` has its transitions by symbol, 0 where it has none.
+    States without transitions are the start, which is at 0, since both can only begin anew.
+    """
+    rows = sorted((i for i in range(1, len(nxt)) if nxt[i]), key=lambda i: -len(nxt[i]))
+    places = max(64, 2 * sum(len(nxt[i]) for i in rows))
+    draw = random.Random(places).randrange
+    taken, begins = bytearray(places + symbols), bytearray(places)
+    begins[0] = 1
+    at = [0] * len(nxt)
+    for i in rows:
+        p, row = draw(places), list(nxt[i])
+        while begins[p] or any(taken[p + c] for c in row):
+            p = p + 1 if p + 1 < places else 0
+        at[i] = p
+        begins[p] = 1
+        for c in row:
+            taken[p + c] = 1
+    owner, target, restart = np.full(places + symbols, -1, np.int32), np.zeros(places + symbols, np.int32), np.zeros(symbols, np.int32)
+    for i in rows:
+        for c, t in nxt[i].items():
+            owner[at[i] + c], target[at[i] + c] = at[i], at[t]
+    for c, t in nxt[0].items():
+        restart[c] = at[t]
+    return owner, target, restart
 
 
 class CrossParser:
     """Parses texts against the samples of all languages. ``samples``: (language, text) pairs."""
 
-    def __init__(self, samples: tuple[tuple[str, str], ...], alphabet: int = 62):
+    def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.langs = [lang for lang, _ in samples]
         letters = _letters()
         coded = [_codes(t.lower()) for _, t in samples]
-        seen, n = np.unique(np.concatenate([c[letters[c]] for c in coded]) if coded else np.empty(0, np.uint32), return_counts=True)
-        self.known = seen[np.lexsort((seen, -n))][:alphabet]
-        self.lut = np.where(letters, UNSEEN, OTHER).astype(np.uint8)
-        self.lut[self.known] = np.arange(2, 2 + len(self.known))
-        self.width = 2 + len(self.known)
-        tables, self.roots, self.bits, base = [], [], [], 0
+        known = np.unique(np.concatenate([c[letters[c]] for c in coded])) if coded else np.empty(0, np.uint32)
+        self.lut = np.where(letters, UNSEEN, OTHER).astype(np.uint16 if len(known) < 65_000 else np.int32)
+        self.lut[known] = np.arange(2, 2 + len(known))
+        owners, targets, restarts, self.roots, self.bits, base = [], [], [], [], [], 0
         for c in coded:
             sym = self.symbols(c)
-            t = automaton(sym[sym != UNSEEN], self.width)
-            # one step of a parse: (next state's row) * 2 + (1 if a phrase starts with this symbol); a symbol that the
-            # sample lacks is a phrase of its own
-            root = np.where(t[0] >= 0, t[0], 0)
-            moves = np.where(t >= 0, (t + base) * self.width * 2, (root + base)[None, :] * self.width * 2 + 1).astype(np.int64)
-            moves[0] |= 1
-            tables.append(moves)
-            self.roots.append(base * self.width)
+            owner, target, restart = interleaved(automaton(sym), 2 + len(known))
+            owners.append(np.where(owner < 0, -1, owner + base))
+            targets.append(target + base)
+            restarts.append(restart + base)
+            self.roots.append(base)
             self.bits.append(math.log2(max(2, len(sym))))
-            base += len(t)
-        self.step = np.concatenate(tables).ravel() if tables else np.empty(0, np.int64)
-        if self.step.size and self.step.max() < 2**31:
-            self.step = self.step.astype(np.int32)
+            base += len(owner)
+        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int32)
+        self.owner, self.target, self.restart = join(owners), join(targets), np.stack(restarts) if restarts else np.empty((0, 2), np.int32)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
         s = self.lut[codes]
@@ -105,10 +126,10 @@ class CrossParser:
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol for each text and language; whether the text has a letter."""
-        m, k = len(texts), len(self.langs)
+        m = len(texts)
         raw = [(t or "").lower() for t in texts]
         lens = np.fromiter(map(len, raw), np.int64, m)
-        codes = self.lut[_codes("".join(raw))]
+        codes = self.lut[_codes("".join(raw))].astype(np.int32)
         owner = np.repeat(np.arange(m, dtype=np.int32), lens)
         first = np.ones(len(owner), bool)
         first[1:] = owner[1:] != owner[:-1]
@@ -124,44 +145,51 @@ class CrossParser:
         size = np.minimum(SEGMENT, lens[seg_doc] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
         at, size, seg_doc = at[order], size[order], seg_doc[order]
-        # all languages step together
-        step = self.step
-        state = np.repeat(np.array(self.roots, step.dtype)[:, None], len(at), axis=1)
-        begun = np.zeros((k, len(at)), np.int32)
+        phrases = np.concatenate([self._phrases(slice(i, i + TOGETHER), codes, at, size, seg_doc, m) for i in range(0, len(self.langs), TOGETHER)])
+        return (phrases * np.array(self.bits)[:, None] / np.maximum(1, lens)).T, has
+
+    def _phrases(self, langs: slice, codes: np.ndarray, at: np.ndarray, size: np.ndarray, seg_doc: np.ndarray, m: int) -> np.ndarray:
+        """Phrases of each text against some languages, which step together; segments come the longest first."""
+        owner, target, restart = self.owner, self.target, self.restart[langs]
+        state = np.repeat(np.array(self.roots[langs], np.int32)[:, None], len(at), axis=1)
+        begun = np.zeros(state.shape, np.int32)
         for t in range(int(size[0]) if len(size) else 0):
             live = int(np.searchsorted(-size, -t, side="left"))
-            x = step.take(state[:, :live] + codes.take(at[:live] + t))
-            begun[:, :live] += x & 1
-            state[:, :live] = x >> 1
-        phrases = np.array([np.bincount(seg_doc, e, minlength=m) for e in begun])
-        return (phrases * np.array(self.bits)[:, None] / np.maximum(1, lens)).T, has
+            c, now = codes.take(at[:live] + t), state[:, :live]
+            cell = now + c
+            miss = owner.take(cell) != now
+            begun[:, :live] += miss
+            state[:, :live] = np.where(miss, restart[:, c], target.take(cell))
+        return np.array([np.bincount(seg_doc, e, minlength=m) for e in begun])
 
 
-@functools.lru_cache(2)
 def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
-    return CrossParser(samples)
+    return model("langid", samples, lambda: CrossParser(samples))
 
 
-def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", where=None, sample_docs: int = 200, sample_chars: int = 24_000, doc_chars: int = 4_000) -> tuple[tuple[str, str], ...]:
+def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", where=None, sample_docs: int = 200, sample_chars: int = 24_000, block_chars: int = 4_000, most_langs: int = 1_000) -> tuple[tuple[str, str], ...]:
     """(language, sample text) pairs from labelled documents.
 
     The only bounded read of the engine's language ID: about ``sample_docs`` documents a language, chosen by a
-    hash of the id, at most ``doc_chars`` characters of each and ``sample_chars`` in all, so that what the
-    driver and a worker hold is bounded (see TABLE_CELLS).
+    hash of the id, of each a block of at most ``block_chars`` characters at a place that the hash chooses too, and
+    ``sample_chars`` in all, so that what the driver and a worker hold is bounded (about 1 MB a language). Samples are
+    the same size whatever the number of languages; more than ``most_langs`` are an error, not a cut. Rows with a null
+    text or language teach nothing; texts that are empty or hold no letter add none.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = rows if where is None else rows.where(where)
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
-    if not counts:
+    rows = docs if where is None else docs.where(where)
+    rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("l"), F.col(key).alias("k"), F.col(text).alias("t"))
+    counts = rows.groupBy("l").count()
+    n = {r[0]: r[1] for r in counts.limit(most_langs + 1).collect()}
+    if len(n) > most_langs:
+        raise ValueError(f"more than {most_langs} languages in the labels")
+    if not n:
         return ()
-    sample_chars = min(sample_chars, TABLE_CELLS // (128 * len(counts)))
-    share = F.lit(False)
-    for name, n in counts.items():
-        share = share | ((F.col(lang) == name) & hash_share(key, 2 * sample_docs / n))
+    share = F.element_at(F.create_map(*[F.lit(x) for name, m in n.items() for x in (name, min(1.0, 2 * sample_docs / m))]), F.col("l"))
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col("k").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     got: dict[str, list] = {}
-    for r in rows.where(share).select(F.col(lang).alias("l"), F.xxhash64(F.lit(11), F.col(key)).alias("h"), F.substring(text, 1, doc_chars).alias("t")).collect():
+    for r in rows.where(draw < share).select("l", F.xxhash64(F.lit(11), F.col("k")).alias("h"), block_of("t", "k", block_chars, 13).alias("t")).collect():
         got.setdefault(r.l, []).append((r.h, r.t))
-    return tuple((name, "\n".join(t for _, t in sorted(got[name]))[:sample_chars]) for name in sorted(got))
+    return tuple((name, "\n".join(t for _, t in sorted(got[name], key=lambda x: (x[0] is not None, x)))[:sample_chars]) for name in sorted(got))
 
 
 def predictions(texts: list, samples: tuple[tuple[str, str], ...], sharpness: float = 12.0) -> tuple[list[str], np.ndarray]:
@@ -182,7 +210,11 @@ def predictions(texts: list, samples: tuple[tuple[str, str], ...], sharpness: fl
 
 
 def accepted(docs: DataFrame, samples: tuple[tuple[str, str], ...], *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` in a learned language with a score of at least ``least``, all columns as they are; nothing is shuffled."""
+    """The rows of ``docs`` in a learned language with a score of at least ``least``, all columns as they are; nothing is shuffled.
+
+    Null and empty texts and those without a letter are in none and go; repeated rows are decided on alike.
+    """
+
     def known(texts: list) -> list:
         pred, score = predictions(texts, samples)
         return [p != "und" and s >= least for p, s in zip(pred, score)]
