@@ -1,14 +1,20 @@
 """Quality rules: fixed text statistics, and robust multivariate outliers.
 
 Each text becomes a vector of transformed statistics. For each language and source the minimum covariance
-determinant gives a centre and a scatter from the half of the rows that lie closest together; a row whose
-Mahalanobis distance from it is beyond a chi-squared bound is rejected. All concentration steps run over all
-rows: distances are counted, with their moments, in narrow bins per group, so that the closest part of a group
-is a range of bins and no group ever has to meet in one task.
+determinant gives a centre and a scatter: of all subsets of three quarters of the rows, the one whose covariance has the
+smallest determinant is sought by concentration steps from several fixed starts, all in one pass over the rows, until
+no determinant falls further. The winner is reweighted over the rows that it finds near, and a row whose Mahalanobis
+distance is beyond a chi-squared bound is rejected. Steps run over all rows: distances are counted, with their
+moments, in narrow bins by group and start, so that the closest part of a group is a range of bins (of the last one a
+fraction) and no group ever has to meet in one task.
+
+Squares of fixed floors are added to every covariance, since most statistics are constant over clean text; a
+concentration step lowers the determinant of such a regularised covariance as it does a plain one's.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from statistics import NormalDist
 
@@ -89,73 +95,161 @@ def _distance() -> Column:
     return sum(((1 if i == j else 2) * F.col("inv")[i * P + j] * c[i] * c[j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _solve(moments: DataFrame) -> DataFrame:
-    """(key, mu, inv, reach) from a row of sums for each key; the floors keep every scatter invertible."""
+def chi2_share(x: float, freedom: int = P) -> float:
+    """The share of a chi-squared distribution below x, by the same approximation."""
+    a = 2 / (9 * freedom)
+    return NormalDist().cdf(((x / freedom) ** (1 / 3) - (1 - a)) / a**0.5)
+
+
+def _matrix(upper) -> np.ndarray:
+    c = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, upper):
+        c[i, j] = c[j, i] = v
+    return c
+
+
+def _form(key, start, mu, scatter, reach) -> tuple:
+    return key, start, mu, np.linalg.inv(scatter).ravel(), float(np.linalg.slogdet(scatter)[1]), reach
+
+
+FORM = "key string, start int, mu array<double>, inv array<double>, det double, reach double"
+
+
+def _rows(got: list[tuple]) -> dict:
+    return dict(zip(("key", "start", "mu", "inv", "det", "reach"), zip(*got))) if got else {c.split()[0]: [] for c in FORM.split(", ")}
 
-    def run(keys: list, ns: list, sums: list, products: list, reach: list) -> dict:
-        out = {"key": keys, "mu": [], "inv": [], "reach": reach}
-        for n, s, q in zip(ns, sums, products):
+
+def _solve(moments: DataFrame, inflate: float = 1.0) -> DataFrame:
+    """FORM from a row of sums for each key and start; det is the logarithm of the determinant."""
+
+    def run(keys: list, starts: list, ns: list, sums: list, products: list, reach: list) -> dict:
+        out = []
+        for k, t, n, s, q, r in zip(keys, starts, ns, sums, products, reach):
             mu = np.array(s) / n
-            c = np.zeros((P, P))
-            for (i, j), v in zip(_PAIRS, q):
-                c[i, j] = c[j, i] = v / n - mu[i] * mu[j]
-            out["mu"].append(mu)
-            out["inv"].append(np.linalg.inv(c + np.diag(np.square(FLOORS))).ravel())
-        return out
+            out.append(_form(k, t, mu, inflate * (_matrix(q) / n - np.outer(mu, mu)) + np.diag(np.square(FLOORS)), r))
+        return _rows(out)
+
+    return map_columns(moments, ["key", "start", "n", "s", "q", "reach"], run, FORM)
 
-    return map_columns(moments, ["key", "n", "s", "q", "reach"], run, "key string, mu array<double>, inv array<double>, reach double")
+
+def _sums(weight: Column) -> list[Column]:
+    s = F.array(*[F.sum(weight * F.col(f"s{i}")) for i in range(P)]).alias("s")
+    return [F.sum(weight * F.col("n")).alias("n"), s, F.array(*[F.sum(weight * F.col(f"q{i}{j}")) for i, j in _PAIRS]).alias("q")]
 
 
 #: Bins of squared distances an octave, and the smallest and largest bin.
 FINE, LOW, HIGH = 8, -80, 240
+#: Starts: scatters of medians and quartiles with no correlation, with that of the hyperbolic tangents, of the directions and
+#: of the clipped values of standardised rows.
+STARTS = 4
 
 
-def estimates(x: DataFrame, scratch: Scratch, *, share: float = 0.75, steps: int = 4) -> DataFrame:
-    """(key, mu, inv, reach): centre and inverse scatter of the closest ``share`` of each key's rows x0 to x4, after ``steps``
-    concentration steps from coordinatewise medians and quartiles; reach is the largest squared distance within that share."""
+def starts(x: DataFrame) -> DataFrame:
+    """FORM of every key's starts."""
     quart = x.groupBy("key").agg(*[F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(f"p{i}") for i, c in enumerate(_xs())])
-    spread = [F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + f * f for i, f in enumerate(FLOORS)]
-    start = [F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
-    at = quart.select("key", F.array(*[F.col(f"p{i}")[1] for i in range(P)]).alias("mu"), F.array(*start).alias("inv"), F.lit(0.0).alias("reach"))
-    for _ in range(steps):
-        at = scratch.keep(at)
-        d = x.join(at, "key").withColumn("bin", F.least(F.greatest(F.floor(F.log2(_distance() + 1e-12) * FINE), F.lit(LOW)), F.lit(HIGH)))
-        bins = d.groupBy("key", "bin").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_xs())], *[F.sum(_xs()[i] * _xs()[j]).alias(f"q{i}{j}") for i, j in _PAIRS])
-        of = Window.partitionBy("key")
-        upto = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        close = bins.withColumn("all", F.sum("n").over(of)).withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).where(F.col("before") < share * F.col("all"))
-        sums = close.groupBy("key").agg(
-            F.sum("n").alias("n"),
-            F.array(*[F.sum(f"s{i}") for i in range(P)]).alias("s"),
-            F.array(*[F.sum(f"q{i}{j}") for i, j in _PAIRS]).alias("q"),
-            F.pow(F.lit(2.0), (F.max("bin") + 1) / F.lit(float(FINE))).alias("reach"),
-        )
-        at = _solve(sums)
-    return scratch.keep(at)
+    scale = [F.sqrt(F.pow((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, 2) + f * f) for i, f in enumerate(FLOORS)]
+    at = quart.select("key", *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(P)], *[c.alias(f"d{i}") for i, c in enumerate(scale)])
+    z = x.join(at, "key").select("key", *[((c - F.col(f"m{i}")) / F.col(f"d{i}")).alias(f"z{i}") for i, c in enumerate(_xs())])
+    size = F.sqrt(sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(P)), F.lit(1e-12)))
+    kinds = (F.tanh, lambda c: c / size, lambda c: F.greatest(F.lit(-1.5), F.least(F.lit(1.5), c)))
+    sums = [F.array(*[F.sum(f(F.col(f"z{i}")) * f(F.col(f"z{j}"))) for i, j in _PAIRS]).alias(f"r{t}") for t, f in enumerate(kinds)]
+    at = at.join(z.groupBy("key").agg(*sums), "key")
+
+    def run(keys: list, ms: list, ds: list, *products: list) -> dict:
+        out = []
+        for k, m, d, *qs in zip(keys, ms, ds, *products):
+            out.append(_form(k, 0, m, np.diag(np.square(d)), 0.0))
+            for t, q in enumerate(qs):
+                c = _matrix(q)
+                e = np.sqrt(np.maximum(np.diag(c), 1e-12))
+                r = 0.95 * c / np.outer(e, e)
+                np.fill_diagonal(r, 1.0)
+                out.append(_form(k, t + 1, m, r * np.outer(d, d), 0.0))
+        return _rows(out)
+
+    return map_columns(at, ["key", F.array(*[f"m{i}" for i in range(P)]), F.array(*[f"d{i}" for i in range(P)]), *[f"r{t}" for t in range(STARTS - 1)]], run, FORM)
+
+
+def concentrate(x: DataFrame, at: DataFrame, share: float) -> DataFrame:
+    """FORM after one step: mean and covariance of the ``share`` of each key's rows that are closest by ``at``; reach is the largest
+    squared distance among them."""
+    d = x.join(at, "key").withColumn("bin", F.least(F.greatest(F.floor(F.log2(_distance() + 1e-12) * FINE), F.lit(LOW)), F.lit(HIGH)))
+    bins = d.groupBy("key", "start", "bin").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(_xs())], *[F.sum(_xs()[i] * _xs()[j]).alias(f"q{i}{j}") for i, j in _PAIRS])
+    of = Window.partitionBy("key", "start")
+    upto = of.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    want = F.ceil(share * F.sum("n").over(of)) - F.coalesce(F.sum("n").over(upto), F.lit(0))
+    part = bins.withColumn("part", F.least(F.lit(1.0), want / F.col("n"))).where("part > 0")
+    sums = part.groupBy("key", "start").agg(*_sums(F.col("part")), F.max(F.pow(F.lit(2.0), (F.col("bin") + F.col("part")) / F.lit(float(FINE)))).alias("reach"))
+    return _solve(sums)
+
+
+def _best(at: DataFrame, n: int) -> DataFrame:
+    """Of each key the ``n`` starts with the smallest determinants; there are at most ``STARTS`` rows a key."""
+    return at.withColumn("rk", F.row_number().over(Window.partitionBy("key").orderBy("det", "start"))).where(F.col("rk") <= n).drop("rk")
+
+
+def estimates(x: DataFrame, scratch: Scratch, *, share: float = 0.75, most_rounds: int = 15) -> DataFrame:
+    """FORM of the smallest determinant found for each key's rows x0 to x4.
+
+    A round is two steps. All starts take one, then the two best of each key go on until a round lowers no determinant
+    by a hundredth, or ``most_rounds``.
+    """
+    step = lambda at: concentrate(x, concentrate(x, at, share), share)
+    first = scratch.keep(_best(step(scratch.keep(starts(x))), 2))
+    seen, moving = [first], first
+    for _ in range(most_rounds):
+        was = moving.select("key", "start", F.col("det").alias("was"))
+        moving = scratch.keep(step(moving).join(was, ["key", "start"]).where("det < was - 1e-2").drop("was"))
+        if moving.isEmpty():
+            break
+        seen.append(moving)
+    return scratch.keep(_best(functools.reduce(DataFrame.unionByName, seen), 1))
+
+
+def reweighted(x: DataFrame, at: DataFrame, share: float, near: float = 0.975) -> DataFrame:
+    """FORM of mean and covariance of the rows within the ``near`` bound of ``at``, made consistent for normal rows."""
+    cut = chi2_quantile(near)
+    d = x.join(at, "key").where(_distance() <= F.lit(cut) * stretch(share))
+    sums = d.groupBy("key", "start").agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in _xs()]).alias("s"), F.array(*[F.sum(_xs()[i] * _xs()[j]) for i, j in _PAIRS]).alias("q"), F.lit(0.0).alias("reach"))
+    return _solve(sums, near / chi2_share(cut, P + 2))
+
+
+def stretch(share: float) -> Column:
+    """By how much squared distances exceed those of normal rows: the largest within the subset over its chi-squared quantile, at least 1."""
+    return F.greatest(F.lit(1.0), F.col("reach") / chi2_quantile(share))
 
 
 def judge(docs: DataFrame, *, text: str = "text", key: str = "doc_id", by: tuple[str, str] = ("lang", "source"), least_rows: int = 50, share: float = 0.75, level: float = 0.9999) -> DataFrame:
     """(key, five counts, base_failed, distance, kept), one row a row of ``docs``.
 
     Rows that fail the fixed rules don't enter the estimates. A language and source with fewer than
-    ``least_rows`` other rows is judged with its language's other small sources; where those are still too few
-    nothing more is rejected. Null groups are groups of their own. Null and empty texts have no words and fail.
+    ``least_rows`` other rows is judged with its language's other small sources; where those are still too few, by
+    its whole language, and else by all rows. Only where these are too few too is nothing more rejected, and the
+    distance null. Null groups are groups of their own. Null and empty texts have no words and fail. Repeated rows
+    count each and are judged alike; statistics that are constant in a group have the floors as their spread.
     """
-    cut, inside = chi2_quantile(level), chi2_quantile(share)
+    cut = chi2_quantile(level)
     with Scratch(docs.sparkSession) as scratch:
         rows = statistics(docs, text=text, key=key, by=by).withColumn("base_failed", base_failed())
         rows = scratch.keep(rows.withColumn("fine", F.to_json(F.struct("g0", "g1"))))
+        # each group's own key, its language's small sources, its language, all: the first with enough rows judges it
         sized = rows.where("not base_failed").groupBy("fine", "g0").agg(F.count("*").alias("n"))
-        name = sized.select("fine", F.when(F.col("n") >= least_rows, F.col("fine")).otherwise(F.to_json(F.struct("g0"))).alias("key"), "n")
-        enough = name.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows).select("key")
-        name = scratch.keep(name.select("fine", "key").join(enough, "key", "left_semi"))
-        x = scratch.keep(rows.where("not base_failed").join(name, "fine").select("key", *_xs()))
-        at = estimates(x, scratch, share=share)
+        small = F.col("n") < least_rows
+        keys = F.array(F.col("fine"), F.when(small, F.concat(F.lit("small"), F.to_json(F.struct("g0")))), F.concat(F.lit("lang"), F.to_json(F.struct("g0"))), F.lit("all"))
+        feeds = scratch.keep(sized.select("fine", "n", F.posexplode(keys).alias("rank", "key")).where("key is not null"))
+        enough = feeds.groupBy("key").agg(F.sum("n").alias("m")).where(F.col("m") >= least_rows).select("key")
+        name = scratch.keep(feeds.join(enough, "key").groupBy("fine").agg(F.min_by("key", "rank").alias("key")))
+        feeds = feeds.select("fine", "key").join(name.select("key").distinct(), "key", "left_semi")
+        x = scratch.keep(rows.where("not base_failed").join(feeds, "fine").select("key", *_xs()))
+        raw = estimates(x, scratch, share=share)
+        at = reweighted(x, raw, share).drop("reach").join(raw.select("key", "reach"), "key")
         at = name.join(at, "key").select("fine", "mu", "inv", "reach")
-        scored = rows.join(at, "fine", "left").withColumn("distance", _distance() / F.greatest(F.lit(1.0), F.col("reach") / inside))
+        # groups all of whose rows fail the fixed rules have no estimate and need none
+        scored = rows.join(at, "fine", "left").withColumn("distance", _distance() / stretch(share))
         kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
         return final(scored.select(F.col("id").alias(key), *COUNTS, "base_failed", "distance", kept.alias("kept")))
 
 
 def op5(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept of every whole text."""
     return judge(docs)
