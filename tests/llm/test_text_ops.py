@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from sluice.llm import bpe, langid, packing, pii, quality, rules, secret_scan  # noqa: E402
+from sluice.llm.common import Scratch  # noqa: E402
 
 BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 WORDS = {"en": "the of and to house river stone light window garden", "de": "der die und zu haus fluss stein licht fenster garten", "fr": "le la et pour maison rivière pierre lumière fenêtre jardin"}
@@ -441,6 +442,84 @@ def test_rules_reject_outliers(spark):
     assert all(out[i] for i in range(300)) and not any(out[1000 + i] for i in range(30))
 
 
+def numpy_mcd(x, share, level):
+    """Minimum covariance determinant with exact subsets, from the same kinds of starts, and the verdict on each row."""
+    floors = np.array(rules.FLOORS)
+    n, h = len(x), int(np.ceil(share * len(x)))
+    med = np.median(x, axis=0)
+    q = np.quantile(x, (0.25, 0.75), axis=0)
+    scale = np.sqrt(((q[1] - q[0]) / 1.349) ** 2 + floors**2)
+    z = (x - med) / scale
+    forms = [np.diag(scale**2)]
+    for w in (np.tanh(z), z / np.sqrt((z**2).sum(axis=1) + 1e-12)[:, None], np.clip(z, -1.5, 1.5)):
+        c = w.T @ w
+        e = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        c = 0.95 * c / np.outer(e, e)
+        np.fill_diagonal(c, 1)
+        forms.append(c * np.outer(scale, scale))
+    far = lambda mu, s: np.einsum("ni,ij,nj->n", x - mu, np.linalg.inv(s), x - mu)
+    best = None
+    for s in forms:
+        mu, last = med, np.inf
+        for _ in range(100):
+            near = np.argsort(far(mu, s), kind="stable")[:h]
+            reach = np.sort(far(mu, s))[h - 1]
+            mu, s = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + np.diag(floors**2)
+            det = np.linalg.slogdet(s)[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        best = min(best or (np.inf,), (det, mu, s, reach), key=lambda b: b[0])
+    det, mu, s, reach = best
+    f = max(1.0, reach / rules.chi2_quantile(share))
+    near = far(mu, s) <= f * rules.chi2_quantile(0.975)
+    s = 0.975 / rules.chi2_share(rules.chi2_quantile(0.975), rules.P + 2) * np.cov(x[near].T, bias=True) + np.diag(floors**2)
+    return det, far(x[near].mean(axis=0), s) / f <= rules.chi2_quantile(level)
+
+
+def test_mcd_against_numpy(spark):
+    r = np.random.default_rng(4)
+    groups = {}
+    for g, n in (("a", 400), ("b", 150), ("c", 60)):
+        mix = r.standard_normal((5, 5))
+        x = r.standard_normal((n, 5)) @ mix
+        bad = n // 5  # a tight cluster of outliers, masked from a plain covariance
+        x[:bad] = r.standard_normal((bad, 5)) * 0.1 + mix.sum(axis=0) * 6
+        groups[g] = x
+    groups["ties"] = np.repeat(r.integers(0, 3, (20, 5)).astype(float), 5, axis=0)
+    groups["constant"] = np.ones((80, 5))
+    rows = [(k, *map(float, v)) for k, x in groups.items() for v in x]
+    x = spark.createDataFrame(rows, "key string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    with Scratch(spark) as scratch:
+        raw = rules.estimates(x, scratch)
+        at = rules.reweighted(x, raw, 0.75).drop("reach").join(raw.select("key", "reach"), "key")
+        dets = {q.key: q.det for q in raw.collect()}
+        got = {k: [] for k in groups}
+        for q in x.join(at, "key").select("key", *rules._xs(), (rules._distance() / rules.stretch(0.75) <= rules.chi2_quantile(0.9999)).alias("ok")).collect():
+            got[q.key].append((tuple(q)[1:6], q.ok))
+    for k, v in groups.items():
+        det, ok = numpy_mcd(v, 0.75, 0.9999)
+        assert dets[k] == pytest.approx(det, abs=0.25)
+        want = dict(zip(map(tuple, v), ok))
+        assert np.mean([want[a] == b for a, b in got[k]]) >= 0.98, k
+        if k in "abc":
+            assert not any(ok[: len(v) // 5]) and np.mean(ok[len(v) // 5 :]) > 0.97
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    word = lambda r: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8)))
+    r = random.Random(5)
+    rows = [(i, " ".join(word(r) for _ in range(r.randint(60, 200))), "en", "big") for i in range(200)]
+    rows += [(1000 + i, " | ".join(word(r) for _ in range(100)), "en", f"tiny{i}") for i in range(5)]
+    rows += [(2000 + i, " | ".join(word(r) for _ in range(100)), f"xx{i}", None) for i in range(3)] + [(3000, " ".join(word(r) for _ in range(90)), None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {x.doc_id: x for x in rules.judge(d).collect()}
+    assert all(x.distance is not None for x in out.values()) and out[3000].kept
+    assert not any(out[i].kept for i in (*range(1000, 1005), *range(2000, 2003)))
+    few = rules.judge(d.where("doc_id < 20")).collect()
+    assert all(x.distance is None and x.kept for x in few)
+
+
 def test_bpe(spark, docs):
     from tokenizers import Tokenizer
 
