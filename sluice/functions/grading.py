@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,11 +17,19 @@ MCQ10_SOURCES = ("bbh_logical_deduction", "bbh_tracking", "zebra_logic_mc")
 ROLE = r"(?i)\b([A-Z][a-zA-Z]+)\b\s+is\s+a\s+(knight|knave)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it and in whichever branches."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def answer_tail(text: Column, markers: tuple[str, ...]) -> Column:
     """The text from the last occurrence of the first marker that occurs, in any case; else the whole text."""
-    low = F.lower(text)
-    tail = lambda m: F.when(F.instr(low, m) > 0, F.right(text, F.length(F.substring_index(low, m, -1)) + len(m)))
-    return F.coalesce(*[tail(m) for m in markers], text)
+
+    def cut(low: Column) -> Column:
+        tail = lambda m: F.when(F.contains(low, F.lit(m)), F.right(text, F.length(F.substring_index(low, m, -1)) + len(m)))
+        return F.coalesce(*[tail(m) for m in markers], text)
+
+    return let(F.lower(text), cut)
 
 
 def roles(text: Column) -> Column:
@@ -29,44 +39,49 @@ def roles(text: Column) -> Column:
 
 
 def _last_role(of: Column, name: Column) -> Column:
-    return F.get(F.filter(of, lambda e: e["name"] == name), F.size(F.filter(of, lambda e: e["name"] == name)) - 1)["role"]
+    return F.try_element_at(F.filter(of, lambda e: e["name"] == name), F.lit(-1))["role"]
 
 
 def grade_kk(solution: Column, truth: Column) -> Column:
     """1 if the answer gives every person of the truth the right role; later mentions replace earlier ones."""
-    solution = F.coalesce(solution, F.lit(""))
-    want = roles(F.coalesce(truth, F.lit("")))
-    tail, whole = roles(answer_tail(solution, KK_MARKERS)), roles(solution)
-    got = F.when(F.size(tail) > 0, tail).otherwise(whole)
-    ok = F.forall(want, lambda e: F.coalesce(_last_role(got, e["name"]) == _last_role(want, e["name"]), F.lit(False)))
-    return F.when((F.size(want) > 0) & ok, 1.0).otherwise(0.0)
+
+    def judge(want: Column, got: Column) -> Column:
+        ok = F.forall(want, lambda e: F.coalesce(_last_role(got, e["name"]) == _last_role(want, e["name"]), F.lit(False)))
+        return F.when((F.size(want) > 0) & ok, 1.0).otherwise(0.0)
+
+    def read(said: Column) -> Column:
+        got = let(roles(answer_tail(said, KK_MARKERS)), lambda tail: F.when(F.size(tail) > 0, tail).otherwise(roles(said)))
+        return let(F.struct(roles(F.coalesce(truth, F.lit(""))).alias("want"), got.alias("got")), lambda x: judge(x["want"], x["got"]))
+
+    return let(F.coalesce(solution, F.lit("")), read)
 
 
 def grade_mcq(solution: Column, truth: Column, letters: str = "ABCD") -> Column:
     """1 if the last standalone option letter after the answer marker, or else of the whole text, is the truth's first letter."""
-    solution = F.coalesce(solution, F.lit(""))
     want = F.upper(F.left(F.regexp_replace(F.coalesce(truth, F.lit("")), r"^\s+", ""), F.lit(1)))
     rx = F.lit(rf"\b([{letters[0]}-{letters[-1]}])\b")
-    last = lambda t: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(t, rx, F.lit(1))), -1)
-    tail = last(answer_tail(solution, MCQ_MARKERS))
-    got = F.when(tail != "", tail).otherwise(last(solution))
-    return F.when((want != "") & F.lit(letters).contains(want) & (got == want), 1.0).otherwise(0.0)
+    last = lambda t: F.try_element_at(F.regexp_extract_all(t, rx, F.lit(1)), F.lit(-1))
+    got = let(F.coalesce(solution, F.lit("")), lambda said: F.coalesce(last(answer_tail(said, MCQ_MARKERS)), last(said)))
+    return let(want, lambda w: F.when((w != "") & F.contains(F.lit(letters), w) & F.coalesce(got == w, F.lit(False)), 1.0).otherwise(0.0))
 
 
 def boxed(text: Column) -> Column:
     """The last \\boxed{...} without nested braces, else the text after the last "answer:", trimmed; null if neither."""
-    found = F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1))
-    box = F.element_at(F.concat(F.array(F.lit("")), found), -1)
+    box = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed\{([^{}]*)\}"), F.lit(1)), F.lit(-1))
     after = F.regexp_extract(text, r"(?is).*answer:\s*([^\n]*)", 1)
-    return F.nullif(F.trim(F.when(box != "", box).otherwise(after)), F.lit(""))
+    return let(F.trim(F.coalesce(F.nullif(box, F.lit("")), after)), lambda x: F.nullif(x, F.lit("")))
 
 
 def grade_math(solution: Column, truth: Column) -> Column:
     """1 if the final answers agree as numbers, or as text without blanks, dollar signs, thousands commas and a final period."""
     clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[\s$]|(?<=\d),(?=\d{3})", ""), r"\.$", "")
-    got, want = clean(boxed(F.coalesce(solution, F.lit("")))), clean(F.coalesce(truth, F.lit("")))
-    same = (got == want) | (F.abs(got.try_cast("double") - want.try_cast("double")) < 1e-9)
-    return F.when(F.coalesce(same, F.lit(False)) & (want != ""), 1.0).otherwise(0.0)
+
+    def judge(x: Column) -> Column:
+        same = (x["got"] == x["want"]) | (F.abs(x["got"].try_cast("double") - x["want"].try_cast("double")) < 1e-9)
+        return F.when(F.coalesce(same, F.lit(False)) & (x["want"] != ""), 1.0).otherwise(0.0)
+
+    said = let(F.coalesce(solution, F.lit("")), boxed)
+    return let(F.struct(clean(said).alias("got"), clean(F.coalesce(truth, F.lit(""))).alias("want")), judge)
 
 
 def compute_score(source: Column, solution: Column, truth: Column) -> Column:
@@ -78,10 +93,10 @@ def compute_score(source: Column, solution: Column, truth: Column) -> Column:
         .when(source.startswith("mmlu_pro") | source.isin(*MCQ10_SOURCES), grade_mcq(solution, truth, ten))
         .otherwise(grade_math(solution, truth))
     )
-    return F.struct(score.alias("score"), (score >= 1.0).alias("acc"), F.lit("").alias("pred"))
+    return let(score, lambda x: F.struct(x.alias("score"), (x >= 1.0).alias("acc"), F.lit("").alias("pred")))
 
 
 def safe_row(source: Column, solution: Column, truth: Column) -> Column:
     """struct(acc, score, resp_len) of a response; a null response has length 0."""
-    s = compute_score(source, solution, truth)
-    return F.struct(s["acc"].cast("double").alias("acc"), s["score"].alias("score"), F.coalesce(F.length(solution), F.lit(0)).alias("resp_len"))
+    size = F.coalesce(F.length(solution), F.lit(0)).alias("resp_len")
+    return let(compute_score(source, solution, truth), lambda s: F.struct(s["acc"].cast("double").alias("acc"), s["score"].alias("score"), size))

@@ -76,6 +76,11 @@ def union_domains(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def union_distinct(*parts: DataFrame) -> DataFrame:
+    """The distinct rows of all parts."""
+    return union_domains(*parts).distinct()
+
+
 def nested_prompts(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", most: int = 10_000) -> DataFrame:
     """(conv, prompt): the conversation's messages as one ordered array. The array is the record itself, so a conversation
     must fit a row; one of more than ``most`` messages is an error, not a silent cut."""
@@ -103,6 +108,11 @@ def number(text: Column) -> Column:
     return F.nullif(F.trim(text.cast("string")), F.lit("")).try_cast("double")
 
 
+def percent(df: DataFrame, *columns: str) -> DataFrame:
+    """Shares as percentages."""
+    return df.withColumns({c: F.col(c) * 100 for c in columns})
+
+
 def where_equal(df: DataFrame, **wanted: object) -> DataFrame:
     """Equality filters; None is no filter."""
     for c, v in wanted.items():

@@ -6,8 +6,11 @@ hold a handful of rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.contracts import Mixer
@@ -148,6 +151,27 @@ class ReplayPriority(_Mixer, name="replay_priority"):
         return df.select(*self.by, "domain_ord", "domain", ((1 - self.rho) * F.col("_r") / F.sum("_r").over(by) + self.rho * stale).alias("p"))
 
 
+class FunctionMixer(_Mixer):
+    """A mixer from a function of one group's rows: ``fn(pandas rows of domain_ord, domain and the ``using`` columns) -> signal``.
+
+    The way out for signals that no column expression gives. A group is one row a domain; softmax and floor follow.
+    """
+
+    def __init__(self, domains: list[str], fn: Callable, using: dict[str, float], **kw):
+        super().__init__(domains=domains, **kw)
+        self.fn, self.using = fn, dict(using)
+
+    def mix(self, stats: DataFrame) -> DataFrame:
+        df, fn = self.all_domains(stats, **self.using), self.fn
+        schema = T.StructType([*df.schema.fields, T.StructField("_signal", T.DoubleType())])
+
+        def run(rows):
+            rows = rows.sort_values("domain_ord")
+            return rows.assign(_signal=fn(rows))
+
+        return self.softmax(df.groupBy(*self.by).applyInPandas(run, schema), F.col("_signal"))
+
+
 def ewma(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step",), beta: float = 0.9) -> DataFrame:
     """(domain, ewma) with s = beta * s + (1 - beta) * value from 0, one value a domain and step.
 

@@ -79,6 +79,16 @@ def ranked(df: DataFrame, by: str, *then: str) -> DataFrame:
     return df.orderBy(F.coalesce(F.col(by), F.lit(0.0)).desc(), *then)
 
 
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by several keys, such as model, method and seed; missing keys first."""
+    return df.orderBy(*[F.col(k).asc_nulls_first() for k in keys])
+
+
+def progress(runs: DataFrame, wanted: int, done: str = "run") -> DataFrame:
+    """(n_done, finished): the number of distinct finished runs against the number wanted; one row."""
+    return runs.agg(F.countDistinct(done).alias("n_done")).withColumn("finished", F.col("n_done") >= wanted)
+
+
 def merge_metrics(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """All runs of ``left`` with the metrics of ``right`` where there are any."""
     return left.join(right, on, "left")

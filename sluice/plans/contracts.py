@@ -21,10 +21,12 @@ class Component:
     """What a schedule is made of. A subclass with a ``name`` enters the catalogue under the kind of its contract."""
 
     kind = ""
+    name: str | None = None
 
     def __init_subclass__(cls, name: str | None = None, **kw: object) -> None:
         super().__init_subclass__(**kw)
         if name is not None:
+            cls.name = name
             CATALOGUE.add(cls.kind, name, cls)
 
     @classmethod

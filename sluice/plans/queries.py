@@ -634,3 +634,6 @@ def _(s, d):
     e = bindings.table(s, d, "events")
     g = e.groupBy(F.window(F.col("ts"), "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+from . import io_queries  # noqa: E402, F401  (it adds its queries to the catalogue)

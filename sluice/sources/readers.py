@@ -51,7 +51,7 @@ def read_evals(spark: SparkSession, glob: str) -> DataFrame:
 
 def read_metrics(spark: SparkSession, glob: str) -> DataFrame:
     """(path, value): a metric under acc, accuracy or score, at the top or under "overall"; 0 is a value, not a gap."""
-    raw = spark.read.option("wholetext", True).text(glob).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = spark.read.text(glob, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
     keys = [f"$.{p}{k}" for p in ("", "overall.") for k in ("acc", "accuracy", "score")]
     return raw.select("path", F.coalesce(*[F.get_json_object("value", k).try_cast("double") for k in keys]).alias("value"))
 

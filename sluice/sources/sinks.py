@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
+from ..scratch import hadoop_path, names_in
+
 
 def write_parquet(df: DataFrame, path: str, skip_existing: bool = False) -> None:
     """``skip_existing``: an output that is there already stays as it is."""
@@ -18,6 +22,17 @@ def write_csv(df: DataFrame, path: str, columns: list[str], skip_existing: bool
     df.select(*columns).write.mode("ignore" if skip_existing else "overwrite").csv(path, header=True)
 
 
+def write_lines(df: DataFrame, path: str) -> None:
+    """The one text column of a small result as one file of that name, such as ``people3_a.jsonl`` or ``gsm8k.json``."""
+    spark, part = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    df.coalesce(1).write.text(part)
+    fs, to = hadoop_path(spark, path)
+    (name,) = (n for n in names_in(spark, part) if n.startswith("part-"))
+    fs.delete(to, False)
+    fs.rename(hadoop_path(spark, f"{part}/{name}")[1], to)
+    fs.delete(hadoop_path(spark, part)[1], True)
+
+
 def text_table(df: DataFrame, style: str = "markdown", digits: int = 1, most: int = 1000) -> str:
     """A report table as markdown, LaTeX or plain text; missing cells are dashes. For results of at most ``most`` rows, more is an error."""
     rows = df.limit(most + 1).collect()

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources import kv
+
 STATS = "domain string, step long, mean double, slope double, count long"
 STATE = "values array<double>, seen long"
 
@@ -33,26 +35,26 @@ def domain_stats_stream(obs: DataFrame, *, window: int = 50) -> DataFrame:
     return obs.groupBy("domain").applyInPandasWithState(update, STATS, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def start_mix_loop(obs: DataFrame, mixer, publish: Callable[[DataFrame, int], None], checkpoint: str, *, window: int = 50, warmup_step: int = 0, update_step: int = 1):
+def start_mix_loop(obs: DataFrame, mixer, publish: Callable[[DataFrame, int], None], checkpoint: str, *, window: int = 50, warmup_step: int = 0, update_step: int = 1, **trigger):
     """Starts the loop; ``publish(proportions, step)`` gets a table of one row a domain on refresh steps.
 
-    Statistics of domains that a batch doesn't touch are carried from earlier batches by a small table on the driver,
-    one row a domain.
+    The latest statistics of every domain are a keyed table beside the checkpoint, one row a domain, so that a loop
+    that starts again goes on with those of domains that its next batch doesn't touch. A repeated batch publishes the
+    same again. ``trigger``: as in ``DataStreamWriter.trigger``.
     """
-    last: dict[str, tuple] = {}
-
-    def each(stats: DataFrame, _: int) -> None:
-        for r in stats.groupBy("domain").agg(F.max_by(F.struct("step", "mean", "slope", "count"), "step").alias("s")).collect():
-            last[r.domain] = tuple(r.s)
-        if not last:
-            return
-        step = max(v[0] for v in last.values())
-        if step >= warmup_step and step % max(1, update_step) == 0:
-            rows = [(d, float(m), float(s), int(n)) for d, (_, m, s, n) in sorted(last.items())]
-            publish(mixer.mix(stats.sparkSession.createDataFrame(rows, "domain string, mean double, slope double, count long")), step)
+    table = f"{checkpoint}/domains"
+
+    def each(stats: DataFrame, batch: int) -> None:
+        spark = stats.sparkSession
+        kv.put(stats.groupBy("domain").agg(F.max_by(F.struct("step", "mean", "slope", "count"), "step").alias("s")).select("domain", "s.*"), table, "domain", batch)
+        now = kv.get(spark, table)
+        step = now.agg(F.max("step")).first()[0]
+        if step is not None and step >= warmup_step and step % max(1, update_step) == 0:
+            publish(mixer.mix(now), step)
 
     stats = domain_stats_stream(obs, window=window)
-    return stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    out = stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()
 
 
 def windowed_event_stats(events: DataFrame, *, time: str = "ts", late: str = "10 minutes", window: str = "5 minutes", by: str = "event_type") -> DataFrame:

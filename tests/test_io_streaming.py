@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions.tables import register_tables
 from sluice.operators import datasets, mixers, reports
-from sluice.sources import readers, sinks
+from sluice.sources import kv, readers, sinks
 from sluice.streaming.mix_loop import start_mix_loop, windowed_event_stats
 
 
@@ -82,6 +84,42 @@ def test_streaming_mix_loop_equals_batch(spark, tmp_path):
     assert set(got) == set(range(6)) and all(abs(got[5][d] - want[d]) < 1e-9 for d in want)
 
 
+def test_mix_loop_goes_on_after_a_restart(spark, tmp_path):
+    """Domains that only the first run saw still count in the second, which has new objects and the checkpoint alone."""
+    src, schema = tmp_path / "in", "step long, row_id long, domain string, value double"
+    rows = [(s, i, d, float((s * 5 + i + ord(d)) % 7)) for s in range(4) for i in range(3) for d in ("abc" if s < 2 else "a")]
+    got = {}
+    for steps in ((0, 1), (2, 3)):
+        for s in steps:
+            spark.createDataFrame([r for r in rows if r[0] == s], schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+        start_mix_loop(stream, mixers.RewardGap(["a", "b", "c"]), lambda p, step: got.update({step: {r.domain: r.p for r in p.collect()}}), str(tmp_path / "cp"), window=5, availableNow=True).awaitTermination()
+    for step in range(4):
+        seen = spark.createDataFrame([r for r in rows if r[0] <= step], schema)
+        want = {r.domain: r.p for r in mixers.RewardGap(["a", "b", "c"]).mix(mixers.latest(mixers.domain_windows(seen, window=5))).collect()}
+        assert got[step] == pytest.approx(want)
+
+
+def test_keyed_table(spark, tmp_path):
+    at, rows = str(tmp_path / "kv"), lambda *r: spark.createDataFrame(list(r), "k string, v int, w int")
+    assert kv.get(spark, at) is None
+    for version, put in enumerate([rows(("a", 1, 1), ("b", 2, 2)), rows(("b", 3, 3), ("c", 4, 4)), rows(("b", 3, 3), ("c", 4, 4)), rows(("a", 9, 9))]):
+        kv.put(put, at, "k", version if version < 2 else version - 1)
+    assert {tuple(r) for r in kv.get(spark, at).collect()} == {("a", 9, 9), ("b", 3, 3), ("c", 4, 4)}
+    assert [tuple(r) for r in kv.get(spark, at, rows(("c", 0, 0), ("z", 0, 0)).select("k"), ["v"]).collect()] == [(4,)]
+    assert kv.versions(spark, at) == [1, 2]
+
+
+def test_table_function_and_function_mixer(spark):
+    register_tables(spark)
+    got = spark.sql("SELECT metric, number FROM metric_rows('x:1 m_a:2.5 m_b:1.2.3 m_:7', 'm_')").collect()
+    assert [tuple(r) for r in got] == [("m_a", 2.5), ("m_", 7.0)]
+    assert spark.sql("SELECT * FROM metric_rows(CAST(NULL AS STRING), 'm_')").count() == 0
+    stats = spark.createDataFrame([("a", 2.0)], "domain string, mean double")
+    p = {r.domain: r.p for r in mixers.FunctionMixer(["b", "a"], lambda rows: -rows["mean"], {"mean": 0.0}, floor=0.0).mix(stats).collect()}
+    assert p["b"] > p["a"] and p["a"] + p["b"] == pytest.approx(1)
+
+
 def test_event_windows(spark, tmp_path):
     e = spark.createDataFrame([(f"2024-01-01 00:0{i}:00", "a", 1.0) for i in range(8)], "ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     e.write.parquet(str(tmp_path / "e"))
