@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, final, shared_dir
+
+__all__ = ["Scratch", "final", "shared_dir", "U64", "block_of", "chunks_of", "crc_fold", "give_back", "hash_share", "mix64", "model", "narrowed"]
+
 U64 = np.uint64
 
 
@@ -27,56 +29,6 @@ def hash_share(col: str, share: float, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col(col).cast("string")), F.lit(space)) < F.lit(int(min(1.0, share) * space))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
-
-    Where it is unset a temporary folder serves local sessions; on a cluster it is an error.
-    """
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        return sc._jsc.sc().getCheckpointDir().get()
-    if at is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Parquet tables in the shared folder that end with the job that needs them.
-
-    A written table cuts lineage, survives lost executors and, unlike a cached one, needs no memory.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.n = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        at = f"{self.root}/{self.n}"
-        df.write.parquet(at)
-        return self.spark.read.schema(df.schema).parquet(at)
-
-    def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        self.drop()
-
-
-def final(df: DataFrame) -> DataFrame:
-    """An eagerly computed copy in the checkpoint folder, independent of scratch tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def block_of(text: str, key: str, chars: int, seed: int) -> Column:
     """At most ``chars`` characters of a text from a place that a hash of the key chooses, so that a sample sees all parts of long texts."""
     room = F.greatest(F.length(text) - F.lit(chars - 1), F.lit(1))
