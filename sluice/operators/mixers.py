@@ -14,18 +14,35 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..plans.contracts import Mixer
+from ..scratch import Scratch, final
+from .ranges import beside, in_ranges
 
 
 def domain_windows(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step", "row_id"), window: int = 50) -> DataFrame:
     """``obs`` with n_obs, mean and slope of the domain's last ``window`` observations, its own row included.
 
-    slope is the least-squares slope over the observations' numbers; 0 with fewer than two.
+    slope is the least-squares slope over the observations' numbers; 0 with fewer than two. A domain's history is cut into
+    ranges, each a task, and a range begins with a copy of the ``window - 1`` observations before it. The ranges are
+    written, so this runs jobs; the result is a table of its own.
     """
-    ordered = Window.partitionBy(domain).orderBy(*order)
-    frame = ordered.rowsBetween(-(window - 1), 0)
-    out = obs.withColumn("_i", F.row_number().over(ordered).cast("double"))
-    out = out.withColumns({"n_obs": F.count(value).over(frame), "mean": F.coalesce(F.avg(value).over(frame), F.lit(0.0)), "slope": F.coalesce(F.regr_slope(F.col(value), F.col("_i")).over(frame), F.lit(0.0))})
-    return out.drop("_i")
+    with Scratch(obs.sparkSession) as scratch:
+        rows, ranges = in_ranges(obs, [domain], list(order), scratch)
+        if window > 1:
+            # for each range those that come soon after it, and how many observations lie between
+            ends = ranges.select(domain, "_part", "_first", "_n", (F.col("_before") + F.col("_n")).alias("_end"))
+            later = ranges.select(F.col(domain).alias("_d"), F.col("_part").alias("_to"), F.col("_before").alias("_begin"))
+            soon = ends.join(later, F.col(domain).eqNullSafe(F.col("_d")) & (F.col("_to") > F.col("_part")) & (F.col("_begin") - F.col("_end") < window - 1))
+            soon = soon.select(domain, "_part", "_to", (F.col("_first") + F.col("_n") - (window - 1) + F.col("_begin") - F.col("_end")).alias("_from"))
+            halo = beside(rows, scratch.keep(soon), [domain, "_part"]).where("_i >= _from").drop("_from")
+            halo = halo.withColumn("_part", F.col("_to")).drop("_to").withColumn("_own", F.lit(False))
+            rows = rows.withColumn("_own", F.lit(True)).unionByName(halo)
+        else:
+            rows = rows.withColumn("_own", F.lit(True))
+        ordered = Window.partitionBy(domain, "_part").orderBy("_i")
+        frame = ordered.rowsBetween(-(window - 1), 0)
+        out = rows.withColumn("_x", F.row_number().over(ordered).cast("double"))
+        out = out.withColumns({"n_obs": F.count(value).over(frame), "mean": F.coalesce(F.avg(value).over(frame), F.lit(0.0)), "slope": F.coalesce(F.regr_slope(F.col(value), F.col("_x")).over(frame), F.lit(0.0))})
+        return final(out.where("_own").drop("_own", "_part", "_i", "_x"))
 
 
 def latest(stats: DataFrame, *, domain: str = "domain", order: tuple[str, ...] = ("step", "row_id")) -> DataFrame:

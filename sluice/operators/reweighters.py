@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import array_total, masked_sum
 from ..plans.contracts import Reweighter
+from ..scratch import Scratch, final
+from .ranges import beside, in_ranges, ranked
 
 TINY = 1e-8
 
@@ -48,10 +50,20 @@ class DifficultyBand(_ByStep, name="difficulty_band"):
         self.low_q, self.high_q, self.focus_weight = low_q, high_q, focus_weight
 
     def reweight(self, df: DataFrame) -> DataFrame:
-        df = self.with_stats(df, _q=F.percentile("score", F.array(F.lit(self.low_q), F.lit(self.high_q))), _n=F.count("*"))
-        inside = F.col("score").between(F.col("_q")[0], F.col("_q")[1])
+        """The quantiles are exact, interpolated between neighbours, and read from ranges of (step, score) by jobs of their own."""
+        with Scratch(df.sparkSession) as scratch:
+            rows, ranges = in_ranges(df.where("score is not null").select(F.col(self.step).alias("_at"), F.col("score").cast("double").alias("_s")), ["_at"], ["_s"], scratch)
+            size = ranges.groupBy("_at").agg(F.sum("_n").alias("_of"))
+            at, pick = beside(ranked(rows, ranges, ["_at"]), size, ["_at"]), []
+            for n, q in (("low", self.low_q), ("high", self.high_q)):
+                place = (F.col("_of") - 1) * F.lit(float(q))
+                near = F.greatest(F.lit(0.0), 1 - F.abs(F.col("_rank") - 1 - place))  # 1 on the place, shared between two neighbours
+                pick.append(F.sum(F.when(near > 0, near * F.col("_s"))).alias(f"_{n}"))
+            ends = final(at.groupBy("_at").agg(*pick))
+        df = beside(self.with_stats(df, _n=F.count("*")).withColumn("_at", F.col(self.step)), ends, ["_at"], "left")
+        inside = F.col("score").between(F.col("_low"), F.col("_high"))
         raw = F.when(F.col("_n") <= 1, 1.0).when(inside, float(self.focus_weight)).otherwise(1.0)
-        return self.mean_one(df, raw).drop("_q", "_n")
+        return self.mean_one(df, raw).drop("_low", "_high", "_n", "_at")
 
 
 class AdvantageReweight(_ByStep, name="advantage_reweight"):

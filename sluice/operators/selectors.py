@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import array_total
 from ..plans.contracts import Selector
+from ..scratch import Scratch, final
+from .ranges import beside, in_ranges, ranked
 
 
 def _half_even(x: Column) -> Column:
@@ -46,10 +48,24 @@ class TopkFraction(Selector, name="topk_fraction"):
         self.fraction, self.largest = fraction, largest
 
     def select(self, df: DataFrame) -> DataFrame:
-        by = Window.partitionBy(self.step)
-        best = F.col("score").desc_nulls_last() if self.largest else F.col("score").asc_nulls_last()
-        rank = F.row_number().over(by.orderBy(best, *self.tie))
-        return df.withColumn("kept", rank <= _half_even(F.count("*").over(by) * self.fraction))
+        """The last row that is in is found among ranges of (step, score, tie) alone, by jobs of its own; whole rows are compared
+        with it where they are and not shuffled."""
+        s = F.col("score").cast("double")
+        key = F.struct(s.isNull().alias("n"), (F.isnan(s) != F.lit(self.largest)).alias("nan"), (-s if self.largest else s).alias("s"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(self.tie)])
+        with Scratch(df.sparkSession) as scratch:
+            rows, ranges = in_ranges(df.select(F.col(self.step).alias("_at"), key.alias("_key")), ["_at"], ["_key"], scratch)
+            size = ranges.groupBy("_at").agg(_half_even(F.sum("_n") * self.fraction).alias("_want"))
+            at = beside(ranked(rows, ranges, ["_at"]), size, ["_at"])
+            last = scratch.keep(at.where("_rank = _want").select("_at", F.col("_key").alias("_last"), "_want"))
+            close = beside(rows, last, ["_at"]).where("_key <= _last").groupBy("_at").agg(F.count_if(F.col("_key") < F.col("_last")).alias("_less"), F.count("*").alias("_upto"))
+            last = final(beside(last, close, ["_at"]).select("_at", "_last", (F.col("_want") - F.col("_less")).alias("_room"), (F.col("_upto") - F.col("_want")).alias("_over")))
+        got = beside(df.withColumns({"_at": F.col(self.step), "_key": key}), last, ["_at"])
+        if last.where("_over > 0").isEmpty():
+            return got.withColumn("kept", F.col("_key") <= F.col("_last")).select(*df.columns, "kept")
+        # rows that agree with the last one in all tie columns are as good as each other
+        even = got.where("_key = _last").withColumn("kept", F.row_number().over(Window.partitionBy("_at").orderBy("_key")) <= F.col("_room"))
+        rest = got.where("_key <> _last").withColumn("kept", F.col("_key") < F.col("_last"))
+        return rest.select(*df.columns, "kept").unionByName(even.select(*df.columns, "kept"))
 
 
 class Gfpo(_Grouped, name="gfpo"):
