@@ -27,6 +27,8 @@ from .components import components
 BLOCKS = 4
 #: Vectors of a filter that a task compares at once, and the size up to which pairs of a filter are joined as rows.
 CELL, SMALL = 256, 48
+#: Filter numbers of vectors of one length lie below this bit; the length is above it.
+LENGTH_SHIFT = 40
 #: The chance with which a pair whose cosine is the bound itself may share no filter.
 MISS = 1e-5
 
@@ -150,9 +152,10 @@ def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
     """(key, n_links, component_id, kept), one row a row of ``vectors``.
 
     Two vectors link if they share a filter and their cosine in double precision is at least ``least``; a pair
-    shares none with a chance below ``MISS`` at that cosine and less above, and equal vectors always share one. Vectors that are null or zero, of another length than the first by key, or with null or
-    non-finite components link with nothing. Repeated rows are vectors of their own that link. The smallest key
-    of a component names it; a null key is never smallest.
+    shares none with a chance below ``MISS`` at that cosine and less above, and equal vectors always share one.
+    Vectors of different lengths never link, and each length has codes of its own. Vectors that are null, empty or zero,
+    or with null or non-finite components link with nothing. Repeated rows are vectors of their own that link. The
+    smallest key of a component names it; a null key is never smallest.
     """
     kind = vectors.schema[key].dataType.simpleString()
     col = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -161,17 +164,28 @@ def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
         rows = vectors.select(F.col(key).alias("id"), col.alias("v"))
         rows = scratch.keep(rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v"))).withColumn("row", F.monotonically_increasing_id()))
         good = rows.where("v is not null")
-        head = good.agg(F.min_by(F.size("v"), F.struct("id", "row")).alias("d"), F.approx_count_distinct(F.xxhash64("v")).alias("n")).first()
-        dim = head.d or 1
-        width, codes = plan(dim, head.n, list_size, least)
-        good = good.where(F.size("v") == dim)
+        total = good.agg(F.approx_count_distinct(F.xxhash64("v")).alias("n")).first().n
+        # the plans of the most frequent lengths are made here; a task makes those of others, and the same ones
+        usual = [r.d for r in good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(8).collect()]
+        plans = {d: plan(d, total, list_size, least) for d in usual}
         same = good.groupBy("v").agg(F.min("row").alias("rid"), F.count("*").alias("w"), F.min("id").alias("low"))
 
         def filters(rids: list, vs: list, ws: list, lows: list) -> dict:
-            v = np.array(vs, float).reshape(-1, dim)
-            v /= np.abs(v).max(axis=1, keepdims=True)
-            v /= np.linalg.norm(v, axis=1, keepdims=True)
-            return {"rid": rids, "u": list(v), "w": ws, "low": lows, "fl": list(decode(v, width, list_size, codes)) if len(v) else []}
+            unit, fl = [None] * len(vs), [None] * len(vs)
+            sizes = np.fromiter(map(len, vs), np.int64, len(vs))
+            for dim in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == dim)
+                v = np.array([vs[i] for i in at], float)
+                v /= np.abs(v).max(axis=1, keepdims=True)
+                v /= np.linalg.norm(v, axis=1, keepdims=True)
+                f = decode(v, *chosen(dim)) + (dim << LENGTH_SHIFT)
+                for i, x, y in zip(at.tolist(), v, f):
+                    unit[i], fl[i] = x, y
+            return {"rid": rids, "u": unit, "w": ws, "low": lows, "fl": fl}
+
+        def chosen(dim: int) -> tuple[int, int, int]:
+            width, codes = plans.get(dim) or plan(dim, total, list_size, least)
+            return width, list_size, codes
 
         same = scratch.keep(map_columns(same, ["rid", "v", "w", "low"], filters, f"rid long, u array<double>, w long, low {kind}, fl array<long>"))
 
@@ -203,11 +217,12 @@ def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
         named = cls.join(cls.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("rid", "n_links", "component_id")
         member = good.select("id", "row", "v").join(good.groupBy("v").agg(F.min("row").alias("rid")), "v").select("id", "row", "rid")
         some = member.join(named, "rid").select("id", "n_links", "component_id")
-        none = rows.where(F.col("v").isNull() | (F.size("v") != dim)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+        none = rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
         out = some.unionByName(none)
         kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
         return final(out.select(F.col("id").alias(key), "n_links", "component_id", kept.alias("kept")))
 
 
 def op9(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id, kept; see ``links``."""
     return links(vectors)

@@ -161,6 +161,16 @@ def test_filters_meet_at_the_bound_at_every_size(dim, n):
     assert all(np.intersect1d(i, j).size for i, j in zip(x, y))
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is compared with itself alone; a short vector of the smallest key changes nothing for the rest."""
+    a, b = borderline(16, 40, 0.96)
+    rows = [(0, [1.0, 2.0]), (1, [2.0, 4.1]), (2, [1.0]), (3, [5.0]), (4, [-1.0]), (5, [1.0, 2.0, 0.0])] + [(100 + i, [float(c) for c in u]) for i, u in enumerate(np.concatenate([a, b]))]
+    d = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "vec_id long, embedding array<double>, id string, u int, fl int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.op9(d).collect()}
+    assert {i: got[i] for i in range(6)} == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5)}
+    assert all(got[100 + i][0] >= 1 and got[140 + i][1] == got[100 + i][1] for i in range(40))
+
+
 def test_embeddings_finds_borderline_pairs(spark):
     a, b = borderline(8, 150, 0.9501)
     x = np.concatenate([a, b])
