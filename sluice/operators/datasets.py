@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import Scratch, final
+from .ranges import in_ranges, ranked
+
 
 def record(data_source: Column, prompt: Column, truth: Column, ability: Column, domain: Column, extra: Column) -> list[Column]:
     """The columns of a dataset row; ``extra`` is a map, so rows of different domains union cleanly."""
@@ -83,13 +86,20 @@ def union_distinct(*parts: DataFrame) -> DataFrame:
 
 def nested_prompts(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", most: int = 10_000) -> DataFrame:
     """(conv, prompt): the conversation's messages as one ordered array. The array is the record itself, so a conversation
-    must fit a row; one of more than ``most`` messages is an error, not a silent cut."""
+    must fit a row; one of more than ``most`` messages is an error, not a silent cut. ``message_rows`` has no bound."""
     ranked = messages.withColumn("_n", F.row_number().over(Window.partitionBy(conv).orderBy(turn, "role", "text")))
     checked = ranked.withColumn("_n", F.when(F.col("_n") <= most, F.col("_n")).otherwise(F.raise_error(F.lit(f"a conversation of more than {most} messages"))))
     got = checked.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("_n", "role", F.col("text").alias("content")))).alias("_m"))
     return got.select(conv, F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("prompt"))
 
 
+def message_rows(messages: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """(conv, seq, role, content): the same order with one row a message, for conversations of any length; runs jobs of its own."""
+    with Scratch(messages.sparkSession) as scratch:
+        rows, ranges = in_ranges(messages.select(conv, turn, "role", "text"), [conv], [turn, "role", "text"], scratch)
+        return final(ranked(rows, ranges, [conv]).select(conv, (F.col("_rank") - 1).alias("seq"), "role", F.col("text").alias("content")))
+
+
 def parse_run(name: Column, strict: bool = False) -> Column:
     """struct(method, seed) of "method_s12"; null for other names, or an error if ``strict``."""
     rx = r"^(.+)_s(\d+)$"

@@ -263,6 +263,11 @@ def _(s, d):
     return sampling.shuffled(_t(s, d, "orders").select("o_orderkey"), "o_orderkey", seed=11).limit(200)
 
 
+@query("ds_message_rows", "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS seq, role, text AS content FROM conversations")
+def _(s, d):
+    return datasets.message_rows(_t(s, d, "conversations"))
+
+
 @query("rows_with_outputs", "SELECT o_orderkey, o_orderpriority, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def _(s, d):
     out = _t(s, d, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_linenumber", "l_quantity")
