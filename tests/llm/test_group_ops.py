@@ -8,7 +8,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sluice.llm import chat, embed, minhash
-from sluice.llm.common import Scratch
+from sluice.llm.common import Scratch, narrowed
 from sluice.llm.components import components
 from sluice.llm.shingles import shingle_set
 
@@ -95,6 +95,38 @@ def test_templates_that_share_buckets_but_no_link(spark):
     assert all(got[i] == i for i in range(5000)) and all(got[10_000 + i] == i for i in range(0, 5000, 500))
 
 
+def test_very_long_texts_are_linked(spark):
+    r = random.Random(2)
+    long = [f"w{r.randint(0, 10**9)}" for _ in range(300_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:1000], "other", *long[1001:]])), (3, " ".join(long[:240_000])), (4, " ".join(long[:10])), (5, "x" * 3_000_000), (6, "x" * 3_000_000)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, (_, c) in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5} and got[1][0] == 299_998 and got[5][0] == 1
+
+
+def test_filter_before_a_join_loses_nothing(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("k"), F.lit("t").alias("t"))
+    for n in (0, 1, 300, 5000):
+        want = rows.where(F.col("k") % 3 == 0).limit(n).select("k")
+        with Scratch(spark) as scratch:
+            got = {x.k for x in narrowed(rows, want, "k", scratch).collect()}
+        keep = {x.k for x in want.collect()}
+        assert keep <= got and len(got - keep) < 0.15 * 20_000 + 1
+
+
+def test_workers_let_go_of_models_of_earlier_stages(monkeypatch):
+    from sluice.llm import common
+
+    stage = [1]
+    monkeypatch.setattr(common, "_models", {})
+    monkeypatch.setattr(common.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"stageId": lambda self: stage[0]})()))
+    made = []
+    get = lambda k: common.model("m", k, lambda: made.append(k) or k)
+    assert [get("a"), get("b"), get("a"), get("b")] == ["a", "b", "a", "b"] and made == ["a", "b"]  # both serve this stage
+    stage[0] = 2
+    assert get("b") == "b" and made == ["a", "b"]  # still there
+    assert get("c") == "c" and set(common._models) == {("m", "b"), ("m", "c")}  # a is gone
+
+
 def test_blocks_of_a_frequent_shingle(spark, monkeypatch):
     """With tiny blocks every frequent shingle is dealt over several, and no link is lost."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
