@@ -7,10 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.arrays import array_total, masked, masked_sum, reward_column
 from ..plans.contracts import Scorer
+from .ranges import beside
 
 
 class AdvantageMagnitude(Scorer, name="advantage_magnitude"):
@@ -44,7 +44,10 @@ class RewardDifficulty(Scorer, name="reward_difficulty"):
 
 
 class GroupSolveRate(Scorer, name="group_solve_rate"):
-    """The share of a prompt's responses whose reward is above the threshold, on each of its rows."""
+    """The share of a prompt's responses whose reward is above the threshold, on each of its rows.
+
+    An aggregate that combines before its shuffle, joined back, so that a prompt of any size is no hot group.
+    """
 
     requires = ("response_mask",)
     timing, granularity, needs_groups = "post_reward", "prompt", True
@@ -56,7 +59,8 @@ class GroupSolveRate(Scorer, name="group_solve_rate"):
         self.check(df)
         won = masked_sum(F.col(reward_column(df)), F.col("response_mask")) > self.success_threshold
         keys = [c for c in ("step", "uid") if c in df.columns]
-        return df.withColumn("score", F.avg(won.cast("double")).over(Window.partitionBy(*keys)))
+        rates = df.groupBy(*keys).agg(F.avg(won.cast("double")).alias("_rate"))
+        return beside(df.drop("score"), rates, keys).withColumnRenamed("_rate", "score")
 
 
 class TokenProb(Scorer, name="token_prob"):
