@@ -118,6 +118,11 @@ def number(text: Column) -> Column:
     return F.nullif(F.trim(text.cast("string")), F.lit("")).try_cast("double")
 
 
+def epochs(df: DataFrame, n: int) -> DataFrame:
+    """``df`` n times over, with the number of the ``epoch`` from 0."""
+    return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))) if n > 0 else df.withColumn("epoch", F.lit(0)).limit(0)
+
+
 def percent(df: DataFrame, *columns: str) -> DataFrame:
     """Shares as percentages."""
     return df.withColumns({c: F.col(c) * 100 for c in columns})

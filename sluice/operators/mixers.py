@@ -45,6 +45,11 @@ def domain_windows(obs: DataFrame, *, domain: str = "domain", value: str = "valu
         return final(out.where("_own").drop("_own", "_part", "_i", "_x"))
 
 
+def domains_seen(obs: DataFrame, *, domain: str = "domain") -> DataFrame:
+    """The distinct domains with an observation."""
+    return obs.select(domain).where(F.col(domain).isNotNull()).distinct()
+
+
 def latest(stats: DataFrame, *, domain: str = "domain", order: tuple[str, ...] = ("step", "row_id")) -> DataFrame:
     """The last row of each domain, by an aggregate that combines before it shuffles."""
     rest = [c for c in stats.columns if c != domain]

@@ -319,6 +319,24 @@ def _(s, d):
     return sampling.quota_sample(pool, sampling.quota_targets(rows, 2003), 2003).select("uid", "domain", big(F.col("phase"), "phase"))
 
 
+@scratched("quota_of_published", f"WITH {STAT}, l AS (SELECT domain, arg_max(mean, row(ts, event_id)) AS mean FROM w GROUP BY domain), {DOM}, j AS (SELECT d.*, coalesce(mean, 0) AS mean FROM d LEFT JOIN l USING (domain)), x AS (SELECT *, max(mean) OVER () - mean AS x FROM j), e AS (SELECT *, exp(x - max(x) OVER ()) AS e FROM x), p AS (SELECT *, greatest(e / sum(e) OVER (), 0.05) AS p FROM e), q AS (SELECT domain_ord, domain, p / sum(p) OVER () AS p FROM p), b AS (SELECT *, floor(p * 777) AS b, round(p * 777 - floor(p * 777), 12) AS f FROM q) SELECT domain_ord, domain, CAST(b + CASE WHEN row_number() OVER (ORDER BY f DESC, domain_ord) <= 777 - sum(b) OVER () THEN 1 ELSE 0 END AS BIGINT) AS target FROM b")
+def _(s, d, at):
+    """The mixer publishes proportions to a keyed table, and the sampler takes its quotas from there."""
+    stats = mixers.latest(mixers.domain_windows(bindings.observations(s, d)))
+    kv.put(mixers.RewardGap(DOMAINS).mix(stats), at, "domain", 1)
+    return sampling.quota_targets(kv.get(s, at), 777).select(big(F.col("domain_ord"), "domain_ord"), "domain", "target")
+
+
+@query("tracker_domains", f"WITH {OBS} SELECT DISTINCT domain FROM o")
+def _(s, d):
+    return mixers.domains_seen(bindings.observations(s, d))
+
+
+@query("ds_epochs", "SELECT s_suppkey, epoch FROM supplier, (SELECT unnest(range(3)) AS epoch)")
+def _(s, d):
+    return datasets.epochs(_t(s, d, "supplier").select("s_suppkey"), 3).withColumn("epoch", big(F.col("epoch"), "epoch"))
+
+
 # ---- functions as components
 
 
@@ -393,6 +411,15 @@ def _(s, d, at):
     return kv.get(s, out).select(big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
 
 
+@scratched("stream_weights", f"WITH {R}, s AS (SELECT *, avg(CASE WHEN reward > 0.5 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY step, uid) AS score FROM r) SELECT step, count(*) AS n, round(avg(CASE WHEN score > 0.2 AND score < 0.8 THEN 1.0 ELSE 0.0 END), 6) AS kept_frac FROM s GROUP BY step")
+def _(s, d, at):
+    """Weights of batches as they come, written back and read again."""
+    b = bindings.rollouts(s, d)
+    _in_files(b, f"{at}/in")
+    Schedule.named("difffilter", runtime={"tie": T}).write_stream(_stream(s, f"{at}/in", b.schema), f"{at}/out", f"{at}/check", availableNow=True).awaitTermination()
+    return readers.read_parquet(s, f"{at}/out").groupBy("step").agg(F.count("*").alias("n"), r6(F.avg(F.col("kept").cast("double")), "kept_frac"))
+
+
 @scratched("stream_event_windows", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(s, d, at):
     e = _t(s, d, "events").select("ts", "event_type", "value")

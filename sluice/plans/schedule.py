@@ -61,6 +61,19 @@ class Schedule:
         return out.withColumn("rollout_is_weights", tok)
 
 
+    def write_stream(self, batches: DataFrame, path: str, checkpoint: str, **trigger):
+        """Starts a stream that writes each micro-batch with its weights to ``path``; a step must come within one micro-batch.
+
+        A repeated micro-batch replaces what it wrote before. ``trigger``: as in ``DataStreamWriter.trigger``.
+        """
+
+        def each(batch: DataFrame, number: int) -> None:
+            self.weights(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+        out = batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        return (out.trigger(**trigger) if trigger else out).start()
+
+
 def weight_metrics(weighted: DataFrame, step: str = "step") -> DataFrame:
     """By step: mean and sample deviation of the weights (of valid tokens at token level), and the kept share."""
     if "weight_tok" in weighted.columns:
