@@ -3,7 +3,7 @@
 Filter directions form a structured code: each is a concatenation of one short random direction for each of
 four blocks of (rotated) dimensions, so that millions of them need only a small table, and the filters that a
 vector exceeds are list-decoded from four short lists of inner products. Vectors that share a filter are
-compared in double precision. A pair counts at its smallest common filter only, so nothing is counted twice.
+compared in double precision. A pair counts once, however many filters it shares.
 
 Several such codes, each turned by a rotation of its own, serve together. A rotation drawn uniformly makes the
 chance that a pair shares no filter depend on its cosine alone, whatever the data, and the chances of the codes
@@ -49,19 +49,32 @@ class ProductCode:
         self.words = c / np.linalg.norm(c, axis=2, keepdims=True)
         self.width, self.list_size = width, list_size
 
-    def _best(self, a: np.ndarray) -> np.ndarray:
-        k = min(self.list_size, a.shape[1])
-        return np.argpartition(-a, k - 1, axis=1)[:, :k]
+    def _pairs(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (i, j) in two sorted lists whose sum can be among the ``list_size`` best: no other (i + 1) * (j + 1) - 1 sums are smaller."""
+        i, j = np.divmod(np.arange(k * k), k)
+        fit = (i + 1) * (j + 1) <= self.list_size
+        return i[fit], j[fit]
+
+    def _joined(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], times: int) -> tuple[np.ndarray, np.ndarray]:
+        """(sums, numbers) of the best combinations of two lists, best first; a number is a's times ``times`` plus b's."""
+        i, j = self._pairs(min(a[0].shape[1], b[0].shape[1]))
+        sums, numbers = a[0][:, i] + b[0][:, j], a[1][:, i] * times + b[1][:, j]
+        return self._first(sums, numbers)
+
+    def _first(self, sums: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = min(self.list_size, sums.shape[1])
+        at = np.argpartition(-sums, k - 1, axis=1)[:, :k]
+        s = np.take_along_axis(sums, at, 1)
+        at = np.take_along_axis(at, np.argsort(-s, axis=1, kind="stable"), 1)
+        return np.take_along_axis(sums, at, 1), np.take_along_axis(numbers, at, 1)
 
     def decode(self, v: np.ndarray) -> np.ndarray:
-        """By vector the sorted numbers of its filters. The best sums of two lists use only the best of each."""
-        p = np.einsum("nbd,bwd->bnw", (v @ self.turn).reshape(len(v), BLOCKS, -1), self.words)
-        halves = [(p[i][:, :, None] + p[i + 1][:, None, :]).reshape(len(v), -1) for i in (0, 2)]
-        x, y = (self._best(h) for h in halves)
-        a, b = (np.take_along_axis(h, i, 1) for h, i in zip(halves, (x, y)))
-        best = self._best((a[:, :, None] + b[:, None, :]).reshape(len(v), -1))
-        i, j = best // y.shape[1], best % y.shape[1]
-        return np.sort(np.take_along_axis(x, i, 1).astype(np.int64) * self.width**2 + np.take_along_axis(y, j, 1), axis=1)
+        """By vector the sorted numbers of its filters. The best sums of lists use only the best of each, so few are formed."""
+        p = np.einsum("nbd,bwd->bnw", (v @ self.turn).reshape(len(v), BLOCKS, -1), self.words, optimize=True)
+        numbers = np.broadcast_to(np.arange(self.width, dtype=np.int64), p[0].shape)
+        one = [self._first(x, numbers) for x in p]
+        x, y = (self._joined(one[i], one[i + 1], self.width) for i in (0, 2))
+        return np.sort(self._joined(x, y, self.width**2)[1], axis=1)
 
 
 @functools.lru_cache(128)
@@ -79,7 +92,7 @@ def _width(n: int, list_size: int) -> int:
 
 def decode(v: np.ndarray, width: int, list_size: int, codes: int) -> np.ndarray:
     """By unit vector the sorted numbers of its filters in all codes."""
-    step = max(8, (1 << 21) // width**2)
+    step = max(256, (1 << 18) // width)
     of = lambda k: np.concatenate([_code(v.shape[1], width, list_size, 5 + k).decode(v[at : at + step]) for at in range(0, len(v), step)])
     return np.concatenate([of(k) + k * width**BLOCKS for k in range(codes)], axis=1)
 
@@ -87,7 +100,7 @@ def decode(v: np.ndarray, width: int, list_size: int, codes: int) -> np.ndarray:
 @functools.lru_cache(64)
 def _missed(dim: int, width: int, list_size: int, least: float) -> float:
     """An upper bound, by about two standard errors, of the chance that a pair of cosine ``least`` shares no filter of one code."""
-    n = min(2000, max(256, (1 << 23) // width**2))
+    n = 20_000
     r = np.random.default_rng(dim)
     a, b = r.standard_normal((2, n, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -108,7 +121,8 @@ def plan(dim: int, n: int, list_size: int, least: float) -> tuple[int, int]:
         widths.append(2 * widths[-1])
     for w in widths:
         codes = max(1, math.ceil(math.log(MISS) / math.log(_missed(dim, w, list_size, least))))
-        work = codes * (1 + n * list_size / w**BLOCKS)  # a list entry, and those that it meets by chance
+        # microseconds: a list entry and those that it meets by chance, and decoding
+        work = codes * (list_size * (2 + n * list_size / w**BLOCKS) + 40 + 0.04 * w)
         best = min(best or (work, w, codes), (work, w, codes))
     return best[1:]
 
@@ -189,16 +203,16 @@ def links(vectors: DataFrame, *, vector: str = "embedding", key: str = "vec_id",
 
         same = scratch.keep(map_columns(same, ["rid", "v", "w", "low"], filters, f"rid long, u array<double>, w long, low {kind}, fl array<long>"))
 
-        # filters with two vectors or more
+        # filters with two vectors or more; each vector goes with those of its filters that many share
         f = same.select("rid", F.explode("fl").alias("f"))
         f = scratch.keep(f.join(f.groupBy("f").agg(F.count("*").alias("m")).where("m > 1"), "f"))
-        shared = f.groupBy("rid").agg(F.sort_array(F.collect_list("f")).alias("fl"))  # at most a vector's own list
-        f = f.join(shared, "rid")
+        shared = f.where(F.col("m") > SMALL).groupBy("rid").agg(F.sort_array(F.collect_list("f")).alias("fl"))  # at most a vector's own list
+        unit = scratch.keep(same.select("rid", "u", "w").join(shared, "rid", "left"))
 
-        few = f.where(F.col("m") <= SMALL).select("f", "rid", "fl")
-        pairs = few.toDF("f", "a", "fa").join(few.toDF("f", "b", "fb"), "f").where("a < b and array_min(array_intersect(fa, fb)) = f").select("a", "b")
-        unit = same.select("rid", "u", "w")
-        pairs = pairs.join(unit.toDF("a", "ua", "wa"), "a").join(unit.toDF("b", "ub", "wb"), "b")
+        # a pair counts once: in the first filter that many share, else here
+        few = f.where(F.col("m") <= SMALL).select("f", "rid")
+        pairs = few.toDF("f", "a").join(few.toDF("f", "b"), "f").where("a < b").select("a", "b").distinct()
+        pairs = pairs.join(unit.toDF("a", "ua", "wa", "fa"), "a").join(unit.toDF("b", "ub", "wb", "fb"), "b").where("not coalesce(arrays_overlap(fa, fb), false)")
         dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
         pairs = scratch.keep(pairs.where(dot >= least).select("a", "b", "wa", "wb"))
 
