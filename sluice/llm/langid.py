@@ -153,13 +153,15 @@ class CrossParser:
         owner, target, restart = self.owner, self.target, self.restart[langs]
         state = np.repeat(np.array(self.roots[langs], np.int32)[:, None], len(at), axis=1)
         begun = np.zeros(state.shape, np.int32)
-        for t in range(int(size[0]) if len(size) else 0):
-            live = int(np.searchsorted(-size, -t, side="left"))
-            c, now = codes.take(at[:live] + t), state[:, :live]
+        steps = np.arange(int(size[0]) if len(size) else 0)
+        for t, live in zip(steps.tolist(), np.searchsorted(-size, -steps, side="left").tolist()):
+            c, now = codes.take(at[:live] + t, mode="clip"), state[:, :live]
             cell = now + c
-            miss = owner.take(cell) != now
+            miss = owner.take(cell, mode="clip") != now
             begun[:, :live] += miss
-            state[:, :live] = np.where(miss, restart[:, c], target.take(cell))
+            after = target.take(cell, mode="clip")
+            np.copyto(after, restart.take(c, axis=1, mode="clip"), where=miss)
+            state[:, :live] = after
         return np.array([np.bincount(seg_doc, e, minlength=m) for e in begun])
 
 
