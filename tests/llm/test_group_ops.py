@@ -186,7 +186,7 @@ def borderline(dim, n, least=0.95, seed=8):
     return a, least * a + (1 - least**2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
 
 
-@pytest.mark.parametrize("dim,n", [(2, 1000), (8, 1000), (16, 50_000), (64, 500), (64, 8000), (64, 130_000), (64, 2_000_000)])
+@pytest.mark.parametrize("dim,n", [(2, 1000), (8, 1000), (16, 50_000), (64, 500), (64, 8000), (64, 130_000), (64, 2_000_000), (64, 10**7), (64, 10**9), (300, 10**6)])
 def test_filters_meet_at_the_bound_at_every_size(dim, n):
     width, codes = embed.plan(dim, n, 32, 0.95)
     x, y = (embed.decode(v, width, 32, codes) for v in borderline(dim, 400))
