@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
+from ..session import ship_package
+
 
 class MetricRows:
     """(metric, number) of each name:number in a line whose name begins with the prefix."""
@@ -22,4 +24,5 @@ class MetricRows:
 
 def register_tables(spark: SparkSession) -> None:
     """Makes ``metric_rows(line, prefix)`` a table function of the session's SQL."""
+    ship_package(spark)
     spark.udtf.register("metric_rows", udtf(MetricRows, returnType="metric string, number double"))
