@@ -1,10 +1,12 @@
 """The catalogue, contracts and the resolution of schedules."""
 
+import inspect
 import json
+import keyword
 import string
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from sluice.plans.config import ACTS, GROUP_ESTIMATORS, METHODS, PRESETS, Part, Plan, check_estimator, plain, preset, read_presets
@@ -17,11 +19,16 @@ layer = st.dictionaries(word, st.integers(), max_size=6)
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(layer, max_size=4), st.sets(word, max_size=5))
+@example([{"if": 1, "a": 2}], {"if", "a"})
 def test_first_layer_decides_and_only_known_options_pass(layers, takes):
     def factory(**kw):
         return kw
 
-    closed = eval(f"lambda {', '.join(f'{t}=None' for t in sorted(takes))}: dict({', '.join(f'{t}={t}' for t in sorted(takes))})")  # noqa: S307
+    def closed(**kw):
+        return dict.fromkeys(takes) | kw
+
+    closed.__signature__ = inspect.Signature([inspect.Parameter(t, inspect.Parameter.KEYWORD_ONLY, default=None) for t in sorted(takes - set(keyword.kwlist))])
+    takes = takes - set(keyword.kwlist)
     want = {}
     for one in reversed(layers):
         want |= one
