@@ -75,6 +75,14 @@ def _op10(spark, d):
     return op10(_t(spark, d, "documents"))
 
 
+def _op11(spark, d):
+    import public_tokenizers
+
+    from .token_files import op11
+
+    return op11(_t(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": _op1,
@@ -87,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash": _op8,
         "op9_embeddings": _op9,
         "op10_langid": _op10,
+        "op11_token_files": _op11,
     }
 
 
