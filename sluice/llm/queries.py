@@ -83,6 +83,12 @@ def _op11(spark, d):
     return op11(_t(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _op13(spark, d):
+    from .whiten import op13
+
+    return op13(_t(spark, d, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": _op1,
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embeddings": _op9,
         "op10_langid": _op10,
         "op11_token_files": _op11,
+        "op13_whitening": _op13,
     }
 
 
