@@ -83,6 +83,14 @@ def _op11(spark, d):
     return op11(_t(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def _op12(spark, d):
+    import public_tokenizers as t
+
+    from .align import op12
+
+    return op12(_t(spark, d, "documents"), t.path("byte_bpe_50k.json"), t.path("piece_bpe_32k.model"))
+
+
 def _op13(spark, d):
     from .whiten import op13
 
@@ -102,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_embeddings": _op9,
         "op10_langid": _op10,
         "op11_token_files": _op11,
+        "op12_alignment": _op12,
         "op13_whitening": _op13,
     }
 
