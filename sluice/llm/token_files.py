@@ -196,7 +196,10 @@ def write(docs: DataFrame, tokenizer: str, root: str, *, text: str = "text", key
 
     with Scratch(spark) as scratch:
         coded = map_columns(docs, [key, text], encode, f"key {kind}, ids binary")
-        coded = scratch.keep(coded.withColumn("row", F.monotonically_increasing_id()))
+        coded = coded.withColumn("row", F.monotonically_increasing_id())
+        kept = scratch.place()
+        coded.write.option("compression", "zstd").parquet(kept)  # it lies beside the shuffle and the files for a while
+        coded = spark.read.schema(coded.schema).parquet(kept)
         total = coded.agg(F.sum(F.octet_length("ids")).alias("n")).first().n or 0
         n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard))
         by = ["key", "row"]
