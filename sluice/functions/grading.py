@@ -14,6 +14,7 @@ MCQ_MARKERS = ("final answer", "answer is:", "answer:", "the answer is", "correc
 KK_SOURCES = ("kk_logic", "knights-and-knaves", "logic", "kk_logic_hard")
 MCQ4_SOURCES = ("sciq", "science", "gpqa", "gpqa_diamond", "gpqa_main")
 MCQ10_SOURCES = ("bbh_logical_deduction", "bbh_tracking", "zebra_logic_mc")
+# Fixed value: how a role is said.
 ROLE = r"(?i)\b([A-Z][a-zA-Z]+)\b\s+is\s+a\s+(knight|knave)"
 
 
@@ -72,26 +73,30 @@ def boxed(text: Column) -> Column:
     return let(F.trim(F.coalesce(F.nullif(box, F.lit("")), after)), lambda x: F.nullif(x, F.lit("")))
 
 
+def _clean(x: Column) -> Column:
+    """Without blanks, dollar signs, thousands commas and a final period."""
+    return F.regexp_replace(F.regexp_replace(F.lower(x), r"[\s$]|(?<=\d),(?=\d{3})", ""), r"\.$", "")
+
+
 def grade_math(solution: Column, truth: Column) -> Column:
     """1 if the final answers agree as numbers, or as text without blanks, dollar signs, thousands commas and a final period."""
-    clean = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"[\s$]|(?<=\d),(?=\d{3})", ""), r"\.$", "")
 
     def judge(x: Column) -> Column:
         same = (x["got"] == x["want"]) | (F.abs(x["got"].try_cast("double") - x["want"].try_cast("double")) < 1e-9)
         return F.when(F.coalesce(same, F.lit(False)) & (x["want"] != ""), 1.0).otherwise(0.0)
 
     said = let(F.coalesce(solution, F.lit("")), boxed)
-    return let(F.struct(clean(said).alias("got"), clean(F.coalesce(truth, F.lit(""))).alias("want")), judge)
+    return let(F.struct(_clean(said).alias("got"), _clean(F.coalesce(truth, F.lit(""))).alias("want")), judge)
 
 
-def compute_score(source: Column, solution: Column, truth: Column) -> Column:
-    """struct(score, acc, pred) by data source."""
+def compute_score(source: Column, solution: Column, truth: Column, math: Callable[[Column, Column], Column] = grade_math) -> Column:
+    """struct(score, acc, pred) by data source; ``math`` grades what no other grader takes (``symbolic.grade_symbolic`` reads formulas too)."""
     ten = "ABCDEFGHIJ"
     score = (
         F.when(source.isin(*KK_SOURCES), grade_kk(solution, truth))
         .when(source.isin(*MCQ4_SOURCES), grade_mcq(solution, truth))
         .when(source.startswith("mmlu_pro") | source.isin(*MCQ10_SOURCES), grade_mcq(solution, truth, ten))
-        .otherwise(grade_math(solution, truth))
+        .otherwise(math(solution, truth))
     )
     return let(score, lambda x: F.struct(x.alias("score"), (x >= 1.0).alias("acc"), F.lit("").alias("pred")))
 
