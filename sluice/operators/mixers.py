@@ -6,6 +6,7 @@ hold a handful of rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..plans.contracts import Mixer
 from ..scratch import Scratch, final
-from .ranges import beside, in_ranges
+from .ranges import beside, in_ranges, ranked
 
 
 def domain_windows(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step", "row_id"), window: int = 50) -> DataFrame:
@@ -195,13 +196,44 @@ class FunctionMixer(_Mixer):
 
 
 def ewma(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step",), beta: float = 0.9) -> DataFrame:
-    """(domain, ewma) with s = beta * s + (1 - beta) * value from 0, one value a domain and step.
+    """(domain, ewma) with s = beta * s + (1 - beta) * value from 0 over all observations of a domain; null values count as 0.
 
-    A closed form over ranks, so that values combine before they shuffle: weights beta ** (n - i).
+    Ranks come from ranges of the narrow sorted rows, and the weights beta ** (n - rank) add up in each task before anything
+    is shuffled. Runs jobs.
     """
-    w = Window.partitionBy(domain).orderBy(*order)
-    ranked = obs.withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(Window.partitionBy(domain)))
-    return ranked.groupBy(domain).agg(F.sum((1 - beta) * F.pow(F.lit(beta), F.col("_n") - F.col("_i")) * F.col(value)).alias("ewma"))
+    with Scratch(obs.sparkSession) as scratch:
+        rows, ranges = in_ranges(obs.select(domain, *order, F.col(value).alias("_v")), [domain], list(order), scratch)
+        size = ranges.groupBy(domain).agg(F.sum("_n").alias("_size"))
+        at = beside(ranked(rows, ranges, [domain]), size, [domain])
+        weight = F.pow(F.lit(float(beta)), F.col("_size") - F.col("_rank"))
+        return final(at.groupBy(domain).agg(F.sum((1 - beta) * weight * F.coalesce("_v", F.lit(0.0))).alias("ewma")))
+
+
+def ewma_path(obs: DataFrame, *, domain: str = "domain", value: str = "value", order: tuple[str, ...] = ("step",), beta: float = 0.9) -> DataFrame:
+    """``obs`` with ``ewma`` after each observation: s = beta * s + (1 - beta) * value from 0; null values count as 0.
+
+    A segmented scan of affine maps. Observations of a domain are cut by rank into blocks so short that beta ** -block stays
+    a plain number; within a block a window of powers gives s from 0, and a block hands on the map s -> beta ** block * s + its own
+    sum. Its image reaches the next few blocks alone, beyond which beta's power is 0 in double precision, so carries are an
+    aggregate by (domain, block), and no domain is ordered in one task. Runs jobs.
+    """
+    if not 0 <= beta < 1:
+        raise ValueError("beta must be at least 0 and below 1")
+    block = max(1, min(4096, int(12 / -math.log10(beta)))) if beta > 0 else 1
+    reach = max(1, math.ceil(330 / (block * -math.log10(beta)))) if beta > 0 else 1
+    b = F.lit(float(beta))
+    with Scratch(obs.sparkSession) as scratch:
+        rows, ranges = in_ranges(obs, [domain], list(order), scratch)
+        rows = ranked(rows, ranges, [domain]).withColumns({"_block": F.floor((F.col("_rank") - 1) / block), "_at": (F.col("_rank") - 1) % block})
+        here = Window.partitionBy(domain, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+        share = (1 - beta) * F.coalesce(F.col(value).cast("double"), F.lit(0.0))
+        own = F.sum(share / F.pow(b, "_at")).over(here) * F.pow(b, "_at") if beta > 0 else share
+        rows = scratch.keep(rows.withColumn("_own", own))
+        sums = rows.groupBy(domain, "_block").agg(F.max_by("_own", "_at").alias("_sum"))
+        sent = sums.withColumn("_later", F.explode(F.sequence(F.lit(1), F.lit(reach)))).withColumn("_sum", F.col("_sum") * F.pow(b, (F.col("_later") - 1) * block))
+        carry = sent.groupBy(domain, (F.col("_block") + F.col("_later")).alias("_block")).agg(F.sum("_sum").alias("_carry"))
+        out = beside(rows, carry, [domain, "_block"], "left").withColumn("ewma", F.col("_own") + F.pow(b, F.col("_at") + 1) * F.coalesce("_carry", F.lit(0.0)))
+        return final(out.select(*obs.columns, "ewma"))
 
 
 def group_variance(batch: DataFrame, *, domain: str = "domain", group: str = "uid", score: str = "score") -> DataFrame:

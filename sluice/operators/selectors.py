@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions.arrays import array_total
 from ..plans.contracts import Selector
 from ..scratch import Scratch, final
-from .ranges import beside, in_ranges, ranked
+from .ranges import beside, between, in_ranges, ranked, running
 
 
 def _half_even(x: Column) -> Column:
@@ -56,16 +56,17 @@ class TopkFraction(Selector, name="topk_fraction"):
             rows, ranges = in_ranges(df.select(F.col(self.step).alias("_at"), key.alias("_key")), ["_at"], ["_key"], scratch)
             size = ranges.groupBy("_at").agg(_half_even(F.sum("_n") * self.fraction).alias("_want"))
             at = beside(ranked(rows, ranges, ["_at"]), size, ["_at"])
-            last = scratch.keep(at.where("_rank = _want").select("_at", F.col("_key").alias("_last"), "_want"))
-            close = beside(rows, last, ["_at"]).where("_key <= _last").groupBy("_at").agg(F.count_if(F.col("_key") < F.col("_last")).alias("_less"), F.count("*").alias("_upto"))
-            last = final(beside(last, close, ["_at"]).select("_at", "_last", (F.col("_want") - F.col("_less")).alias("_room"), (F.col("_upto") - F.col("_want")).alias("_over")))
-        got = beside(df.withColumns({"_at": F.col(self.step), "_key": key}), last, ["_at"])
-        if last.where("_over > 0").isEmpty():
-            return got.withColumn("kept", F.col("_key") <= F.col("_last")).select(*df.columns, "kept")
-        # rows that agree with the last one in all tie columns are as good as each other
-        even = got.where("_key = _last").withColumn("kept", F.row_number().over(Window.partitionBy("_at").orderBy("_key")) <= F.col("_room"))
-        rest = got.where("_key <> _last").withColumn("kept", F.col("_key") < F.col("_last"))
-        return rest.select(*df.columns, "kept").unionByName(even.select(*df.columns, "kept"))
+            last = scratch.keep(at.where("_rank = _want").select(F.col("_at"), F.col("_key").alias("_low"), "_want"))
+            ends = final(_one_end(rows, last, ["_at"]))
+        return between(df, [self.step], key, ends.withColumnRenamed("_at", self.step))
+
+
+def _one_end(rows: DataFrame, last: DataFrame, keys: list[str]) -> DataFrame:
+    """Ends for ``between`` from each key's last row (``_low``) and how many it takes (``_want``)."""
+    met = beside(rows, last, keys).where("_key <= _low").groupBy(*keys).agg(F.count_if(F.col("_key") < F.col("_low")).alias("_less"), F.count("*").alias("_upto"))
+    out = beside(last, met, keys).withColumns({"_low_room": F.col("_want") - F.col("_less"), "_low_count": F.col("_upto") - F.col("_less")})
+    none = F.lit(0).cast("long")
+    return out.select(*keys, "_low", "_low_room", "_low_count", F.when(F.lit(False), F.col("_low")).alias("_high"), none.alias("_high_room"), none.alias("_high_count"))
 
 
 class Gfpo(_Grouped, name="gfpo"):
@@ -78,9 +79,18 @@ class Gfpo(_Grouped, name="gfpo"):
         self.k, self.metric = k, metric
 
     def select(self, df: DataFrame) -> DataFrame:
+        """The k best keys of each prompt come from (prompt, key) alone, cut to k a prompt in every task before they meet, so that
+        a prompt of any size is no hot group; whole rows are compared with the last of them. Runs jobs."""
         size = F.greatest(array_total(F.col("response_mask")), F.lit(1.0))
-        key = -size if self.metric == "short" else F.col("score") / size
-        return df.withColumn("kept", F.row_number().over(Window.partitionBy(*self.keys(df)).orderBy(key.desc_nulls_last(), *self.tie)) <= self.k)
+        worth = -size if self.metric == "short" else F.col("score") / size
+        key = F.struct(worth.isNull().alias("n"), (-worth).alias("w"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(self.tie)])
+        keys = self.keys(df)
+        with Scratch(df.sparkSession) as scratch:
+            rows = scratch.keep(df.select(*keys, key.alias("_key")))
+            best = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))).where(F.col("_rank") <= self.k)
+            last = scratch.keep(best.groupBy(*keys).agg(F.max("_key").alias("_low"), F.count("*").alias("_want")))
+            ends = final(_one_end(rows, last, keys))
+        return between(df, keys, key, ends)
 
 
 class MaxVariance(_Grouped, name="max_variance"):
@@ -88,8 +98,9 @@ class MaxVariance(_Grouped, name="max_variance"):
 
     The best subset takes some lowest and some highest rows, so n + 1 splits suffice. Prefix sums give each split's
     variance from two rows of the ranked group; each row is sent to the splits that it bounds, two at most, so work is
-    linear in the group, and all windows share one shuffle by prompt. Of equal variances the split with fewest low rows
-    wins.
+    linear in the group. Ranks and sums run over ranges of the narrow sorted rows, with carries from range to range, so that a
+    group of any size is many tasks; whole rows are only compared with the ends of the best split. Of equal
+    variances the split with fewest low rows wins. Runs jobs.
     """
 
     def __init__(self, keep_fraction: float = 0.5, **kw):
@@ -99,24 +110,37 @@ class MaxVariance(_Grouped, name="max_variance"):
         self.keep_fraction = keep_fraction
 
     def select(self, df: DataFrame) -> DataFrame:
-        keys = self.keys(df)
-        by = Window.partitionBy(*keys)
-        order = by.orderBy(F.col("score").asc_nulls_first(), *self.tie)
-        upto = order.rowsBetween(Window.unboundedPreceding, 0)
-        r = df.withColumns({"_rk": F.row_number().over(order), "_s1": F.sum("score").over(upto), "_s2": F.sum(F.col("score") * F.col("score")).over(upto)})
-        r = r.withColumns({"_g": F.count("*").over(by), "_t1": F.sum("score").over(by), "_t2": F.sum(F.col("score") * F.col("score")).over(by)})
-        r = r.withColumn("_n", _half_even(F.col("_g") * self.keep_fraction))
-        # a split takes the _a lowest rows (the prefix up to rank _a) and the highest (what follows rank _g - _n + _a)
-        ends = F.array(F.struct(F.lit(False).alias("high"), F.col("_rk").cast("long").alias("a")), F.struct(F.lit(True).alias("high"), (F.col("_rk") - F.col("_g") + F.col("_n")).alias("a")))
-        r = r.withColumn("_e", F.explode(ends)).withColumns({"_a": F.col("_e.a"), "_high": F.col("_e.high")}).where("not _high or (_n < _g and _a >= 0)")
-        split = Window.partitionBy(*keys, "_a")
-        s1 = F.sum(F.when(F.col("_high"), F.col("_t1") - F.col("_s1")).otherwise(F.col("_s1"))).over(split)
-        s2 = F.sum(F.when(F.col("_high"), F.col("_t2") - F.col("_s2")).otherwise(F.col("_s2"))).over(split)
-        r = r.withColumn("_v", F.round(s2 / F.col("_n") - F.pow(s1 / F.col("_n"), 2), 9)).withColumn("_real", F.max("_high").over(split))
-        best = F.min(F.when(F.col("_real"), F.struct((-F.col("_v")).alias("v"), F.col("_a").alias("a")))).over(by)["a"]
-        r = r.withColumn("_best", best).where("not _high")
-        kept = (F.col("_n") >= F.col("_g")) | (F.col("_rk") <= F.col("_best")) | (F.col("_rk") > F.col("_g") - F.col("_n") + F.col("_best"))
-        return r.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*df.columns, "kept")
+        keys, x = self.keys(df), F.col("_x")
+        score = F.col("score").cast("double")
+        key = F.struct(score.isNotNull().alias("n"), score.alias("s"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(self.tie)])
+        with Scratch(df.sparkSession) as scratch:
+            rows, ranges = in_ranges(df.select(*keys, key.alias("_key"), score.alias("_x")), keys, ["_key"], scratch)
+            r = scratch.keep(running(rows, ranges, keys, {"_s1": F.coalesce(x, F.lit(0.0)), "_s2": F.coalesce(x * x, F.lit(0.0))}, scratch))
+            group = r.groupBy(*keys).agg(F.count("*").alias("_g"), F.max_by(F.struct("_s1", "_s2"), "_rank").alias("_t"))
+            group = scratch.keep(group.withColumn("_n", _half_even(F.col("_g") * self.keep_fraction)))
+            # a split takes the _a lowest rows (the prefix up to rank _a) and the highest (what follows rank _g - _n + _a)
+            r = beside(r, group, keys)
+            ends = F.array(F.struct(F.lit(False).alias("high"), F.col("_rank").alias("a")), F.struct(F.lit(True).alias("high"), (F.col("_rank") - F.col("_g") + F.col("_n")).alias("a")))
+            e = r.where("_n < _g").withColumn("_e", F.explode(ends)).withColumns({"_a": F.col("_e.a"), "_high": F.col("_e.high")}).where("_a between 0 and _n")
+            part = lambda i: F.sum(F.when(F.col("_high"), F.col(f"_t._s{i}") - F.col(f"_s{i}")).otherwise(F.col(f"_s{i}")))
+            v = e.groupBy(*keys, "_a", "_n").agg(part(1).alias("_p1"), part(2).alias("_p2"), F.max("_high").alias("_real")).where("_real")
+            v = v.withColumn("_v", F.round(F.col("_p2") / F.col("_n") - F.pow(F.col("_p1") / F.col("_n"), 2), 9))
+            best = scratch.keep(v.groupBy(*keys).agg(F.min(F.struct((-F.col("_v")).alias("v"), F.col("_a").alias("a")))["a"].alias("_best")))
+            best = beside(group.select(*keys, "_g", "_n"), best, keys, "left").withColumn("_best", F.coalesce("_best", "_g"))  # a group that stays whole
+            upper = F.col("_g") - F.col("_n") + F.col("_best") + 1
+            at = beside(r.select(*keys, "_rank", "_key"), best, keys).groupBy(*keys, "_g", "_n", "_best")
+            at = scratch.keep(at.agg(F.max(F.when(F.col("_rank") == F.col("_best"), F.col("_key"))).alias("_low"), F.max(F.when((F.col("_rank") == upper) & (F.col("_n") < F.col("_g")), F.col("_key"))).alias("_high")))
+            count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+            met = beside(r.select(*keys, "_rank", "_key"), at, keys).groupBy(*keys).agg(
+                count(F.col("_key") < F.col("_low")).alias("_less"),
+                count(F.col("_key") == F.col("_low")).alias("_low_count"),
+                count(F.col("_key") <= F.col("_high")).alias("_upto"),
+                count(F.col("_key") == F.col("_high")).alias("_high_count"),
+            )
+            out = beside(at, met, keys)
+            low, high = F.when(F.col("_low").isNotNull(), F.col("_best") - F.col("_less")).otherwise(0), F.when(F.col("_high").isNotNull(), F.col("_upto") - upper + 1).otherwise(0)
+            out = final(out.select(*keys, "_low", low.alias("_low_room"), "_low_count", "_high", high.alias("_high_room"), "_high_count"))
+        return between(df, keys, key, out)
 
 
 class MaxMin(_Grouped, name="max_min"):
