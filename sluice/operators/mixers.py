@@ -157,6 +157,44 @@ class Exp3(_Mixer, name="exp3"):
         now = self.all_domains(stats, log_weight=0.0).join(self.mix(stats).select("domain", "p"), "domain").join(rewards.select("domain", "reward"), "domain", "left")
         return now.select("domain", (F.col("log_weight") + F.coalesce(self.gamma * F.col("reward") / (len(self.domains) * F.col("p")), F.lit(0.0))).alias("log_weight"))
 
+    def over_steps(self, rewards: DataFrame, *, step: str = "step") -> DataFrame:
+        """(step, domain_ord, domain, p, log_weight): proportions in force at each step and the weights that they come from, from equal ones on.
+
+        ``rewards``: (step, domain, reward), rewards scaled to 0..1; several of a domain in a step count as their mean, and a domain without one keeps its weight.
+        Each step's weights follow from the last step's proportions, so this is a recursive query over one row a step,
+        which holds a number a domain. It runs a small job a step.
+        """
+        spark, k = rewards.sparkSession, len(self.domains)
+        names = F.array(*[F.lit(d) for d in self.domains])
+        each = rewards.where(F.col(step).isNotNull() & F.col("domain").isin(*self.domains)).groupBy(step, "domain").agg(F.avg("reward").alias("x"))
+        table = each.groupBy(step).agg(F.map_from_entries(F.collect_list(F.struct("domain", "x"))).alias("m"))  # at most a row a domain
+        table = table.select(F.col(step).alias("at"), F.transform(names, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("x"))
+        table = table.withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")))  # a row a step
+        with Scratch(spark) as scratch:
+            table = scratch.keep(table)
+            limits = {"spark.sql.cteRecursionLevelLimit": table.count() + 2, "spark.sql.cteRecursionRowLimit": -1}
+            old = {c: spark.conf.get(c, None) for c in limits}
+            try:
+                for c, v in limits.items():
+                    spark.conf.set(c, v)
+                got = spark.sql(
+                    f"""WITH RECURSIVE w(i, lw) AS (
+                      SELECT 1, array_repeat(0.0D, {k})
+                      UNION ALL
+                      SELECT i + 1, zip_with(zip_with(lw, x, (l, y) -> struct(l, y)), p, (a, q) -> a.l + {self.gamma}D * a.y / ({k} * q))
+                      FROM (SELECT i, lw, x, transform(e, v -> {1 - self.gamma}D * v / aggregate(e, 0.0D, (s, u) -> s + u) + {self.gamma / k}D) AS p
+                            FROM (SELECT w.i, w.lw, t.x, transform(w.lw, l -> exp(l - array_max(w.lw))) AS e FROM w JOIN {{table}} t ON t.i = w.i)))
+                    SELECT t.at, w.lw, transform(w.lw, l -> exp(l - array_max(w.lw))) AS e FROM w JOIN {{table}} t ON t.i = w.i""",
+                    table=table,
+                )
+                got = got.select("at", F.posexplode("lw").alias("domain_ord", "log_weight"), "e")
+                total = F.aggregate("e", F.lit(0.0), lambda s, v: s + v)
+                p = (1 - self.gamma) * F.get("e", F.col("domain_ord")) / total + self.gamma / k
+                return final(got.select(F.col("at").alias(step), "domain_ord", F.get(names, F.col("domain_ord")).alias("domain"), p.alias("p"), "log_weight"))
+            finally:
+                for c, v in old.items():
+                    spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
 
 class ReplayPriority(_Mixer, name="replay_priority"):
     """(1 - rho) * rank ** (-1 / beta) + rho * staleness, each as a share; ranks by ``mean``, staleness since ``last_step``."""
@@ -241,6 +279,29 @@ def group_variance(batch: DataFrame, *, domain: str = "domain", group: str = "ui
     return batch.groupBy(domain, group).agg(F.var_pop(score).alias("_v")).groupBy(domain).agg(F.avg("_v").alias("mean_variance"))
 
 
+def asof_join(events: DataFrame, updates: DataFrame, keys: list[str], values: list[str], *, time: str = "ts") -> DataFrame:
+    """``events`` with ``values`` of the latest update of their key at or before their time; nulls where there is none.
+
+    Events and updates are sorted together in ranges, and a range starts with the last update of the key's earlier ranges, so
+    that a key of any size is many tasks and nothing is paired. Of updates of one key and time the one with the greatest values counts.
+    Null keys meet; events without a time get none. Runs jobs.
+    """
+    spark = events.sparkSession
+    at = lambda df, kind, u, row: df.select(*keys, time, F.lit(kind).alias("_kind"), u.alias("_u"), row.alias("_row"))
+    one = at(updates.where(F.col(time).isNotNull()), 0, F.struct(*values), F.lit(None))
+    two = at(events, 1, F.lit(None), F.struct(*events.columns))
+    with Scratch(spark) as scratch:
+        rows, _ = in_ranges(one.unionByName(two), keys, [time, "_kind", "_u"], scratch)
+        last = rows.where("_kind = 0").groupBy(*keys, "_part").agg(F.max_by("_u", "_i").alias("_latest"))
+        parts = rows.select(*keys, "_part").distinct()
+        upto = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        carry = scratch.keep(beside(parts, last, [*keys, "_part"], "left").select(*keys, "_part", F.last("_latest", ignorenulls=True).over(upto).alias("_carry")))
+        here = F.last("_u", ignorenulls=True).over(Window.partitionBy(*keys, "_part").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+        out = beside(rows.withColumn("_here", here).where("_kind = 1"), carry, [*keys, "_part"])
+        got = F.coalesce("_here", "_carry")
+        return final(out.select("_row.*", *[got[v].alias(v) for v in values]))
+
+
 def carry_forward(steps: DataFrame, updates: DataFrame, domains: list[str], *, step: str = "step") -> DataFrame:
     """(step, domain_ord, domain, p): for each step the latest proportions published at or before it, uniform before the first."""
     grid = steps.select(step).distinct().crossJoin(domain_table(steps.sparkSession, domains))

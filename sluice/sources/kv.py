@@ -36,3 +36,9 @@ def put(df: DataFrame, path: str, key: str, version: int) -> None:
     for old in [v for v in versions(spark, path) if v < version][:-1]:
         fs, at = hadoop_path(spark, f"{path}/{old}")
         fs.delete(at, True)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Drops the table with all its snapshots."""
+    fs, at = hadoop_path(spark, path)
+    fs.delete(at, True)

@@ -1,5 +1,6 @@
 """Groups of any size: ranks, prefix sums and carries over ranges against plain loops."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from sluice.operators import mixers, selectors
 from sluice.operators.ranges import in_ranges
 from sluice.scratch import Scratch
+from sluice.streaming.mix_loop import start_mix_loop
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +121,55 @@ def test_no_window_by_domain_alone(wide, capsys):
     for f in (mixers.ewma, mixers.ewma_path):
         f(df).explain()
         assert "Window" not in capsys.readouterr().out  # what is left is a checkpoint
+
+
+def test_asof_join(wide):
+    r = random.Random(9)
+    keys = ["a"] * 8 + ["b", None, "only events"]
+    events = [(i, r.choice(keys), r.choice([None, *range(200)]), "e") for i in range(1500)]
+    updates = [(r.choice(["a"] * 8 + ["b", None, "only updates"]), r.choice([None, *range(200)]), r.random()) for _ in range(150)]
+    want = {}
+    for i, k, t, _ in events:
+        known = [(u[1], u[2]) for u in updates if u[0] == k and u[1] is not None and t is not None and u[1] <= t]
+        want[i] = max(known)[1] if known else None
+    e = wide.createDataFrame(events, "id int, k string, ts int, _u string").withColumnRenamed("_u", "other")
+    got = mixers.asof_join(e, wide.createDataFrame(updates, "k string, ts int, p double"), ["k"], ["p"])
+    assert got.columns == ["id", "k", "ts", "other", "p"]
+    rows = got.collect()
+    assert len(rows) == 1500 and {x.id: x.p for x in rows} == want
+    none = wide.createDataFrame([], "k string, ts int, p double")
+    assert mixers.asof_join(e, none, ["k"], ["p"]).where("p is null").count() == 1500
+
+
+def test_exp3_over_steps_equals_its_steps(wide):
+    r = random.Random(2)
+    domains, gamma = ["a", "b", "c"], 0.3
+    rewards = [(s * 2, d, r.random()) for s in range(130) for d in "abc" if r.random() < 0.7] + [(5, "unlisted", 1.0), (None, "a", 1.0)]
+    before = wide.conf.get("spark.sql.cteRecursionLevelLimit")
+    got = {(x.step, x.domain): (x.p, x.log_weight) for x in mixers.Exp3(domains, gamma).over_steps(wide.createDataFrame(rewards, "step int, domain string, reward double")).collect()}
+    assert wide.conf.get("spark.sql.cteRecursionLevelLimit") == before
+    lw = dict.fromkeys(domains, 0.0)
+    for s in sorted({x[0] for x in rewards if x[0] is not None and x[1] in domains}):
+        e = {d: math.exp(lw[d] - max(lw.values())) for d in domains}
+        p = {d: (1 - gamma) * e[d] / sum(e.values()) + gamma / 3 for d in domains}
+        for d in domains:
+            assert got[s, d] == pytest.approx((p[d], lw[d]))
+        for t, d, x in rewards:
+            if t == s and d in lw:
+                lw[d] += gamma * x / (3 * p[d])
+    assert len(got) == 3 * len({x[0] for x in rewards if x[0] is not None and x[1] in domains})
+
+
+def test_live_loop_publishes_every_refresh_step(wide, tmp_path):
+    r, schema = random.Random(4), "step long, row_id long, domain string, value double"
+    rows = [(s, i, d, r.random()) for s in range(12) for i in range(15) for d in "ab" if d == "a" or s < 3]
+    got = {}
+    for steps in ((0, 5), (5, 12)):
+        wide.createDataFrame([x for x in rows if steps[0] <= x[0] < steps[1]], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = wide.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        start_mix_loop(stream, mixers.RewardGap(["a", "b"]), lambda p, step: got.update({step: {x.domain: x.p for x in p.collect()}}), str(tmp_path / "c"), window=40, update_step=3, availableNow=True).awaitTermination()
+    assert sorted(got) == [0, 3, 6, 9]
+    for step in got:
+        seen = wide.createDataFrame([x for x in rows if x[0] <= step], schema)
+        want = {x.domain: x.p for x in mixers.RewardGap(["a", "b"]).mix(mixers.latest(mixers.domain_windows(seen, window=40))).collect()}
+        assert got[step] == pytest.approx(want)
