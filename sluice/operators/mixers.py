@@ -274,6 +274,12 @@ def ewma_path(obs: DataFrame, *, domain: str = "domain", value: str = "value", o
         return final(out.select(*obs.columns, "ewma"))
 
 
+def refresh_metrics(proportions: DataFrame, stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, metric, value) of a refresh: prop_<domain> of every configured domain, and reward_<domain>, its mean, of those that have been seen."""
+    name = lambda kind: F.concat(F.lit(kind), F.col("domain"))
+    return proportions.select(*by, name("prop_").alias("metric"), F.col("p").alias("value")).unionByName(stats.where("mean is not null").select(*by, name("reward_").alias("metric"), F.col("mean").alias("value")))
+
+
 def group_variance(batch: DataFrame, *, domain: str = "domain", group: str = "uid", score: str = "score") -> DataFrame:
     """(domain, mean_variance): the mean over prompts of the population variance of their scores."""
     return batch.groupBy(domain, group).agg(F.var_pop(score).alias("_v")).groupBy(domain).agg(F.avg("_v").alias("mean_variance"))

@@ -36,6 +36,15 @@ def macro_of_means(df: DataFrame, by: list[str], cols: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols]).withColumn("macro", non_null_mean(cols))
 
 
+def levels(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, level, n, mean, low, high) for every prefix of ``by`` at once, from single groups (level 0) to the total: one scan, one shuffle.
+
+    ``level`` says how many of the last columns are summed over, so that a null there is told from a null key.
+    """
+    out = df.rollup(*by).agg(F.grouping_id().alias("_id"), F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return out.select(*by, F.bit_count("_id").alias("level"), "n", "mean", "low", "high")
+
+
 def domain_accuracy(df: DataFrame, by: list[str], domain: str = "domain", acc: str = "acc") -> DataFrame:
     """By group: n, the unweighted mean over domains of their accuracy."""
     each = df.groupBy(*by, domain).agg(F.count("*").alias("_n"), F.avg(acc).alias("_a"))

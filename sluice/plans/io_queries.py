@@ -193,12 +193,39 @@ def _(s, d, at):
     return got.select("scale", "run", "file_benchmark", "n", r6(F.col("acc"), "acc"), F.aggregate("per_row", F.lit(0).cast("long"), lambda a, x: a + x["resp_len"]).alias("chars"))
 
 
-@scratched("io_metric_files", _values([("a", 0.5), ("b", 0.25), ("c", 0.75), ("d", 0.0), ("e", None)], "run, value").replace("SELECT *", "SELECT run, CAST(value AS DOUBLE) AS value"))
+@scratched(
+    "io_metric_files",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS run, CASE s_suppkey % 5 WHEN 3 THEN 0.0::DOUBLE WHEN 4 THEN NULL ELSE s_suppkey / 4.0::DOUBLE END AS value FROM supplier WHERE s_suppkey % 3 = 0",
+)
 def _(s, d, at):
-    said = {"a": '{"acc": 0.5, "score": 9}', "b": '{"overall": {"accuracy": "0.25"}}', "c": '{\n "score": 0.75\n}', "d": '{"overall": {"score": 0}}', "e": "{}"}
-    for n, text in said.items():
-        sinks.write_lines(s.createDataFrame([(text,)], "value string"), f"{at}/{n}.json")
-    return readers.read_metrics(s, f"{at}/*.json").select(F.regexp_extract("path", r"(\w+)\.json$", 1).alias("run"), "value")
+    """A file a supplier, with its metric in one of the accepted places, or without one."""
+    form, x = F.col("s_suppkey") % 5, (F.col("s_suppkey") / 4).cast("string")
+    said = (
+        F.when(form == 0, F.concat(F.lit('{"acc": '), x, F.lit(', "score": 9}')))
+        .when(form == 1, F.concat(F.lit('{"overall": {"accuracy": "'), x, F.lit('"}}')))
+        .when(form == 2, F.concat(F.lit('{ "score": '), x, F.lit("}")))
+        .when(form == 3, F.lit('{"overall": {"score": 0}}'))
+        .otherwise(F.lit("{}"))
+    )
+    _t(s, d, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_suppkey").alias("run"), said.alias("value")).write.partitionBy("run").text(at)
+    return readers.read_metrics(s, f"{at}/run=*/*").select(F.regexp_extract("path", r"run=(\w+)/", 1).alias("run"), "value")
+
+
+LEAVES = """SELECT p_partkey, unnest(CASE p_size % 5 WHEN 0 THEN [{'metric': 'acc', 'value': p_size * 1.0::DOUBLE}, {'metric': 'overall.score', 'value': 0.0::DOUBLE}]
+   WHEN 1 THEN [{'metric': 'overall.by domain.' || p_brand, 'value': p_size / 2.0::DOUBLE}] WHEN 2 THEN [{'metric': 'acc', 'value': p_size / 4.0::DOUBLE}] ELSE [] END, recursive := true) FROM part"""
+
+
+@query("io_metric_leaves", LEAVES)
+def _(s, d):
+    """Metrics of JSON whose keys nobody lists: numbers and numbers as text at any depth, null and other values none."""
+    n = F.col("p_size")
+    said = (
+        F.when(n % 5 == 0, F.format_string('{"acc": %d, "overall": {"score": 0, "note": "x", "by domain": null}}', n.cast("long")))
+        .when(n % 5 == 1, F.concat(F.lit('{"overall": {"by domain": {"'), F.col("p_brand"), F.lit('": "'), (n / 2).cast("string"), F.lit('"}}, "acc": null}')))
+        .when(n % 5 == 2, F.concat(F.lit('{"acc": '), (n / 4).cast("string"), F.lit(', "list": [1, 2], "flag": true}')))
+        .when(n % 5 == 3, F.lit('{"acc": '))
+    )
+    return readers.metric_leaves(_t(s, d, "part").select("p_partkey", said.alias("said")), "said", ("p_partkey",))
 
 
 @scratched("io_marked_lines", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS number FROM part WHERE p_size % 3 = 0")

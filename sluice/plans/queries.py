@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import grading
 from ..functions.arrays import array_total
@@ -295,10 +296,10 @@ _mix("mix_tscl", lambda: mixers.Tscl(DOMAINS), "abs(slope)")
 _mix("mix_tscl_signed", lambda: mixers.Tscl(DOMAINS, signed=True), "greatest(slope, 0)")
 
 
-@query("mix_static", f"WITH {DOM} SELECT domain_ord, domain, round(CASE domain_ord WHEN 0 THEN 3 ELSE 1 END / 8.0, 6)::DOUBLE AS p FROM d")
+@query("mix_static", f"WITH {OBS}, {DOM}, s AS (SELECT DISTINCT step FROM o) SELECT CAST(step AS BIGINT) AS step, domain_ord, domain, round(CASE domain_ord WHEN 0 THEN 3 ELSE 1 END / 8.0, 6)::DOUBLE AS p FROM s, d")
 def _(s, d):
-    m = mixers.Static(DOMAINS, [3, 1, 1, 1, 1, 1]).mix(bindings.observations(s, d))
-    return m.select(big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
+    m = mixers.Static(DOMAINS, [3, 1, 1, 1, 1, 1], by=("step",)).mix(bindings.observations(s, d))
+    return m.select(big(F.col("step"), "step"), big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
 
 
 @query("mix_exp3", f"WITH {OBS}, {DOM}, m AS (SELECT domain, avg(value) / 100 AS lw FROM o GROUP BY domain), j AS (SELECT d.*, coalesce(lw, 0) AS lw FROM d LEFT JOIN m USING (domain)), e AS (SELECT *, exp(lw - max(lw) OVER ()) AS e FROM j) SELECT domain_ord, domain, round(0.9 * e / sum(e) OVER () + 0.1 / 6, 6) AS p FROM e")
@@ -367,9 +368,20 @@ def _quota(s, d):
     return sampling.quota_sample(sampling.sampleable(bindings.prompt_pool(s, d)), _targets(s), 2003)
 
 
-@query("quota_targets", f"WITH {TARGET} SELECT domain_ord, domain, target FROM t")
-def _(s, d):
-    return _targets(s).select(big(F.col("domain_ord"), "domain_ord"), "domain", "target")
+@query(
+    "quota_targets",
+    """WITH c AS (SELECT o_orderpriority AS domain, count(*) AS n FROM orders GROUP BY 1),
+  p AS (SELECT row_number() OVER (ORDER BY domain) - 1 AS domain_ord, domain, n / sum(n) OVER () AS p FROM c),
+  b AS (SELECT *, CAST(floor(p * 1001) AS BIGINT) AS base, round(p * 1001 - floor(p * 1001), 12) AS frac FROM p),
+  k AS (SELECT *, row_number() OVER (ORDER BY frac DESC, domain_ord) AS rk, 1001 - sum(base) OVER () AS rest FROM b)
+  SELECT domain_ord, domain, CAST(base + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS target FROM k""",
+)
+def _(s, d):
+    """Quotas in proportion to how many prompts each domain has."""
+    n = bindings.prompt_pool(s, d).groupBy("domain").agg(F.count("*").alias("n"))
+    every = Window.partitionBy(F.lit(0))  # a row a domain
+    p = n.select((F.row_number().over(every.orderBy("domain")) - 1).alias("domain_ord"), "domain", (F.col("n") / F.sum("n").over(every)).alias("p"))
+    return sampling.quota_targets(p, 1001).select(big(F.col("domain_ord"), "domain_ord"), "domain", "target")
 
 
 @query("quota_sample", f"WITH {QUOTA} SELECT uid, domain, step, CAST(phase AS BIGINT) AS phase FROM q")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,20 +60,50 @@ class Schedule:
             tok = F.transform(mask, lambda m: F.when(warm, F.col("weight")).otherwise(1.0) * m)
         return out.withColumn("rollout_is_weights", tok)
 
-
-    def write_stream(self, batches: DataFrame, path: str, checkpoint: str, **trigger):
+    def write_stream(self, batches: DataFrame, path: str, checkpoint: str, *, metrics: str | None = None, **trigger):
         """Starts a stream that writes each micro-batch with its weights to ``path``; a step must come within one micro-batch.
 
-        A repeated micro-batch replaces what it wrote before. ``trigger``: as in ``DataStreamWriter.trigger``.
+        A repeated micro-batch replaces what it wrote before. ``metrics``: a folder for a row a micro-batch, as ``observed`` says, gathered while
+        the weights are written. ``trigger``: as in ``DataStreamWriter.trigger``.
         """
 
         def each(batch: DataFrame, number: int) -> None:
-            self.weights(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            out = self.weights(batch)
+            if metrics is None:
+                out.write.mode("overwrite").parquet(f"{path}/batch={number}")
+                return
+            seen = Observation()
+            observed(out, seen).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            got = seen.get
+            row = batch.sparkSession.createDataFrame([tuple(got[c] for c in METRICS)], ", ".join(f"{c} {k}" for c, k in METRICS.items()))
+            row.write.mode("overwrite").json(f"{metrics}/batch={number}")
 
         out = batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
         return (out.trigger(**trigger) if trigger else out).start()
 
 
+#: What ``observed`` gathers.
+METRICS = {"first_step": "long", "last_step": "long", "n": "long", "weight_mean": "double", "weight_std": "double", "kept_frac": "double"}
+
+
+def observed(weighted: DataFrame, observation: Observation | str, step: str = "step") -> DataFrame:
+    """``weighted``, which tells its metrics when it is computed, without a scan of its own: to an Observation, or by name to query listeners.
+
+    Weights of valid tokens count at token level, else those of rows; ``kept_frac`` is null without ``kept``.
+    """
+    if "weight_tok" in weighted.columns:
+        valid = F.filter(F.arrays_zip(F.col("weight_tok").alias("w"), F.col("response_mask").alias("m")), lambda t: t["m"] == 1)
+        total = lambda f: F.aggregate(valid, F.lit(0.0), lambda s, t: s + f(t["w"].cast("double")))
+        k, s1, s2 = F.sum(F.size(valid)), F.sum(total(lambda w: w)), F.sum(total(lambda w: w * w))
+        mean, std = F.try_divide(s1, k), F.when(k > 1, F.sqrt(F.greatest(F.lit(0.0), (s2 - s1 * s1 / k) / (k - 1))))
+    else:
+        mean, std = F.avg("weight"), F.stddev_samp("weight")
+    kept = F.avg(F.col("kept").cast("double")) if "kept" in weighted.columns else F.max(F.lit(None).cast("double"))
+    at = F.col(step).cast("long")
+    made = [F.min(at), F.max(at), F.count(F.lit(1)), mean, std, kept]
+    return weighted.observe(observation, *[x.alias(c) for x, c in zip(made, METRICS)])
+
+
 def weight_metrics(weighted: DataFrame, step: str = "step") -> DataFrame:
     """By step: mean and sample deviation of the weights (of valid tokens at token level), and the kept share."""
     if "weight_tok" in weighted.columns:

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import symbolic
-from ..operators import mixers
-from ..sources import kv
+from ..operators import mixers, reports
 from ..streaming import arrivals, mix_loop, replay
 from . import bindings
 from .io_queries import _in_files, _observed, _stream, scratched
-from .queries import DOMAINS, OBS, POOL, PRIO, PROP, READY, REPLAY, big, query, r6
+from .queries import DOM, DOMAINS, OBS, POOL, PRIO, PROP, R, RATE, READY, REPLAY, RUNS, T, big, query, r6
+from .schedule import METRICS, Schedule
 
 _t = bindings.table
 
@@ -91,8 +91,43 @@ def _(s, d):
     return mixers.asof_join(e.drop("value"), updates, ["event_type"], ["p"]).select("event_id", r6(F.col("p"), "p"))
 
 
+@query(
+    "metrics_refresh",
+    f"""WITH {OBS}, a AS (SELECT step, domain, avg(value) AS mean FROM o GROUP BY ALL), {DOM}, j AS (SELECT t.step, d.*, coalesce(mean, 0) AS mean FROM (SELECT DISTINCT step FROM a) t CROSS JOIN d LEFT JOIN a ON a.step = t.step AND a.domain = d.domain),
+  x AS (SELECT *, max(mean) OVER (PARTITION BY step) - mean AS x FROM j), e AS (SELECT *, exp(x - max(x) OVER (PARTITION BY step)) AS e FROM x),
+  p AS (SELECT *, greatest(e / sum(e) OVER (PARTITION BY step), 0.05) AS p FROM e)
+  SELECT CAST(step AS BIGINT) AS step, 'prop_' || domain AS metric, round(p / sum(p) OVER (PARTITION BY step), 6) AS value FROM p
+  UNION ALL SELECT CAST(step AS BIGINT), 'reward_' || domain, round(mean, 6) FROM a""",
+)
+def _(s, d):
+    stats = bindings.observations(s, d).groupBy("step", "domain").agg(F.avg("value").alias("mean"))
+    out = mixers.refresh_metrics(mixers.RewardGap(DOMAINS, by=("step",)).mix(stats), stats, ("step",))
+    return out.select(big(F.col("step"), "step"), "metric", r6(F.col("value"), "value"))
+
+
+@query(
+    "eval_levels",
+    f"""WITH {RUNS} SELECT scale, method, CAST(seed AS BIGINT) AS seed, CAST(grouping(scale) + grouping(method) + grouping(seed) AS BIGINT) AS level, count(acc) AS n, round(avg(acc), 6) AS mean, round(min(acc), 6) AS low, round(max(acc), 6) AS high
+  FROM runs GROUP BY ROLLUP (scale, method, seed)""",
+)
+def _(s, d):
+    out = reports.levels(bindings.runs(s, d), ["scale", "method", "seed"], "acc")
+    return out.select("scale", "method", big(F.col("seed"), "seed"), big(F.col("level"), "level"), "n", *[r6(F.col(c), c) for c in ("mean", "low", "high")])
+
+
 # ---- streams that wait
 
+
+@scratched("metrics_observed", f"WITH {R}, {RATE}, k AS (SELECT *, CASE WHEN score > 0.2 AND score < 0.8 THEN 1.0 ELSE 0.0 END AS w FROM s) SELECT step, count(*) AS n, round(avg(w), 6) AS weight_mean, round(stddev_samp(w), 6) AS weight_std, round(avg(w), 6) AS kept_frac FROM k GROUP BY step")
+def _(s, d, at):
+    """A step a micro-batch; its metrics are gathered while its weights are written."""
+    b = bindings.rollouts(s, d)
+    b.repartition(16, "step").withColumn("part", F.col("step")).write.partitionBy("part").option("maxRecordsPerFile", 0).parquet(f"{at}/in")
+    rows = s.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    Schedule.named("difffilter", runtime={"tie": T}).write_stream(rows, f"{at}/out", f"{at}/check", metrics=f"{at}/metrics", availableNow=True).awaitTermination()
+    got = s.read.schema(", ".join(f"{c} {k}" for c, k in METRICS.items())).json(f"{at}/metrics")
+    return got.select(F.col("last_step").alias("step"), "n", *[r6(F.col(c), c) for c in ("weight_mean", "weight_std", "kept_frac")])
+
 TARGETS = dict(zip(PRIO, (int(200 * p) for p in PROP)))
 
 

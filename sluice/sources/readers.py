@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE = "struct<role:string,content:string>"
 #: Benchmarks of the run table (fixed values).
@@ -56,6 +57,29 @@ def read_metrics(spark: SparkSession, glob: str) -> DataFrame:
     return raw.select("path", F.coalesce(*[F.get_json_object("value", k).try_cast("double") for k in keys]).alias("value"))
 
 
+def _leaves(kind: T.DataType, path: tuple[str, ...] = ()) -> list[tuple[str, ...]]:
+    """Paths to all that is neither an object nor a list nor true or false."""
+    if isinstance(kind, T.StructType):
+        return [x for f in kind for x in _leaves(f.dataType, (*path, f.name))]
+    return [] if isinstance(kind, (T.ArrayType, T.BooleanType, T.NullType)) or not path else [path]
+
+
+def metric_leaves(rows: DataFrame, column: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(kept columns, metric, value) of every number in JSON texts of unknown keys, at any depth; the metric is its keys joined by dots.
+
+    Numbers as text count, and 0 is a value; null, other text, lists, and texts that aren't JSON give nothing. Where a key holds a
+    number here and an object there both are found. One pass gathers the distinct shapes of the texts, a second reads them: keys are names, so shapes are few.
+    """
+    parsed = rows.select(*keep, F.try_parse_json(column).alias("_json"))
+    shapes = parsed.select(F.schema_of_variant("_json").alias("s")).where(F.startswith("s", F.lit("OBJECT<"))).distinct()
+    found = sorted({p for r in shapes.toLocalIterator() for p in _leaves(T._parse_datatype_string(r.s.replace("OBJECT<", "STRUCT<")))})
+    path = lambda p: "$" + "".join(f"['{k}']" if "'" not in k else f'["{k}"]' for k in p)
+    each = [F.struct(F.lit(".".join(p)).alias("metric"), F.try_variant_get("_json", path(p), "string").try_cast("double").alias("value")) for p in found]
+    if not each:
+        return parsed.select(*keep, F.lit("").alias("metric"), F.lit(0.0).alias("value")).limit(0)
+    return parsed.select(*keep, F.inline(F.array(*each))).where("value is not null")
+
+
 def read_marked_lines(spark: SparkSession, path: str, marker: str) -> DataFrame:
     """(line, value): the last comma-separated cell, as a number, of lines that hold the marker."""
     lines = spark.read.text(path).where(F.col("value").contains(marker))

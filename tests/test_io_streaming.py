@@ -1,10 +1,12 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from sluice.functions.tables import register_tables
 from sluice.operators import datasets, mixers, reports
+from sluice.plans.schedule import observed
 from sluice.sources import kv, readers, sinks
 from sluice.streaming.mix_loop import start_mix_loop, windowed_event_stats
 
@@ -127,3 +129,33 @@ def test_event_windows(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.n for r in spark.sql("select n from w").collect()) == [3, 5]
+
+
+def test_metrics_of_unknown_keys(spark):
+    said = [
+        '{"a": {"b c": 0, "d\'e": "1.5", "x": null, "t": true, "w": "word"}, "n": -2e3}',
+        '{"a": 7, "list": [1], "deep": {"deep": {"deep": 1}}}',
+        "not json", None, "3", "[1]", "{}",
+    ]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(said)], "id int, said string")
+    got = {tuple(r) for r in readers.metric_leaves(df, "said", ("id",)).collect()}
+    assert got == {(0, "a.b c", 0.0), (0, "a.d'e", 1.5), (0, "n", -2000.0), (1, "a", 7.0), (1, "deep.deep.deep", 1.0)}
+    for none in (df.where("id > 1"), df.limit(0)):
+        assert readers.metric_leaves(none, "said", ("id",)).collect() == []
+
+
+def test_levels_tell_a_null_key_from_a_total(spark):
+    df = spark.createDataFrame([("a", None, 1.0), ("a", "x", 3.0), ("b", "x", None)], "k string, m string, v double")
+    got = {(r.k, r.m, r.level): (r.n, r["mean"]) for r in reports.levels(df, ["k", "m"], "v").collect()}
+    assert got == {("a", None, 0): (1, 1.0), ("a", "x", 0): (1, 3.0), ("b", "x", 0): (0, None), ("a", None, 1): (2, 2.0), ("b", None, 1): (0, None), (None, None, 2): (2, 2.0)}
+
+
+def test_metrics_are_gathered_in_the_pass_that_writes(spark, tmp_path):
+    rows = [(1, [1.0, 2.0, 9.0], [1, 1, 0]), (2, [4.0], [1]), (3, [], [])]
+    df = spark.createDataFrame(rows, "step int, weight_tok array<double>, response_mask array<int>")
+    seen = Observation()
+    observed(df, seen).write.parquet(str(tmp_path / "w"))
+    assert seen.get == {"first_step": 1, "last_step": 3, "n": 3, "weight_mean": pytest.approx(7 / 3), "weight_std": pytest.approx(1.5275252), "kept_frac": None}
+    seen = Observation()
+    observed(df.select("step", F.lit(1.0).alias("weight"), (F.col("step") > 2).alias("kept")), seen).count()
+    assert seen.get["kept_frac"] == pytest.approx(1 / 3) and seen.get["weight_std"] == 0
