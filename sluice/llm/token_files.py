@@ -9,7 +9,9 @@ folder valid. A reader maps a shard and sees any document without reading what i
 
 from __future__ import annotations
 
+import bisect
 import functools
+import gc
 import json
 import os
 import re
@@ -36,15 +38,15 @@ from .flat import Folder, qualified
 from .packing import END, byte_alphabet
 
 #: Chunks in one of the two generations of a worker's memo, and characters of texts that are encoded at once.
-MEMO, BATCH = 500_000, 100_000
+MEMO, BATCH = 800_000, 100_000
 #: Chunks with more characters aren't kept, so that the memo's size is bounded in bytes too.
 LONG = 64
 #: Words that the model gets as one text.
 RUN = 500
 #: Printable ASCII characters that are neither letters nor digits.
 MARKS = string.punctuation
-#: Bytes of a shard that the writer aims at, and ids that one task of a reader takes.
-SHARD, READ = 256 << 20, 8 << 20
+#: Documents of a shard that the writer aims at, and ids that one task of a reader takes.
+SHARD, READ = 100_000, 8 << 20
 
 
 class WordIds:
@@ -110,6 +112,15 @@ class WordIds:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``kind``."""
+        collects = gc.isenabled()
+        gc.disable()  # what is made here is free of cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for a, b in chunks_of(texts, BATCH):
             memo = self.memo
@@ -146,12 +157,25 @@ def _tasks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict
     return df.mapInArrow(run, kind)
 
 
+def _place(key: object) -> tuple:
+    """What keys are ordered by: null first."""
+    return (0,) if key is None else (1, key)
+
+
+def _bounds(docs: DataFrame, key: str, n: int) -> list[tuple]:
+    """The first place of each of about ``n`` even ranges of the keys, from the key column alone; a key that fills ranges is there as often."""
+    rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row")).repartitionByRange(n, "key", "row")
+    first = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", "row"))["key"].alias("key"))
+    return [_place(r.key) for r in first.orderBy("part").collect()]
+
+
 def write(docs: DataFrame, tokenizer: str, root: str, *, text: str = "text", key: str = "doc_id", end: int = END, shard: int = SHARD) -> dict:
     """Encodes every whole text, ``end`` behind each, into a new folder ``root``; returns its manifest.
 
-    Documents are in ascending order of ``key``, null keys first, rows of one key in the order in which they were read. A null text is an
-    empty one. Only ids are shuffled, in ranges of (key, row), so that rows of one key are spread as any others. The
-    driver sees one row a shard. A task that runs twice writes its shard anew under the same name.
+    Documents are in ascending order of ``key``, null keys first, rows of one key in no particular order. A null text is an
+    empty one. Ranges of keys, found in a pass over the keys alone, are shards of about ``shard`` documents, as many as the session has
+    shuffle partitions at least; a task encodes its texts and sends ids to their range, and those of a key that fills several ranges to each in
+    turn. The driver sees one row a shard. A task that runs twice writes its shard anew under the same name.
     """
     spark = docs.sparkSession
     at = qualified(spark, root)
@@ -162,8 +186,21 @@ def write(docs: DataFrame, tokenizer: str, root: str, *, text: str = "text", key
     item = 2 if max(size, end + 1) <= 1 << 16 else 4
     last = end.to_bytes(item, "little")
 
-    def encode(keys: list, texts: list) -> dict:
-        return {"key": keys, "ids": [i + last for i in word_ids(tokenizer).encode(texts)]}
+    def make():
+        seen = TaskContext.get().partitionId()
+
+        def encode(keys: list, texts: list) -> dict:
+            nonlocal seen
+            parts = []
+            for p in map(_place, keys):
+                low, high = bisect.bisect_left(bounds, p), bisect.bisect_right(bounds, p)
+                # the ranges that begin with this key, else the one that it lies in
+                low = max(low - 1, 0) if low == high else low
+                parts.append(low + seen % (high - low) if high > low else low)
+                seen += 1
+            return {"key": keys, "ids": [i + last for i in word_ids(tokenizer).encode(texts)], "part": parts}
+
+        return encode
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         first = next(batches, None)
@@ -195,15 +232,10 @@ def write(docs: DataFrame, tokenizer: str, root: str, *, text: str = "text", key
             yield {"shard": b["shard"].to_pylist()}
 
     with Scratch(spark) as scratch:
-        coded = map_columns(docs, [key, text], encode, f"key {kind}, ids binary")
-        coded = coded.withColumn("row", F.monotonically_increasing_id())
-        kept = scratch.place()
-        coded.write.option("compression", "zstd").parquet(kept)  # it lies beside the shuffle and the files for a while
-        coded = spark.read.schema(coded.schema).parquet(kept)
-        total = coded.agg(F.sum(F.octet_length("ids")).alias("n")).first().n or 0
-        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard))
-        by = ["key", "row"]
-        ranges = coded.repartitionByRange(n, *by).sortWithinPartitions(*by).select("key", "ids")
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // shard))
+        bounds = _bounds(docs, key, n)
+        coded = map_columns(docs, [key, text], make, f"key {kind}, ids binary, part int", per_task=True)
+        ranges = coded.repartitionById(max(1, len(bounds)), "part").sortWithinPartitions("key").select("key", "ids")
         made = scratch.keep(_tasks(ranges, shards, "shard int, docs long, ids long")).orderBy("shard").collect()
         base, table, docs_before = 0, [], 0
         for r in made:

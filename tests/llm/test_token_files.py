@@ -65,7 +65,8 @@ def test_repeated_null_and_text_keys(spark, library):
         at = scratch.place()
         m = write(spark.createDataFrame(rows, "name string, body string").coalesce(1), VOCAB, at, text="body", key="name")
         got = sorted(read(spark, at, key="name", ids=2).collect(), key=lambda r: r.start)
-        assert [(r["name"], r.ids) for r in got] == [(k, [*library(t), 2]) for k, t in rows]
+        assert [r["name"] for r in got] == [k for k, _ in rows]
+        assert sorted((str(r["name"]), r.ids) for r in got) == sorted((str(k), [*library(t), 2]) for k, t in rows)
         assert [r.start for r in got] == np.cumsum([0] + [len(r.ids) for r in got])[:-1].tolist() and m["ids"] == sum(len(r.ids) for r in got)
         with pytest.raises(FileExistsError):
             write(spark.createDataFrame(rows, "name string, body string"), VOCAB, at, text="body", key="name")
@@ -74,7 +75,7 @@ def test_repeated_null_and_text_keys(spark, library):
 def test_one_key_spreads_over_shards(spark):
     docs = spark.range(4000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("t "), F.col("id")).alias("text"))
     with Scratch(spark) as scratch:
-        m = write(docs, VOCAB, scratch.place(), shard=4096)
+        m = write(docs, VOCAB, scratch.place(), shard=200)
         assert m["docs"] == 4000 and len(m["shards"]) > 4 and max(s["docs"] for s in m["shards"]) < 1500
         assert [s["base"] for s in m["shards"]] == np.cumsum([0] + [s["ids"] for s in m["shards"]])[:-1].tolist()
 
