@@ -19,6 +19,15 @@ def _half_even(x: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(x).cast("int"))
 
 
+#: Groups of at most so many rows are ranked in one task each, by a window; larger ones in ranges, with the same result.
+WINDOW = 10_000
+
+
+def _fits(df: DataFrame, keys: list[str]) -> bool:
+    """Whether no group has more than WINDOW rows: a count by key alone."""
+    return df.groupBy(*keys).count().where(F.col("count") > WINDOW).isEmpty()
+
+
 class _Grouped(Selector):
     def keys(self, df: DataFrame) -> list[str]:
         """Step and prompt; one group a step where there is no uid."""
@@ -85,6 +94,8 @@ class Gfpo(_Grouped, name="gfpo"):
         worth = -size if self.metric == "short" else F.col("score") / size
         key = F.struct(worth.isNull().alias("n"), (-worth).alias("w"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(self.tie)])
         keys = self.keys(df)
+        if _fits(df, keys):
+            return df.withColumn("kept", F.row_number().over(Window.partitionBy(*keys).orderBy(worth.desc_nulls_last(), *self.tie)) <= self.k)
         with Scratch(df.sparkSession) as scratch:
             rows = scratch.keep(df.select(*keys, key.alias("_key")))
             best = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("_key"))).where(F.col("_rank") <= self.k)
@@ -109,8 +120,31 @@ class MaxVariance(_Grouped, name="max_variance"):
             raise ValueError("keep_fraction must be above 0 and at most 1")
         self.keep_fraction = keep_fraction
 
+    def _in_windows(self, df: DataFrame) -> DataFrame:
+        """The same with one shuffle of whole rows, where a group fits a task."""
+        keys = self.keys(df)
+        by = Window.partitionBy(*keys)
+        order = by.orderBy(F.col("score").asc_nulls_first(), *self.tie)
+        upto = order.rowsBetween(Window.unboundedPreceding, 0)
+        r = df.withColumns({"_rk": F.row_number().over(order), "_s1": F.sum("score").over(upto), "_s2": F.sum(F.col("score") * F.col("score")).over(upto)})
+        r = r.withColumns({"_g": F.count("*").over(by), "_t1": F.sum("score").over(by), "_t2": F.sum(F.col("score") * F.col("score")).over(by)})
+        r = r.withColumn("_n", _half_even(F.col("_g") * self.keep_fraction))
+        # a split takes the _a lowest rows (the prefix up to rank _a) and the highest (what follows rank _g - _n + _a)
+        ends = F.array(F.struct(F.lit(False).alias("high"), F.col("_rk").cast("long").alias("a")), F.struct(F.lit(True).alias("high"), (F.col("_rk") - F.col("_g") + F.col("_n")).alias("a")))
+        r = r.withColumn("_e", F.explode(ends)).withColumns({"_a": F.col("_e.a"), "_high": F.col("_e.high")}).where("not _high or (_n < _g and _a >= 0)")
+        split = Window.partitionBy(*keys, "_a")
+        s1 = F.sum(F.when(F.col("_high"), F.col("_t1") - F.col("_s1")).otherwise(F.col("_s1"))).over(split)
+        s2 = F.sum(F.when(F.col("_high"), F.col("_t2") - F.col("_s2")).otherwise(F.col("_s2"))).over(split)
+        r = r.withColumn("_v", F.round(s2 / F.col("_n") - F.pow(s1 / F.col("_n"), 2), 9)).withColumn("_real", F.max("_high").over(split))
+        best = F.min(F.when(F.col("_real"), F.struct((-F.col("_v")).alias("v"), F.col("_a").alias("a")))).over(by)["a"]
+        r = r.withColumn("_best", best).where("not _high")
+        kept = (F.col("_n") >= F.col("_g")) | (F.col("_rk") <= F.col("_best")) | (F.col("_rk") > F.col("_g") - F.col("_n") + F.col("_best"))
+        return r.withColumn("kept", F.coalesce(kept, F.lit(False))).select(*df.columns, "kept")
+
     def select(self, df: DataFrame) -> DataFrame:
         keys, x = self.keys(df), F.col("_x")
+        if _fits(df, keys):
+            return self._in_windows(df)
         score = F.col("score").cast("double")
         key = F.struct(score.isNotNull().alias("n"), score.alias("s"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(self.tie)])
         with Scratch(df.sparkSession) as scratch:

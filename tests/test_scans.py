@@ -47,8 +47,13 @@ def best_split(scores, n):
     return max(((var(s[:a] + s[len(s) - (n - a):]), -a) for a in range(n + 1)))
 
 
+@pytest.fixture(params=[10_000, 100], ids=["windows", "ranges"])
+def form(request, monkeypatch):
+    monkeypatch.setattr(selectors, "WINDOW", request.param)
+
+
 @pytest.mark.parametrize("n,groups,ties,tie", [(1500, 1, 0, ("row",)), (600, 5, 7, ("row",)), (600, 2, 3, ()), (40, 40, 2, ("row",)), (300, 1, 1, ())])
-def test_max_variance(wide, n, groups, ties, tie):
+def test_max_variance(wide, form, n, groups, ties, tie):
     rows = rows_of(n, groups, ties=ties)
     df = wide.createDataFrame(rows, SCHEMA)
     got = selectors.MaxVariance(0.4, tie=tie).select(df).collect()
@@ -68,7 +73,7 @@ def test_max_variance(wide, n, groups, ties, tie):
 
 @pytest.mark.parametrize("metric", ["short", "efficiency"])
 @pytest.mark.parametrize("ties,tie", [(0, ("row",)), (3, ()), (3, ("row",))])
-def test_gfpo(wide, metric, ties, tie):
+def test_gfpo(wide, form, metric, ties, tie):
     rows = rows_of(900, 3, ties=ties)
     got = selectors.Gfpo(50, metric, tie=tie).select(wide.createDataFrame(rows, SCHEMA)).collect()
     worth = lambda r: -len(r[4]) if metric == "short" else r[3] / len(r[4])
