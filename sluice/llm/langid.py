@@ -13,7 +13,7 @@ import math
 import random
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_columns, row_filter
@@ -172,9 +172,11 @@ def parser(samples: tuple[tuple[str, str], ...]) -> CrossParser:
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", where=None, sample_docs: int = 200, sample_chars: int = 24_000, block_chars: int = 4_000, most_langs: int = 1_000) -> tuple[tuple[str, str], ...]:
     """(language, sample text) pairs from labelled documents.
 
-    The only bounded read of the engine's language ID: about ``sample_docs`` documents a language, chosen by a
-    hash of the id, of each a block of at most ``block_chars`` characters at a place that the hash chooses too, and
-    ``sample_chars`` in all, so that what the driver and a worker hold is bounded (about 1 MB a language). Samples are
+    The only bounded read of the engine's language ID: about twice ``sample_docs`` rows a language, chosen by a
+    hash of id and text, of each a block of at most ``block_chars`` characters at a place that the id's hash chooses, and
+    ``sample_chars`` in all, so that what the driver and a worker hold is bounded (about 1 MB a language). Rows with one
+    id or a null id are drawn each by itself; of equal rows, drawn together, at most four times ``sample_docs`` a language
+    reach the driver. Samples are
     the same size whatever the number of languages; more than ``most_langs`` are an error, not a cut. Rows with a null
     text or language teach nothing; texts that are empty or hold no letter add none.
     """
@@ -187,11 +189,13 @@ def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     if not n:
         return ()
     share = F.element_at(F.create_map(*[F.lit(x) for name, m in n.items() for x in (name, min(1.0, 2 * sample_docs / m))]), F.col("l"))
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col("k").cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col("k").cast("string"), F.col("t")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.where(draw < share).select("l", F.xxhash64(F.lit(11), F.col("k"), F.col("t")).alias("h"), block_of("t", "k", block_chars, 13).alias("t"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))  # cut in every task before the shuffle
     got: dict[str, list] = {}
-    for r in rows.where(draw < share).select("l", F.xxhash64(F.lit(11), F.col("k")).alias("h"), block_of("t", "k", block_chars, 13).alias("t")).collect():
+    for r in drawn.withColumn("nth", nth).where(F.col("nth") <= 4 * sample_docs).drop("nth").collect():
         got.setdefault(r.l, []).append((r.h, r.t))
-    return tuple((name, "\n".join(t for _, t in sorted(got[name], key=lambda x: (x[0] is not None, x)))[:sample_chars]) for name in sorted(got))
+    return tuple((name, "\n".join(t for _, t in sorted(got[name]))[:sample_chars]) for name in sorted(got))
 
 
 def predictions(texts: list, samples: tuple[tuple[str, str], ...], sharpness: float = 12.0) -> tuple[list[str], np.ndarray]:

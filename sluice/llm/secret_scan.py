@@ -1,16 +1,22 @@
 """Secret scans: three fixed patterns, and sliding-window Shannon entropy over candidate strings.
 
 A candidate is a run of key-like characters with a letter, cut where a span of the fixed patterns or an assigned value
-begins or ends, so that a key is judged by itself whether a pattern has it or not. A window moves over it, its character
-counts kept by one addition and one removal a step; where the entropy of a window reaches its class's bound,
-the window belongs to a span. Without a digit, or below the bound down to what one random key in a thousand
-has, its letter pairs must also be unlike those of words. An allow-list keeps known harmless forms out.
+begins or ends, so that a key is judged by itself whether a pattern has it or not. Its parts between ``/ _ - =`` each have
+their own class, so that a prefix, a path or a slug doesn't decide for what stands beside it. A window moves over a part, its
+character counts kept by one addition and one removal a step; where the entropy of a window reaches its class's bound, the
+window belongs to a span, if letters and digits alternate in it as in random keys or its letter pairs are unlike those of
+words; hexadecimal digits need neither. A second pass over the whole run finds keys that hold the separators themselves:
+what it finds needs a window with small and capital letters and digits as well, and is taken to the ends of its parts. An
+allow-list keeps known harmless forms out.
 """
 
 from __future__ import annotations
 
+import bisect
+import functools
 import math
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,14 +33,16 @@ HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 KINDS = ("assign", "access", "hex", "entropy")
 
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Class: characters, window, bits of entropy from which a window counts, and those from which it counts if its letter
-#: pairs are unlike words (the 0.1 % quantile of random windows over 16, 32 and 62 characters). The first that fits counts.
+PART = re.compile(r"[^/_=-]+")
+#: Class: characters, window, and bits of entropy from which a window counts (the 0.1 % quantile of random windows over 16,
+#: 22, 36 and 62 characters). The first that fits counts.
 CLASSES = (
-    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 24, 3.0, 2.86),
-    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 20, 2.72, 2.72),
-    ("one case", re.compile(r"(?:[a-z0-9]+|[A-Z0-9]+)"), 20, 3.6, 3.14),
-    ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.6, 3.48),
-    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.8, 3.48),
+    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 24, 2.86),
+    ("hex", re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)"), 20, 2.72),
+    ("hex", re.compile(r"[0-9a-fA-F]+"), 20, 2.8),
+    ("one case", re.compile(r"(?:[a-z0-9]+|[A-Z0-9]+)"), 20, 3.14),
+    ("alnum", re.compile(r"[A-Za-z0-9]+"), 20, 3.48),
+    ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.48),
 )
 #: Frequent letter pairs of words.
 PAIRS = frozenset(
@@ -49,6 +57,8 @@ ALLOW = (
     re.compile(r"sha(1|256|384|512)-[A-Za-z0-9+/=]+"),  # subresource integrity
     re.compile(r"(?i).*(example|sample|placeholder|changeme|dummy|xxxx)"),
     re.compile(r"[0-9_/+=-]+"),  # numbers, dates and paths of numbers
+    # paths, slugs and identifiers: short words, numbers, and words with a number behind
+    re.compile(r"(?:(?:[A-Za-z][a-z]{0,14}|[A-Z]{1,12})?[0-9]{0,4}(?:[/_+=-]+|$))+"),
 )
 _CLOG = [0.0] + [c * math.log2(c) for c in range(1, 257)]
 
@@ -87,34 +97,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_DIGIT = re.compile(r"[0-9]")
 _LETTER = re.compile(r"[A-Za-z]")
 
 
-def unlike_words(s: str, width: int) -> list[tuple[int, int]]:
-    """Merged windows of ``s`` in which fewer than 45 % of the letter pairs, three or more, are frequent in words."""
+def unlike_words(s: str, width: int, changes: int = 4) -> list[tuple[int, int]]:
+    """Merged windows of ``s`` in which fewer than 45 % of the letter pairs, three or more, are frequent in words, or in
+    which letters and digits meet ``changes`` times or more."""
     pairs = [x.isalpha() and y.isalpha() for x, y in zip(s, s[1:])]
     # a capital after a small letter is as in words if two small letters follow
     known = [p and (s[i + 2 : i + 4].islower() if s[i].islower() and s[i + 1].isupper() else s[i : i + 2].lower() in PAIRS) for i, p in enumerate(pairs)]
+    meet = [x.isalnum() and y.isalnum() and x.isalpha() != y.isalpha() for x, y in zip(s, s[1:])]
     out: list[tuple[int, int]] = []
-    n, k = sum(pairs[: width - 1]), sum(known[: width - 1])
+    n, k, m = sum(pairs[: width - 1]), sum(known[: width - 1]), sum(meet[: width - 1])
     for a in range(len(s) - width + 1):
-        if n >= 3 and k < 0.45 * n:
+        if m >= changes or n >= 3 and k < 0.45 * n:
             out[-1:] = [(out[-1][0], a + width)] if out and a <= out[-1][1] else [*out[-1:], (a, a + width)]
         if a + width < len(s):
             n += pairs[a + width - 1] - pairs[a]
             k += known[a + width - 1] - known[a]
+            m += meet[a + width - 1] - meet[a]
     return out
 
 
+def is_mixed(s: str, width: int) -> bool:
+    """Whether a window of ``s`` has a small letter, a capital and a digit."""
+    last = [-width, -width, -width]
+    for i, c in enumerate(s):
+        if c.isalnum():
+            last[0 if c.islower() else 1 if c.isupper() else 2] = i
+        if i >= width - 1 and min(last) > i - width:
+            return True
+    return False
+
+
+def _inside(s: str, spans: list[tuple[int, int]], width: int, test: Callable[[str, int], list[tuple[int, int]]]) -> list[tuple[int, int]]:
+    """What ``test`` finds in each span, in the places of ``s``."""
+    return [(a + x, a + y) for a, b in spans for x, y in test(s[a:b], width)]
+
+
+def _whole(parts: list[re.Match], starts: list[int], a: int, b: int) -> tuple[int, int]:
+    """The span from where its first part begins, with the separators before it, to where its last part ends."""
+    i, j = bisect.bisect_right(starts, a) - 1, bisect.bisect_left(starts, b) - 1
+    if i < 0:
+        a = 0
+    elif parts[i].end() <= a:
+        a = parts[i].end()
+    else:
+        a = parts[i - 1].end() if i else 0
+    return a, max(b, parts[j].end())
+
+
 def _random(s: str) -> list[tuple[int, int]]:
     """High-entropy spans of what the fixed patterns leave of a run."""
     if len(s) < 20 or not _LETTER.search(s) or any(r.fullmatch(s) or (r.pattern.startswith("(?i)") and r.match(s)) for r in ALLOW):
         return []
-    _, _, width, bound, least = next(c for c in CLASSES if len(s) >= c[2] and c[1].fullmatch(s))
-    found = entropy_spans(s, width, bound) if _DIGIT.search(s) else []
-    for a, b in entropy_spans(s, width, least):
-        found += [(a + x, a + y) for x, y in unlike_words(s[a:b], width)]
+    found, parts = [], list(PART.finditer(s))
+    for m in parts:
+        t, at = m.group(), m.start()
+        if len(t) >= 20 and _LETTER.search(t):
+            name, _, width, bound = next(c for c in CLASSES if len(t) >= c[2] and c[1].fullmatch(t))
+            spans = entropy_spans(t, width, bound)
+            if name != "hex":
+                spans = _inside(t, spans, width, unlike_words)
+            found += [(at + a, at + b) for a, b in spans]
+    if len(parts) > 1:
+        _, _, width, bound = CLASSES[-1]
+        starts = [m.start() for m in parts]
+        spans = _inside(s, entropy_spans(s, width, bound), width, functools.partial(unlike_words, changes=5))
+        found += [_whole(parts, starts, a, b) for a, b in spans if is_mixed(s[a:b], width)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:

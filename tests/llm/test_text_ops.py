@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -537,3 +538,44 @@ def test_bpe(spark, docs):
     same_ids(bpe.op7(docs, WORD), docs)
     assert bpe.op7(docs.limit(0), WORD).count() == 0
     assert bpe.encode(docs.where("doc_id = 1007"), WORD).first().ids == tok.encode("same text", add_special_tokens=False).ids
+
+
+def test_prefixed_tokens_are_found_and_paths_stay():
+    import os
+    import sysconfig
+
+    rng, any_ = random.Random(3), string.ascii_letters + string.digits
+    has = lambda t: any(k == 3 for _, k, _ in secret_scan.spans_of(t)[1])
+    kinds = {"ghp_": (any_, 36), "sk_live_": (any_, 24), "npm_": (any_, 36), "xoxb-123456789012-": (any_, 24), "AIza": (any_ + "-_", 35), "tok_": ("0123456789abcdefABCDEF", 36)}
+    for prefix, (chars, n) in kinds.items():
+        assert sum(has(f"key {prefix}{''.join(rng.choices(chars, k=n))} end") for _ in range(400)) >= 380, prefix
+    for t in ("https://x.org/2024/05/how-to-build-python3-packages-f", "lib/python3/site-packages/numpy", "a 2024-05-01T10-20-30/run_0017/model-v2_final"):
+        assert secret_scan.redact_text(t) == t
+    paths = [os.path.join(d, f) for d, _, fs in os.walk(sysconfig.get_paths()["stdlib"]) for f in fs if "xmltestdata" not in d]
+    assert sum(map(has, paths)) <= max(1, len(paths) // 1000)
+
+
+def _copies(spark, n, key):
+    """n rows of one key, or of null, with different texts, beside 40 rows of two classes."""
+    k = F.lit(key).cast("long")
+    hot = spark.range(n).select(k.alias("doc_id"), F.concat(F.lit("ein guter satz steht hier mit nummer "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    rest = spark.range(40).select((F.col("id") + 1).alias("doc_id"), F.concat(F.lit("some plain english words and a number "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    return hot.unionByName(rest)
+
+
+@pytest.mark.parametrize("key", [0, None])
+def test_samples_are_bounded_by_rows(spark, key, monkeypatch):
+    d = _copies(spark, 20_000, key)
+    sizes, collect = [], type(d).collect
+
+    def counted(self):
+        rows = collect(self)
+        sizes.append(len(rows))
+        return rows
+
+    monkeypatch.setattr(type(d), "collect", counted)
+    got = dict(langid.learn(d, sample_docs=50))
+    assert set(got) == {"de", "en"} and len(got["de"]) > 50 * 30  # many rows of the one key
+    lab = spark.range(41).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    quality.learn(d, lab, sample_rows=50)
+    assert max(sizes) <= 4 * 50 * 2
