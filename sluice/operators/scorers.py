@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,3 +136,40 @@ class FunctionScorer(Scorer):
             return fn(*cols).astype("float64")
 
         return df.withColumn("score", run(*self.requires))
+
+
+class FunctionGroupScorer(Scorer):
+    """A score of a whole prompt from functions that no column expression gives, for groups of any size.
+
+    ``partial(frame) -> numbers`` sums up some rows of one group as a fixed number of doubles, and ``final(states) -> float`` makes
+    the score of all of a group's states, a matrix with a row each, in any order. A state is made of a group's rows in each Arrow batch
+    before the shuffle, so that a hot group sends a row a batch, not its rows. Null keys are a group of their own. The functions
+    travel to the workers by value.
+    """
+
+    timing, granularity, needs_groups = "post_reward", "prompt", True
+
+    def __init__(self, partial: Callable[[pd.DataFrame], list[float]], final: Callable[[np.ndarray], float], requires: tuple[str, ...], keys: tuple[str, ...] = ("step", "uid")):
+        self.partial, self.final, self.requires, self.keys = partial, final, tuple(requires), tuple(keys)
+
+    def score(self, df: DataFrame) -> DataFrame:
+        self.check(df)
+        partial, final, takes = self.partial, self.final, list(self.requires)
+        keys = [c for c in self.keys if c in df.columns]
+        at = [f"key {i}" for i in range(len(keys))]
+
+        def states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                of = b.groupby(at, dropna=False, sort=False).ngroup()
+                firsts = b[at].loc[~of.duplicated()]  # groups are numbered as they come
+                yield firsts.assign(state=[[float(x) for x in partial(rows)] for _, rows in b[takes].groupby(of)])
+
+        @F.arrow_udf("double")
+        def whole(v: pa.Array) -> float:
+            return float(final(np.array(v.to_pylist(), dtype="float64")))
+
+        types = ", ".join(f"`{a}` {df.schema[k].dataType.simpleString()}" for a, k in zip(at, keys))
+        parts = df.select(*[F.col(k).alias(a) for a, k in zip(at, keys)], *takes).mapInPandas(states, f"{types}, state array<double>")
+        scores = parts.groupBy(*at).agg(whole("state").alias("score of group"))
+        scores = scores.select(*[F.col(a).alias(k) for a, k in zip(at, keys)], "score of group")
+        return beside(df.drop("score"), scores, keys).withColumnRenamed("score of group", "score")
