@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import ipaddress
 import os
 import re
 import secrets
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +40,23 @@ GIVEN = {
     ("greek", "f"): "Αγγελική Βασιλική Δήμητρα Ειρήνη Ελένη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Αντώνης Γιάννης Γιώργος Δημήτρης Κώστας Νίκος Παναγιώτης".split(),
 }
-#: Gender of every listed given name, which a title doesn't change.
-LISTED = {n: k for k, ns in GIVEN.items() for n in ns}
+# Given names of both genders, and as many names of either gender that stand for them.
+UNISEX = "Alex Andrea Jan Jean Kim Nicola Robin Sascha".split()
+STANDS = {"f": "Agnes Bettina Cecilia Dorothea Edith Flora Gisela Hedwig".split(), "m": "Albert Berthold Conrad Edgar Ferdinand Gustav Herbert Isidor".split()}
+# Frequent surnames by script.
+SURNAMES = {
+    "latin": (
+        "Smith Johnson Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson White Harris Clark Lewis Walker Hall Young King Wright "
+        "Müller Schmidt Schneider Fischer Weber Meyer Wagner Becker Schulz Hoffmann Koch Bauer Richter Klein Wolf Neumann Schwarz Krüger "
+        "García Fernández González López Martínez Sánchez Pérez Gómez Bernard Dubois Durand Leroy Moreau Laurent Rossi Russo Ferrari Bianchi Romano Ricci"
+    ).split(),
+    "greek": "Παπαδόπουλος Παππάς Βασιλείου Γεωργίου Ιωάννου Κωνσταντίνου".split(),
+}
+#: Script and gender of every listed given name; a title decides for names of both genders alone.
+LISTED = {n: k for k, ns in GIVEN.items() for n in ns} | {n: ("latin", "f" if n == "Andrea" else "m") for n in UNISEX}
+_SURNAME = {n: k for k, ns in SURNAMES.items() for n in ns}
+#: Words that no spelled-out surrogate may become, as they are surrogates of others.
+_TAKEN = frozenset({*LISTED, *_SURNAME, *STANDS["f"], *STANDS["m"]})
 TITLES = {
     "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Sra госпожа г-жа κυρία".split(),
     "m": "Mr Mister Herr Monsieur Señor Sr господин г-н κύριος".split(),
@@ -48,17 +65,26 @@ TITLES = {
 #: Endings that carry a gender and stay.
 ENDINGS = ("ская", "ский", "цкая", "цкий", "ова", "ева", "ина", "ов", "ев", "ин")
 #: Letters that stand for each other, by script: vowels and the rest.
-LETTERS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåèéêëìíîïòóôõöùúûü", "çñß", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+LETTERS = ("aeiou", "bdfglmnprst", "ckz", "hjvw", "qxy", "äöü", "áéíóú", "àèìòù", "âêîôû", "ãåëïõ", "çñ", "āąăēęěīįōőūůűų", "ćčďđğłńňřśšşťţźżž", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 _CLASS = {c: s for s in LETTERS for c in s}
 
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
-_LOW = "a-zß-öø-ÿа-яёα-ωά-ώ"
-NAME = re.compile(rf"(?<![\w-])({'|'.join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))})\.?\x20((?:[{_UP}][{_LOW}]+)(?:[\x20-][{_UP}][{_LOW}]+){{0,2}})")
+#: A name's word: a capital and small letters with marks, again after inner capitals or an apostrophe (McDonald, O'Brien), or capitals alone.
+_CASED = r"\p{Lu}(?:[\p{Ll}\p{M}]++(?:['’]?\p{Lu}[\p{Ll}\p{M}]++)*+|['’]\p{Lu}[\p{Ll}\p{M}]++)"
+_CAPITALS = r"\p{Lu}(?:['’]?\p{Lu})++"
+_ANY = rf"(?:{_CASED}|{_CAPITALS})(?!\w)"
+#: Small words inside a name, which stay.
+_PARTICLE = r"(?:(?:van|von|vom|zu|zum|zur|der|den|dem|de|del|della|di|da|dos|du|la|le|ter|ten|bin|ibn|al|el)\x20){0,3}"
+_TITLE = "|".join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))
+TITLED = re.compile(rf"(?<![\w-])({_TITLE})\.?\x20")
+#: What follows a title and its blank.
+NAME = regex.compile(rf"(?:(?:{_TITLE})\.?\x20)?+(?:\p{{Lu}}\.\x20?){{0,3}}{_PARTICLE}{_ANY}(?:(?:\x20{_PARTICLE}|-){_ANY}){{0,2}}")
 #: A capitalised word with one or two after it; a name without a title if the first is a listed given name.
-BARE = re.compile(rf"(?<![\w-])(?=([{_UP}][{_LOW}]++)((?:[\x20-][{_UP}][{_LOW}]+){{1,2}})(?!\w))")
-_PART = re.compile(rf"[{_UP}][{_LOW}]+")
-_WORD = re.compile(rf"(?<!\w)[{_UP}][{_LOW}]++(?!\w)")
+BARE = regex.compile(rf"(?<![\w-])(?=({_CASED}(?!\w))((?:(?:\x20{_PARTICLE}|-){_CASED}(?!\w)){{1,2}}))")
+#: Two or three words in capitals that stand between others, likewise.
+BARE_CAPITALS = regex.compile(rf"(?<![\w-])(?<!\p{{Lu}}\p{{Lu}}[\x20-])({_CAPITALS}(?!\w))((?:[\x20-]{_CAPITALS}(?!\w)){{1,2}})(?![\x20-]\p{{Lu}}\p{{Lu}})")
+_PART = regex.compile(rf"{_CASED}|{_CAPITALS}")
+_WORD = regex.compile(rf"(?<!\w)(?:{_CASED}|{_CAPITALS})(?!\w)")
 #: An address is [A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}; see ``emails``.
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 HOST = re.compile(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
@@ -69,9 +95,31 @@ NUMBER = re.compile(
     r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
     r"|(?<![\w+])(?P<phone>\+[0-9]{8,15}|\+[0-9]{1,3}(?:[ .-]?\(0\))?[ .-]?[0-9]{1,4}(?:[ .-][0-9]{2}){3,5}|0[0-9](?:[ .-][0-9]{2}){4}|(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{2,5}|\(?0[0-9]{1,4})\)?\x20?/\x20?[0-9]{5,8}|(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4})(?!\w)"
 )
+_IP6 = re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f:]{3,39}+(?![\w:])")
 _NUMERIC = re.compile(r"[+(]?[0-9][0-9 ().+/-]{5,}")
 
 
+#: Address blocks with a use of their own; surrogates stay in theirs, and those of public addresses stay public.
+_BLOCKS = [
+    ipaddress.ip_network(b)
+    for b in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.0.2.0/24 192.168.0.0/16 198.18.0.0/15 198.51.100.0/24 203.0.113.0/24 224.0.0.0/4 240.0.0.0/4".split()
+]
+_RANGES = [(int(b.network_address), int(b.broadcast_address)) for b in _BLOCKS]
+
+
+def _block(x: int) -> int:
+    return next((i for i, (a, b) in enumerate(_RANGES) if a <= x <= b), -1)
+
+
+def _block_public(x: int) -> bool:
+    return _block(x) < 0
+
+
+def _ssn_valid(x: int) -> bool:
+    area, group, serial = x // 1_000_000, x // 10_000 % 100, x % 10_000
+    return 0 < area < 900 and area != 666 and group > 0 and serial > 0
+
+
 def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits))) % 10
 
@@ -81,7 +129,7 @@ class Surrogates:
 
     def __init__(self, key: bytes):
         self.key = key
-        self.of = functools.lru_cache(50_000)(self._of)
+        self.of = functools.lru_cache(50_000)(self._of)  # (type, text, gender)
 
     def _round(self, tweak: str, n: int, i: int, x: int) -> int:
         return int.from_bytes(hashlib.blake2b(f"{tweak}|{n}|{i}|{x}".encode(), key=self.key, digest_size=16).digest(), "big")
@@ -106,6 +154,13 @@ class Surrogates:
         """Another number below n; a bijection without fixed points for n > 1."""
         return x if n < 2 else self._permute(tweak, n, (self._permute(tweak, n, x, False) + 1) % n, True)
 
+    def within(self, tweak: str, n: int, x: int, same: Callable[[int], object]) -> int:
+        """Another number below n of x's class: the next one of that class in the cycle of ``number``, a bijection of each class."""
+        kind, y = same(x), self.number(tweak, n, x)
+        while same(y) != kind:
+            y = self.number(tweak, n, y)
+        return y
+
     def shaped(self, tweak: str, text: str) -> str:
         """Letters for letters of their kind and case, digits for digits, all else kept; case doesn't change the choice."""
         low = text.lower() if len(text.lower()) == len(text) else text
@@ -132,43 +187,62 @@ class Surrogates:
         y = iter(str(self.number(f"{tweak}:{len(d)}", 10 ** len(d), int(d))).zfill(len(d)))
         return re.sub(r"\d", lambda _: next(y), text)
 
-    def _of(self, kind: str, text: str) -> str:
+    def _of(self, kind: str, text: str, gender: str = "") -> str:
         if kind == "email":
             local, _, host = text.partition("@")
             *labels, tld = host.split(".")
             return f"{self.shaped('local', local)}@{'.'.join([self.shaped('host', x) for x in labels] + [tld])}"
-        if kind == "ip":
-            q = [int(x) for x in text.split(".")]
-            y = self.number("ip", 1 << 32, int.from_bytes(bytes(q), "big"))
+        if kind == "ip" and ":" in text:  # the first group, which says what the address is for, stays
+            x = int(ipaddress.IPv6Address(text))
+            head, low = divmod(x, 1 << 112)
+            return str(ipaddress.IPv6Address((head << 112) + self.number(f"ip6:{head}", 1 << 112, low)))
+        if kind == "ip":  # in its block; the small ones have a permutation of their own
+            x = int.from_bytes(bytes(int(q) for q in text.split(".")), "big")
+            at = _block(x)
+            a, b = _RANGES[at] if at >= 0 else (0, (1 << 32) - 1)
+            y = a + self.number(f"ip:{at}", b - a + 1, x - a) if at >= 0 else self.within("ip", 1 << 32, x, _block_public)
             return ".".join(map(str, y.to_bytes(4, "big")))
-        if kind == "card":  # the check digit follows, so that valid numbers stay valid and invalid ones invalid
+        if kind == "card":  # the issuer stays, and the check digit follows, so that valid numbers stay valid and invalid ones invalid
             d = re.sub(r"\D", "", text)
-            y = str(self.number(f"card:{len(d)}:{_luhn(d)}", 10 ** (len(d) - 1), int(d[:-1]))).zfill(len(d) - 1)
-            it = iter(y + str((_luhn(d) - _luhn(y + "0")) % 10))
+            head, body = d[:6], d[6:-1]
+            off = _luhn(d)
+            y = head + str(self.number(f"card:{head}:{len(d)}:{off}", 10 ** len(body), int(body))).zfill(len(body))
+            it = iter(y + str((off - _luhn(y + "0")) % 10))
             return re.sub(r"\d", lambda _: next(it), text)
         if kind == "phone":  # a country code stays
             m = re.match(r"\+\d{1,3}(?=\D)|\+1(?=\d{10}$)|\+\d\d", text)
             head = m.group() if m else ""
             return head + self._digits(f"phone{head}", text[len(head) :])
         if kind == "ssn":
-            return self._digits("ssn", text)
+            x = str(self.within("ssn", 10**9, int(text.replace("-", "")), _ssn_valid)).zfill(9)
+            return f"{x[:3]}-{x[3:5]}-{x[5:]}"
         if kind == "iban":
             plain = text.replace(" ", "")
             body = self.shaped(f"iban{plain[:2]}", plain[4:]).upper()
             it = iter(f"{plain[:2]}{98 - int(''.join(str(int(c, 36)) for c in body + plain[:2] + '00')) % 97:02d}{body}")
             return re.sub(r"\S", lambda _: next(it), text)
-        return re.sub(rf"[{_UP}][{_LOW}]+", lambda m: self._name(m.group()), text)
-
-    def _name(self, word: str) -> str:
-        """A given name of the same list if it is one, else letters of the same kinds before a kept ending."""
-        if word in LISTED:
-            names = GIVEN[LISTED[word]]
-            return names[self.number(f"given:{':'.join(LISTED[word])}", len(names), names.index(word))]
+        return _PART.sub(lambda m: self._name(m.group(), gender), text)
+
+    def _name(self, word: str, gender: str) -> str:
+        """A given name or surname of the same list if it is one, else letters of the same kinds before a kept ending; titles stay."""
+        if word in _GENDER:
+            return word
+        plain = word.capitalize() if word.isupper() and len(word) > 1 else word
+        out = self._plain(plain, gender)
+        return out.upper() if plain is not word and len(out.upper()) == len(out) else out
+
+    def _plain(self, word: str, gender: str) -> str:
+        if word in UNISEX:
+            return STANDS[gender or LISTED[word][1]][self.number(f"unisex:{gender or LISTED[word][1]}", len(UNISEX), UNISEX.index(word))]
+        for lists, listed, kind in ((GIVEN, LISTED, "given"), (SURNAMES, _SURNAME, "surname")):
+            if word in listed:
+                names = [n for n in lists[listed[word]] if n not in UNISEX]
+                return names[self.number(f"{kind}:{listed[word]}", len(names), names.index(word))]
         tail = next((e for e in ENDINGS if word.lower().endswith(e) and len(word) > len(e) + 1), "")
         stem = word[: len(word) - len(tail)]
         out = self.shaped(f"name:{tail}", stem) + tail
-        # a word must not become a listed given name, or it could meet that name's own surrogate: walk on
-        while out in LISTED:
+        # a word must not become one that stands for another: walk on
+        while out in _TAKEN:
             out = self.shaped(f"name:{tail}", out[: len(out) - len(tail)]) + tail
         return out
 
@@ -189,6 +263,16 @@ def session_key(spark: SparkSession) -> bytes:
     return _session_keys.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
 
 
+def _ip6_ok(text: str) -> bool:
+    """An address whose first group has four digits, as all global, local and multicast ones have; others may be times or names in code."""
+    if len(text.partition(":")[0]) != 4:
+        return False
+    try:
+        return ipaddress.IPv6Address(text) is not None
+    except ValueError:
+        return False
+
+
 def _iban_ok(text: str) -> bool:
     p = text.replace(" ", "")
     return 15 <= len(p) <= 34 and int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1
@@ -213,7 +297,8 @@ def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[i
     for a, b, kind, gender in found:
         if kind == "name":
             for m in _PART.finditer(text, a, b):
-                parts.setdefault(m.group(), (m.end(), gender))
+                if m.group() not in _GENDER:
+                    parts.setdefault(m.group(), (m.end(), gender))
     if not parts:
         return found
     out, rest = [], iter([*found, (len(text), len(text), "", "")])
@@ -249,13 +334,22 @@ def _found(text: str) -> Iterator[tuple[int, int, str, str]]:
             at = past = m.end()
             if m.lastgroup != "ip" or all(int(x) < 256 for x in m.group().split(".")):
                 yield m.start(), m.end(), next(k for k in ("ip", "card", "ssn", "phone") if m[k]), ""
-    if any(t in text for t in _GENDER):
-        yield from ((m.start(2), m.end(2), "name", _GENDER[m[1]]) for m in NAME.finditer(text))
+    if text.count(":") > 1:
+        for m in _IP6.finditer(text):
+            if _ip6_ok(m.group()):
+                yield m.start(), m.end(), "ip", ""
     past = 0
-    for m in BARE.finditer(text):
-        if m[1] in LISTED and m.start() >= past:
-            past = m.end(2)
-            yield m.start(), past, "name", LISTED[m[1]][1]
+    for t in TITLED.finditer(text):
+        if t.start() >= past and (m := NAME.match(text, t.end())):
+            past = m.end()
+            yield m.start(), past, "name", _GENDER[t[1]]
+    for pattern in (BARE, BARE_CAPITALS):
+        past = 0
+        for m in pattern.finditer(text):
+            first = m[1].capitalize() if pattern is BARE_CAPITALS else m[1]
+            if first in LISTED and m.start() >= past:
+                past = m.end(2)
+                yield m.start(), past, "name", "" if first in UNISEX else LISTED[first][1]
     yield from ((m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if _iban_ok(m.group()))
 
 
@@ -265,8 +359,8 @@ def replace(text: str | None, key: bytes) -> tuple[str | None, list[dict]]:
     if not got:
         return text, []
     of, out, at, size, said = surrogates(key).of, [], 0, 0, []
-    for a, b, kind, _ in got:
-        s = of(kind, text[a:b])
+    for a, b, kind, gender in got:
+        s = of(kind, text[a:b], gender)
         size += a - at
         said.append({"type": kind, "start": size, "end": size + len(s), "surrogate": s})
         out += [text[at:a], s]
@@ -285,11 +379,17 @@ def pseudonymise(docs: DataFrame, secret: bytes, *, text: str = "text", key: str
     return map_columns(docs, [key, text], run, f"`{key}` {kind}, text string, entities array<struct<type:string,start:int,end:int,surrogate:string>>")
 
 
+def _entity(text: str, kind: str, gender: str) -> str:
+    """What an entity is, whatever its case; a given name of both genders is another one with each."""
+    unisex = kind == "name" and any(w.capitalize() in UNISEX for w in text.split())
+    return f"{text.lower()} {gender}" if unisex else str(ipaddress.ip_address(text)) if kind == "ip" and ":" in text else text.lower()
+
+
 def collisions(docs: DataFrame, secret: bytes, *, text: str = "text") -> DataFrame:
     """(type, n_entities, n_surrogates, n_shared): distinct entities by type, distinct surrogates, and surrogates that two entities share (none)."""
 
     def run(texts: list) -> dict:
-        rows = {(k, re.sub(r"\D", "", t[a:b]) if k in ("card", "phone", "ssn") else t[a:b].lower(), s) for t in texts for a, b, k, _ in entities(t) for s in [surrogates(secret).of(k, t[a:b])]}
+        rows = {(k, re.sub(r"\D", "", t[a:b]) if k in ("card", "phone", "ssn") else _entity(t[a:b], k, g), s) for t in texts for a, b, k, g in entities(t) for s in [surrogates(secret).of(k, t[a:b], g)]}
         rows = {(k, x, re.sub(r"\D", "", s) if k in ("card", "phone", "ssn") else s.lower()) for k, x, s in rows}
         return {"type": [r[0] for r in rows], "entity": [r[1] for r in rows], "surrogate": [r[2] for r in rows]}
 

@@ -37,6 +37,12 @@ def _op4(spark, d):
     return op4(_t(spark, d, "documents"))
 
 
+def _pii_collisions(spark, d):
+    from .pii import collisions, session_key
+
+    return collisions(_t(spark, d, "documents"), session_key(spark))
+
+
 def _op5(spark, d):
     from .rules import op5
 
@@ -103,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": _op2,
         "op3_secrets": _op3,
         "op4_pii": _op4,
+        "pii_collisions": _pii_collisions,
         "op5_rules": _op5,
         "op6_chat": _op6,
         "op7_bpe": _op7,

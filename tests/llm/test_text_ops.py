@@ -579,3 +579,61 @@ def test_samples_are_bounded_by_rows(spark, key, monkeypatch):
     lab = spark.range(41).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     quality.learn(d, lab, sample_rows=50)
     assert max(sizes) <= 4 * 50 * 2
+
+
+KEY = b"k" * 32
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Ms McDonald came", ["McDonald"]),
+        ("Mr O'Brien and Anna O'Neil met Robert McCarthy.", ["O'Brien", "Anna O'Neil", "Robert McCarthy"]),
+        ("Mr van der Berg, Mr Łukasz Żak, Herr Čapek", ["van der Berg", "Łukasz Żak", "Čapek"]),
+        ("signed ANNA SCHMIDT here", ["ANNA SCHMIDT"]),
+        ("PLEASE MARK THE DATE NOW", []),
+        ("Mrs Smith's dog, and Mr J. Weber", ["Smith", "J. Weber"]),
+        ("Prof. Dr. Weber spoke. Dr Who? Weber left", ["Dr. Weber", "Who", "Weber"]),
+        ("at 10:20:30 std::vector a::b", []),
+    ],
+)
+def test_name_forms(text, names):
+    assert [text[a:b] for a, b, k, _ in pii.entities(text)] == names
+    new = pii.replace(text, KEY)[0]
+    for n in names:
+        for w in re.findall(r"[\w'’]{3,}", n):
+            assert w in ("van", "der") or not re.search(rf"(?<!\w){re.escape(w)}(?!\w)", new), (w, new)
+
+
+def test_surrogates_keep_gender_and_lists():
+    of = pii.surrogates(KEY).of
+    lists = [set(v) - set(pii.UNISEX) for v in [*pii.GIVEN.values(), *pii.SURNAMES.values(), *pii.STANDS.values()]]
+    latin = [lists[0], lists[1], set(pii.SURNAMES["latin"]), *map(set, pii.STANDS.values())]
+    assert sum(map(len, latin)) == len(set().union(*latin))  # no word stands for two
+    for (script, g), names in pii.GIVEN.items():
+        mine = [n for n in names if n not in pii.UNISEX]
+        got = [of("name", n, "f" if g == "m" else "m") for n in mine]
+        assert sorted(got) == sorted(mine) and all(a != b for a, b in zip(mine, got))
+    for g in "fm":
+        assert sorted(of("name", n, g) for n in pii.UNISEX) == sorted(pii.STANDS[g])
+    assert of("name", "Müller").isalpha() and of("name", "Müller") in pii.SURNAMES["latin"]
+    assert pii.replace("Mr Andrea Bianchi", KEY)[0].split()[1] in pii.STANDS["m"]
+
+
+def test_numbers_stay_in_their_class():
+    import ipaddress
+
+    of, rng = pii.surrogates(KEY).of, random.Random(4)
+    kinds = lambda x: (x.is_private, x.is_multicast, x.is_loopback, x.is_link_local, x.is_reserved)
+    ips = {f"{h}.{'.'.join(str(rng.randrange(256)) for _ in range(4 - len(h.split('.'))))}" for h in ("10", "192.168", "172.20", "224.5", "127", "8", "93", "203.0.113", "250") for _ in range(100)}
+    new = {x: of("ip", x) for x in ips}
+    assert len(set(new.values())) == len(ips) and all(a != b and kinds(ipaddress.ip_address(a)) == kinds(ipaddress.ip_address(b)) for a, b in new.items())
+    for a in ("2001:db8::8a2e:370:7334", "fe80::1", "fd00::5"):
+        b = of("ip", a)
+        assert b != a and b.split(":")[0] == a.split(":")[0] and len(pii.entities(f"ip {a} and")) == 1
+    ssns = {f"{rng.randrange(1000):03}-{rng.randrange(100):02}-{rng.randrange(10000):04}" for _ in range(400)}
+    new = {x: of("ssn", x) for x in ssns}
+    ok = lambda x: pii._ssn_valid(int(x.replace("-", "")))
+    assert len(set(new.values())) == len(ssns) and all(a != b and ok(a) == ok(b) for a, b in new.items())
+    cards = {"4111 1111 1111 1111", "4111 1122 2222 2222", "4111111111111"}
+    assert all(of("card", c)[:4] == "4111" and of("card", c) != c for c in cards)
