@@ -79,8 +79,9 @@ _TITLE = "|".join(map(re.escape, sorted(_GENDER, key=len, reverse=True)))
 TITLED = re.compile(rf"(?<![\w-])({_TITLE})\.?\x20")
 #: What follows a title and its blank.
 NAME = regex.compile(rf"(?:(?:{_TITLE})\.?\x20)?+(?:\p{{Lu}}\.\x20?){{0,3}}{_PARTICLE}{_ANY}(?:(?:\x20{_PARTICLE}|-){_ANY}){{0,2}}")
-#: A capitalised word with one or two after it; a name without a title if the first is a listed given name.
-BARE = regex.compile(rf"(?<![\w-])(?=({_CASED}(?!\w))((?:(?:\x20{_PARTICLE}|-){_CASED}(?!\w)){{1,2}}))")
+#: A listed given name, and the one or two capitalised words after it that make a name without a title.
+FIRST = re.compile(rf"(?<![\w-])({'|'.join(sorted(LISTED, key=len, reverse=True))})(?!\w)")
+BARE = regex.compile(rf"(?:(?:\x20{_PARTICLE}|-){_CASED}(?!\w)){{1,2}}")
 #: Two or three words in capitals that stand between others, likewise.
 BARE_CAPITALS = regex.compile(rf"(?<![\w-])(?<!\p{{Lu}}\p{{Lu}}[\x20-])({_CAPITALS}(?!\w))((?:[\x20-]{_CAPITALS}(?!\w)){{1,2}})(?![\x20-]\p{{Lu}}\p{{Lu}})")
 _PART = regex.compile(rf"{_CASED}|{_CAPITALS}")
@@ -343,13 +344,15 @@ def _found(text: str) -> Iterator[tuple[int, int, str, str]]:
         if t.start() >= past and (m := NAME.match(text, t.end())):
             past = m.end()
             yield m.start(), past, "name", _GENDER[t[1]]
-    for pattern in (BARE, BARE_CAPITALS):
-        past = 0
-        for m in pattern.finditer(text):
-            first = m[1].capitalize() if pattern is BARE_CAPITALS else m[1]
-            if first in LISTED and m.start() >= past:
-                past = m.end(2)
-                yield m.start(), past, "name", "" if first in UNISEX else LISTED[first][1]
+    past = 0
+    for f in FIRST.finditer(text):
+        if f.start() >= past and (m := BARE.match(text, f.end())):
+            past = m.end()
+            yield f.start(), past, "name", "" if f[1] in UNISEX else LISTED[f[1]][1]
+    for m in BARE_CAPITALS.finditer(text):
+        first = m[1].capitalize()
+        if first in LISTED:
+            yield m.start(), m.end(2), "name", "" if first in UNISEX else LISTED[first][1]
     yield from ((m.start(), m.end(), "iban", "") for m in IBAN.finditer(text) if _iban_ok(m.group()))
 
 
