@@ -648,4 +648,4 @@ def _(s, d):
     return g.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-from . import io_queries, online_queries, state_queries  # noqa: E402, F401  (they add their queries to the catalogue)
+from . import io_queries, online_queries, source_queries, state_queries  # noqa: E402, F401  (they add their queries to the catalogue)
