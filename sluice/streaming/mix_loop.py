@@ -22,20 +22,39 @@ def domain_stats_stream(obs: DataFrame, *, window: int = 50) -> DataFrame:
     """Statistics of each domain's last ``window`` observations after every micro-batch.
 
     ``obs``: (step, row_id, domain, value). A domain's state is its window, so state grows with domains alone.
-    Rows of a micro-batch enter in the order of (step, row_id), as in the batch form.
+    Rows of a micro-batch enter in the order of (step, row_id), as in the batch form. Each task cuts its rows to a domain's
+    last ``window`` before they are shuffled, so that a domain of any size sends a window a task.
     """
+    order = ["step", "row_id"]
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The last rows of each domain in a task; ``rows`` of the first of them counts all that there were."""
+        last: dict[str | None, tuple[pd.DataFrame, int]] = {}
+        for frame in frames:
+            for domain, new in frame.groupby("domain", dropna=False):
+                domain = None if pd.isna(domain) else domain
+                before, n = last.get(domain, (new[:0], 0))
+                last[domain] = pd.concat([before, new]).sort_values(order).tail(window), n + len(new)
+        for rows, n in last.values():
+            yield rows.assign(rows=[n] + [0] * (len(rows) - 1))
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, seen = state.get if state.exists else ([], 0)
-        rows = pd.concat(list(frames)).sort_values(["step", "row_id"])
-        held, seen = [*held, *rows["value"].astype(float)][-window:], seen + len(rows)
+        new = None
+        for frame in frames:
+            seen += int(frame["rows"].sum())
+            new = (frame if new is None else pd.concat([new, frame])).sort_values(order).tail(window)
+        held = [*held, *new["value"].astype(float)][-window:]
         state.update((held, seen))
         s = pd.Series(held)
         x = pd.Series(range(len(held)), dtype=float)
         slope = float(((x - x.mean()) * (s - s.mean())).sum() / ((x - x.mean()) ** 2).sum()) if len(held) > 1 else 0.0
-        yield pd.DataFrame([{"domain": key[0], "step": int(rows["step"].max()), "mean": float(s.mean()), "slope": slope, "count": seen}])
+        yield pd.DataFrame([{"domain": key[0], "step": int(new["step"].max()), "mean": float(s.mean()), "slope": slope, "count": seen}])
 
-    return obs.groupBy("domain").applyInPandasWithState(update, STATS, STATE, "update", GroupStateTimeout.NoTimeout)
+    few = obs.select("step", "row_id", "domain", F.col("value").cast("double").alias("value"))
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in few.schema)
+    few = few.mapInPandas(cut, f"{kind}, rows long")
+    return few.groupBy("domain").applyInPandasWithState(update, STATS, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 #: What the loop keeps of a domain: its latest statistics and its last observations, at most a window of them.

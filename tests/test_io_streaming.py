@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from sluice.functions.tables import register_tables
 from sluice.operators import datasets, mixers, reports
 from sluice.plans.schedule import observed
 from sluice.sources import kv, readers, sinks
-from sluice.streaming.mix_loop import start_mix_loop, windowed_event_stats
+from sluice.streaming.mix_loop import domain_stats_stream, start_mix_loop, windowed_event_stats
 
 
 def test_readers(spark, tmp_path):
@@ -159,3 +160,22 @@ def test_metrics_are_gathered_in_the_pass_that_writes(spark, tmp_path):
     seen = Observation()
     observed(df.select("step", F.lit(1.0).alias("weight"), (F.col("step") > 2).alias("kept")), seen).count()
     assert seen.get["kept_frac"] == pytest.approx(1 / 3) and seen.get["weight_std"] == 0
+
+
+def test_domain_stats_of_hot_domains_in_many_frames(spark, tmp_path):
+    rows = [(i // 40, i, ("hot", "hot", "hot", "b", None)[i % 5], float(i * 37 % 101)) for i in range(600)]
+    schema, src, got = "step int, row_id long, domain string, value double", str(tmp_path / "in"), {}
+    for lo in (0, 360):  # two micro-batches of four files each
+        spark.createDataFrame([r for r in rows if lo <= r[1] < (360 if lo == 0 else 600)][::-1], schema).repartition(4).write.mode("append").parquet(src)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        try:
+            stats = domain_stats_stream(spark.readStream.schema(schema).parquet(src), window=20)
+            each = lambda b, _: got.update({r.domain: r for r in b.collect()})
+            stats.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for d in ("hot", "b", None):
+        values = [r[3] for r in rows if r[2] == d]
+        slope = np.polyfit(range(20), values[-20:], 1)[0]
+        assert got[d]["count"] == len(values)
+        assert got[d].step == 14 and got[d].mean == pytest.approx(np.mean(values[-20:])) and got[d].slope == pytest.approx(slope)
