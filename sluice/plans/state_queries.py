@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import symbolic
 from ..operators import mixers, reports
+from ..scratch import hadoop_path, names_in
 from ..streaming import arrivals, mix_loop, replay
 from . import bindings
-from .io_queries import _in_files, _observed, _stream, scratched
+from .io_queries import _arriving, _observed, _stream, scratched
 from .queries import DOM, DOMAINS, OBS, POOL, PRIO, PROP, R, RATE, READY, REPLAY, RUNS, T, big, query, r6
 from .schedule import METRICS, Schedule
 
@@ -122,9 +125,13 @@ def _(s, d):
 def _(s, d, at):
     """A step a micro-batch; its metrics are gathered while its weights are written."""
     b = bindings.rollouts(s, d)
-    b.repartition(16, "step").withColumn("part", F.col("step")).write.partitionBy("part").option("maxRecordsPerFile", 0).parquet(f"{at}/in")
-    rows = s.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    Schedule.named("difffilter", runtime={"tie": T}).write_stream(rows, f"{at}/out", f"{at}/check", metrics=f"{at}/metrics", availableNow=True).awaitTermination()
+    b.withColumn("part", F.col("step")).write.partitionBy("part").parquet(f"{at}/all")
+    fs, to = hadoop_path(s, f"{at}/in")
+    fs.mkdirs(to)
+    for part in names_in(s, f"{at}/all"):  # a step is as many files as tasks held rows of it, and arrives as a folder
+        if part.startswith("part="):
+            fs.rename(hadoop_path(s, f"{at}/all/{part}")[1], hadoop_path(s, f"{at}/in/{part}")[1])
+            Schedule.named("difffilter", runtime={"tie": T}).write_stream(_stream(s, f"{at}/in", b.schema), f"{at}/out", f"{at}/check", metrics=f"{at}/metrics", availableNow=True).awaitTermination()
     got = s.read.schema(", ".join(f"{c} {k}" for c, k in METRICS.items())).json(f"{at}/metrics")
     return got.select(F.col("last_step").alias("step"), "n", *[r6(F.col(c), c) for c in ("weight_mean", "weight_std", "kept_frac")])
 
@@ -138,13 +145,13 @@ TARGETS = dict(zip(PRIO, (int(200 * p) for p in PROP)))
   SELECT uid, domain, CAST(rn // target AS BIGINT) AS batch FROM k WHERE rn // target < n // target""",
 )
 def _(s, d, at):
-    """The buffer gets the prompts in three files of rising steps, stops after two, and goes on from its checkpoint."""
+    """The buffer gets the prompts in three parts of rising steps, stops after each, and goes on from its checkpoint."""
     pool = bindings.prompt_pool(s, d)
     cut = pool.agg(F.percentile_approx("step", 0.7)).first()[0]
     for part, files in ((pool.where(F.col("step") <= cut), 2), (pool.where(F.col("step") > cut), 1)):
-        _in_files(part, f"{at}/in", files)
-        out = replay.replay_batches(_stream(s, f"{at}/in", pool.schema), TARGETS)
-        out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+        for _ in _arriving(part, f"{at}/in", files):
+            out = replay.replay_batches(_stream(s, f"{at}/in", pool.schema), TARGETS)
+            out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{at}/out").select("uid", "domain", "batch")
 
 
@@ -154,16 +161,15 @@ def _(s, d, at):
   FROM events p JOIN events r ON p.user_id = r.user_id AND p.event_type = 'view' AND r.event_type <> 'view' AND r.ts BETWEEN p.ts AND p.ts + INTERVAL 6 HOUR""",
 )
 def _(s, d, at):
-    """Every seventh event arrives again or late, a file after its time; pairs and ages are those of the table."""
+    """Every seventh event arrives again or late, a part after its time; pairs and ages are those of the table."""
     e = _t(s, d, "events").select("event_id", "user_id", "event_type", "ts").withColumn("step", F.unix_date(F.to_date("ts")))
-    _in_files(e.where("event_id % 7 <> 0"), f"{at}/in")
     again = e.where("event_id % 7 = 0 or event_id % 7 = 1")
-    _in_files(again, f"{at}/in", 1)
-    rows = arrivals.once(_stream(s, f"{at}/in", e.schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], late="400 days")
-    prompts = rows.where("event_type = 'view'").select("user_id", F.col("event_id").alias("prompt"), F.col("ts").alias("prompt_ts"))
-    responses = rows.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("response"), F.col("ts").alias("response_ts"))
-    out = arrivals.with_age(arrivals.answered(prompts, responses, key="user_id", within="6 hours", late=None))
-    out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+    for _ in chain(_arriving(e.where("event_id % 7 <> 0"), f"{at}/in"), _arriving(again, f"{at}/in", 1)):
+        rows = arrivals.once(_stream(s, f"{at}/in", e.schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], late="400 days")
+        prompts = rows.where("event_type = 'view'").select("user_id", F.col("event_id").alias("prompt"), F.col("ts").alias("prompt_ts"))
+        responses = rows.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("response"), F.col("ts").alias("response_ts"))
+        out = arrivals.with_age(arrivals.answered(prompts, responses, key="user_id", within="6 hours", late=None))
+        out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{at}/out").select("prompt", "response", F.round("age", 3).alias("age"))
 
 
@@ -178,8 +184,8 @@ def _(s, d, at):
         p.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{out}/at={step}")
 
     for part in (e.where(F.col("step") <= half), e.where(F.col("step") > half)):
-        _in_files(part, src, 2)
-        loop = mix_loop.start_mix_loop(_stream(s, src, e.schema), mixers.RewardGap(DOMAINS), publish, f"{at}/check", warmup_step=19725, update_step=3, availableNow=True)
-        loop.awaitTermination()
+        for _ in _arriving(part, src, 2):
+            loop = mix_loop.start_mix_loop(_stream(s, src, e.schema), mixers.RewardGap(DOMAINS), publish, f"{at}/check", warmup_step=19725, update_step=3, availableNow=True)
+            loop.awaitTermination()
     got = mixers.carry_forward(e, s.read.parquet(out), DOMAINS)
     return got.select(big(F.col("step"), "step"), big(F.col("domain_ord"), "domain_ord"), "domain", r6(F.col("p"), "p"))
