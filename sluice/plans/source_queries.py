@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import readers
+from ..sources import readers, sinks
 from ..sources.run_files import read_files, read_lines, stream_lines
 from . import bindings
 from .io_queries import scratched
@@ -38,7 +38,7 @@ def _(s, d, at):
     """A result file a supplier, of which the filter's folders alone are listed and opened, with metrics of any key."""
     said = F.concat(F.lit('{"acc": '), (F.col("s_suppkey") / 4).cast("string"), F.lit(', "overall": {"kept": "0", "note": null}}'))
     tree = _t(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("run"), said.alias("value"))
-    tree.repartition("nation").write.partitionBy("nation", "run").text(at)
+    sinks.write_files(tree, at, ("nation", "run"))
     wanted = [str(n) for n in (3, 7, 11, *range(16, 25))]
     got = read_files(s, at, keys=("nation", "run")).where(F.col("nation").isin(wanted))
     return readers.metric_leaves(got, "value", ("nation", "run"))
