@@ -43,7 +43,8 @@ def _formulas(s, d) -> DataFrame:
 
 @query("grade_symbolic", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 OR p_size % 7 = 6 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS score FROM part")
 def _(s, d):
-    return _formulas(s, d).select("p_partkey", symbolic.grade_symbolic(F.col("said"), F.col("truth")).alias("score"))
+    answers = _formulas(s, d).repartition(int(s.conf.get("spark.sql.shuffle.partitions")))  # small rows with much work: a file of them is many tasks
+    return answers.select("p_partkey", symbolic.grade_symbolic(F.col("said"), F.col("truth")).alias("score"))
 
 
 # ---- values carried along steps and time
