@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -13,6 +14,8 @@ from ..operators.sampling import sampleable
 from ..session import ship_package
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a frame that goes out.
+OUT = 100_000
 BATCHES = "domain string, shard int, batch long, step long, uid long, complete boolean"
 
 
@@ -36,42 +39,51 @@ class _Waiting(StatefulProcessor):
         n = self.targets[domain]
         return n // self.shards + (shard < n % self.shards)
 
-    def take(self, key: tuple, n: int, batch: int, quota: int) -> Iterator[Row]:
-        """The n oldest waiting prompts, which go. Of the map only those are held."""
-        for i, k in enumerate(heapq.nsmallest(n, (tuple(k) for k in self.ready.keys()))):
-            self.ready.removeKey(k)
-            at = batch + i // quota
-            yield Row(domain=key[0], shard=key[1], batch=at, step=k[0], uid=k[1], complete=n - i // quota * quota >= quota)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        batch, waiting, newest, timer = self.place.get() or (0, 0, -(1 << 62), 0)
-        for r in rows:
-            newest = max(newest, r.step)
-            k = (r.step, r.uid)
-            if not self.ready.containsKey(k):
-                self.ready.updateValue(k, (r.step,))
-                waiting += 1
+    def out(self, key: tuple, order: np.ndarray, batch: int, quota: int) -> pd.DataFrame:
+        """Rows (step, uid), oldest first, as shares from number ``batch`` on; the last one may be short."""
+        n = len(order)
+        nth = np.arange(n) // quota
+        return pd.DataFrame({"domain": key[0], "shard": key[1], "batch": batch + nth, "step": order[:, 0], "uid": order[:, 1], "complete": (nth + 1) * quota <= n})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """Whole shares go out at once, so that less than one is read and left behind; a micro-batch's rows of one key are held as two numbers each."""
+        batch, _, newest, timer = self.place.get() or (0, 0, -(1 << 62), 0)
+        before = np.array([tuple(k) for k in self.ready.keys()], np.int64).reshape(-1, 2)
+        come = [f[["step", "uid"]].to_numpy(np.int64) for f in rows]
+        newest = max(newest, *(int(x[:, 0].max()) for x in come if len(x)))
+        order = np.concatenate([before, *come])
         if self.max_lag is not None:
-            for k in [tuple(k) for k in self.ready.keys() if newest - k[0] > self.max_lag]:
-                self.ready.removeKey(k)
-                waiting -= 1
+            order = order[newest - order[:, 0] <= self.max_lag]
+        order = order[np.lexsort((order[:, 1], order[:, 0]))]
+        order = order[np.concatenate([[True], (order[1:] != order[:-1]).any(axis=1)])[: len(order)]]  # what came twice waits once
         quota = self.quota(*key)
-        full = waiting // quota
+        full = len(order) // quota
+        left = order[full * quota :]
+        had, have = set(map(tuple, before.tolist())), set(map(tuple, left.tolist()))
+        for k in had - have:
+            self.ready.removeKey(k)
+        for k in have - had:
+            self.ready.updateValue(k, (k[0],))
         if full:
-            yield from self.take(key, full * quota, batch, quota)
-            batch, waiting = batch + full, waiting - full * quota
+            for i in range(0, full, step := max(1, OUT // quota)):
+                yield self.out(key, order[i * quota : min(full, i + step) * quota], batch + i, quota)
+            batch += full
             if timer:
                 self.handle.deleteTimer(timer)
                 timer = 0
-        if waiting and self.patience is not None and not timer:
+        if len(left) and self.patience is not None and not timer:
             timer = timerValues.getCurrentProcessingTimeInMs() + self.patience
             self.handle.registerTimer(timer)
-        self.place.update((batch, waiting, newest, timer))
+        self.place.update((batch, len(left), newest, timer))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """A batch that has waited long enough goes out short."""
         batch, waiting, newest, _ = self.place.get()
-        yield from self.take(key, waiting, batch, self.quota(*key))
+        order = np.array(sorted(tuple(k) for k in self.ready.keys()), np.int64).reshape(-1, 2)
+        for k in order.tolist():
+            self.ready.removeKey(tuple(k))
+        if waiting:
+            yield self.out(key, order, batch, self.quota(*key))
         self.place.update((batch + (waiting > 0), 0, newest, 0))
 
     def close(self) -> None:
@@ -98,4 +110,4 @@ def replay_batches(pool: DataFrame, targets: dict[str, int], *, shards: int = 1,
     rows = sampleable(pool).where(F.col("domain").isin(*wanted) & F.col("uid").isNotNull())
     rows = rows.select("domain", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"), F.col("step").cast("long"), F.col("uid").cast("long"))
     mode = "ProcessingTime" if patience is not None else "None"
-    return rows.groupBy("domain", "shard").transformWithState(_Waiting(wanted, shards, max_lag, patience), BATCHES, "Append", mode)
+    return rows.groupBy("domain", "shard").transformWithStateInPandas(_Waiting(wanted, shards, max_lag, patience), BATCHES, "Append", mode)
