@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import MEASURED
 from .arrow import map_columns
 from .common import Scratch, final, narrowed
 from .components import components
@@ -151,10 +152,10 @@ def groups(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: in
     with different texts are different nodes. A null key is never the smallest; a component of null keys alone
     has a null id and its rows are kept.
     """
-    with Scratch(docs.sparkSession) as scratch:
+    with Scratch(docs.sparkSession, MEASURED) as scratch:
         out = _grouped(docs, scratch, text, key, size, percent, bands, rows)
         kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
-        return final(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")))
+        return final(out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept")), MEASURED)
 
 
 def drop_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, bands: int = 30, rows: int = 5) -> DataFrame:
@@ -163,13 +164,14 @@ def drop_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     Decided by row, not by key: rows of one key with different texts are different documents. Repeated rows are
     one; which of them stays, if further columns differ, is open. Rows without words are linked with nothing and stay.
     """
-    spark = docs.sparkSession
-    with Scratch(spark) as scratch:
+    with Scratch(docs.sparkSession, MEASURED) as scratch:
         out = _grouped(docs, scratch, text, key, size, percent, bands, rows)
         one = out.where("root is not null").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "r")).alias("m")).select("m.r")
-        kept = final(one.unionByName(out.where("root is null").select("r").distinct()))
+        kept = final(one.unionByName(out.where("root is null").select("r").distinct()), MEASURED)
     mark = f"_{uuid.uuid4().hex}"
-    return docs.withColumn(mark, _row_digest(key, text)).join(kept.withColumnRenamed("r", mark), mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
+    # a row for each document that stays: never a table in the driver, whatever the caller's job may broadcast
+    kept = kept.withColumnRenamed("r", mark).hint("merge")
+    return docs.withColumn(mark, _row_digest(key, text)).join(kept, mark, "left_semi").dropDuplicates([mark]).select(*docs.columns)
 
 
 def op8(docs: DataFrame) -> DataFrame:
