@@ -162,15 +162,21 @@ def _(s, d, at):
   FROM events p JOIN events r ON p.user_id = r.user_id AND p.event_type = 'view' AND r.event_type <> 'view' AND r.ts BETWEEN p.ts AND p.ts + INTERVAL 6 HOUR""",
 )
 def _(s, d, at):
-    """Every seventh event arrives again or late, a part after its time; pairs and ages are those of the table."""
+    """Every seventh event arrives again or late, a part after its time; pairs and ages are those of the table.
+
+    Views and other events are told apart before repeats are dropped, so that each of the two states holds its own events alone.
+    """
     e = _t(s, d, "events").select("event_id", "user_id", "event_type", "ts").withColumn("step", F.unix_date(F.to_date("ts")))
-    again = e.where("event_id % 7 = 0 or event_id % 7 = 1")
+    again, n = e.where("event_id % 7 = 0 or event_id % 7 = 1"), e.count()
     for _ in chain(_arriving(e.where("event_id % 7 <> 0"), f"{at}/in"), _arriving(again, f"{at}/in", 1)):
-        rows = arrivals.once(_stream(s, f"{at}/in", e.schema).withColumn("ts", F.col("ts").cast("timestamp")), ["event_id"], late="400 days")
-        prompts = rows.where("event_type = 'view'").select("user_id", F.col("event_id").alias("prompt"), F.col("ts").alias("prompt_ts"))
-        responses = rows.where("event_type <> 'view'").select("user_id", F.col("event_id").alias("response"), F.col("ts").alias("response_ts"))
+        rows = _stream(s, f"{at}/in", e.schema).withColumn("ts", F.col("ts").cast("timestamp"))
+        views, others = (arrivals.once(rows.where(x), ["event_id"], late="400 days") for x in ("event_type = 'view'", "event_type <> 'view'"))
+        prompts = views.select("user_id", F.col("event_id").alias("prompt"), F.col("ts").alias("prompt_ts"))
+        responses = others.select("user_id", F.col("event_id").alias("response"), F.col("ts").alias("response_ts"))
         out = arrivals.with_age(arrivals.answered(prompts, responses, key="user_id", within="6 hours", late=None))
-        out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start().awaitTermination()
+        with arrivals.state_on_disk(s, n, trailing=False):
+            run = out.writeStream.outputMode("append").option("path", f"{at}/out").option("checkpointLocation", f"{at}/check").trigger(availableNow=True).start()
+        run.awaitTermination()
     return s.read.parquet(f"{at}/out").select("prompt", "response", F.round("age", 3).alias("age"))
 
 
