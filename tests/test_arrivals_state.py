@@ -75,6 +75,7 @@ def test_settings_of_state_come_back(spark):
     names = "spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.shuffle.partitions"
     before = [spark.conf.get(k, None) for k in names]
     with pytest.raises(KeyError), state_on_disk(spark, rows=10_000_000, trailing=False):
+        assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.allowFAllocate") == "false"  # a share without rows took megabytes
         assert "RocksDB" in spark.conf.get(names[0]) and spark.conf.get(names[1]) == "false" and spark.conf.get(names[2]) == "4"
         raise KeyError
     assert [spark.conf.get(k, None) for k in names] == before
